@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, settle, shared_folder, texts_of
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # many small stores: no files of a fixed size ahead of their content, and changes alone in each checkpoint
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -39,15 +43,17 @@ def _stream_state(keys_path: str, keys: DataFrame) -> DataFrame:
     def emit(batch: DataFrame, epoch: int) -> None:  # a repeated epoch overwrites its own rows
         batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/part={epoch}")
 
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             state.writeStream.outputMode("update").foreachBatch(emit).trigger(availableNow=True)
             .option("checkpointLocation", shared_folder(spark, "dedup-stream")).start()
         )
     finally:
-        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
     if query.lastProgress is None or not _written(spark, out):
         schema = state.withColumn("epoch", F.lit(0)).schema
