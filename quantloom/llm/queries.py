@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, pieces, simhash, token_shards, toxicity
+from . import decontaminate, exact_dedup, pieces, simhash, token_shards, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(found).drop("spans")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_token_shards": op3_token_shards,
     "op5_decontamination": op5_decontamination,
+    "op6_warc": op6_warc,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
@@ -65,6 +70,19 @@ i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
+""",
+    "op6_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, h, strlen(h) AS n, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS keeper FROM p),
+g AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (bits::BIGINT % 32 + 1)::INT, 1), '' ORDER BY k) AS digest
+      FROM (SELECT page_id, k,
+                   -- five bits from the bit position 5k on, out of the two hex digits or three around them
+                   (('0x' || substr(x || '000', (5 * k) // 4 + 1, 3))::BIGINT >> (7 - (5 * k) % 4)) AS bits
+            FROM s, generate_series(0, 31) AS t(k)) GROUP BY page_id)
+SELECT s.page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN s.page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN s.page_id = keeper THEN NULL ELSE keeper END AS refers_to
+FROM s JOIN g ON s.page_id = g.page_id
 """,
     "op9_exact_dedup": r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
