@@ -14,6 +14,7 @@ planes from the highest bit down (eight positions a byte, lowest bit first).
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -22,7 +23,10 @@ from collections.abc import Iterator
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,7 +66,7 @@ class WaveletShard:
         for bit in range(width - 1, -1, -1):
             ones = (ranks & kind(1 << bit)).astype(bool)
             planes.append(np.packbits(ones, bitorder="little"))
-            ranks = np.concatenate([ranks[~ones], ranks[ones]])
+            ranks = np.concatenate([np.compress(~ones, ranks), np.compress(ones, ranks)])
         return cls(alphabet, docs, starts, planes, len(ids))
 
     def to_bytes(self) -> bytes:
@@ -156,70 +160,109 @@ class WaveletShard:
         for level in range(len(self.planes) - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             above = np.empty_like(ranks)
-            above[~ones], above[ones] = ranks[: self.zeros[level]], ranks[self.zeros[level] :]
+            above[np.concatenate([np.flatnonzero(~ones), np.flatnonzero(ones)])] = ranks
             above |= ones.astype(kind) << kind(len(self.planes) - 1 - level)
             ranks = above
         return self.alphabet[ranks] if self.n else np.zeros(0, np.uint32)
 
 
+#: Words that the tokenizer's pattern cuts alike whatever the version of Unicode: ASCII signs and European letters.
+_PLAIN = re.compile("[ \n][!-~À-ÖØ-öø-ſ]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class Encoder:
     """The library's ids of whole texts. What stands between spaces is encoded once and kept, in a bounded cache.
 
-    The tokenizer's pattern never joins a character to the space behind it, so a text falls apart in front of its spaces,
-    unless white space stands on both sides of one; such texts go to the library whole.
+    The tokenizer's pattern never joins a character to the space or line feed behind it, so a text falls apart in front of
+    those; texts in which white space stands beside white space go to the library whole.
     """
 
     #: White space besides space and line feed, by the Unicode tables of either library.
     OTHER = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 
-    def __init__(self, path: str, cache: int = 300_000, longest: int = 48) -> None:
+    def __init__(self, path: str, cache: int = 600_000, longest: int = 48) -> None:
         self.library = Tokenizer.from_file(path)
         size = self.library.get_vocab_size()
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.spaced = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.cache, self.longest = cache, longest
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _falls_apart(self, text: str) -> bool:
-        return not ("  " in text or "\n \n" in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in self.OTHER))
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of words behind a space."""
-        plain = [w for w in new if w[0] != "\n" and w[-1] != "\n"]
-        edged = [w for w in new if w[0] == "\n" or w[-1] == "\n"]
-        made = dict(zip(edged, (x.tobytes() for x in self.whole([" " + w for w in edged])), strict=True)) if edged else {}
-        for at in range(0, len(plain), 1000):  # as one text, in which each word begins at an id with a space
-            part = plain[at : at + 1000]
-            ids = self.whole([" " + " ".join(part)])[0]
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) == len(part):
-                data, cuts = ids.tobytes(), [*(starts * self.kind.itemsize).tolist(), len(ids) * self.kind.itemsize]
-                made.update((w, data[a:b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
-            else:  # an id with a space inside
-                made.update(zip(part, (x.tobytes() for x in self.whole([" " + w for w in part])), strict=True))
-        return made
+        return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1:] in " \n" or "<|" in text or any(c in text for c in self.OTHER))
+
+    def _learn(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of words with what stands in front of them: a line feed that they begin with, or else a space. Words of
+        plain letters and signs are cut by the tokenizer's pattern here, and their parts kept; others go to the library."""
+        full = [w if w[:1] == "\n" else " " + w for w in words]
+        rare = [w for w in full if not _PLAIN.fullmatch(w)]
+        others = dict(zip(rare, (x.tobytes() for x in self.whole(rare)), strict=True)) if rare else {}
+        parts, bpe = self.parts, self.library.model
+        for w in full:
+            if w in others:
+                yield others[w]
+                continue
+            out = []
+            for part in self.pattern.findall(w):
+                ids = parts.get(part)
+                if ids is None:
+                    if len(parts) > self.cache:
+                        parts.clear()
+                    ids = parts[part] = np.array([t.id for t in bpe.tokenize("".join(map(_BYTE_LETTERS.__getitem__, part.encode())))], self.kind).tobytes()
+                out.append(ids)
+            yield b"".join(out)
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
         whole = [i for i, t in enumerate(texts) if not self._falls_apart(t)]
         for i, ids in zip(whole, self.whole([texts[i] for i in whole]) if whole else [], strict=True):
             out[i] = ids
-        words = {i: texts[i].split(" ") for i, x in enumerate(out) if x is None}
-        firsts = dict(zip(words, (x.tobytes() for x in self.whole([w[0] for w in words.values()])), strict=True)) if words else {}
-        known, found = self.known, {i: list(map(self.known.get, w[1:])) for i, w in words.items()}
-        short = [i for i, ids in found.items() if None in ids]
-        if short:
-            made = self._learn(list({w for i in short for w, ids in zip(words[i][1:], found[i], strict=True) if ids is None}))
-            for i in short:
-                found[i] = [made[w] if ids is None else ids for w, ids in zip(words[i][1:], found[i], strict=True)]
-            if len(known) > self.cache:
-                known.clear()
+        places = [i for i, x in enumerate(out) if x is None]
+        if not places:
+            return out
+        lists = pc.split_pattern(pc.replace_substring(pa.array([texts[i] for i in places], pa.large_string()), "\n", " \n"), " ")
+        cuts = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        # the first word of a text has nothing in front of it
+        firsts = coded.dictionary.take(pa.array(at[cuts[:-1]])).to_pylist()
+        at = at.astype(np.int64)
+        at[cuts[:-1]] = len(words) + np.arange(len(places))
+
+        known = self.known
+        ids = list(map(known.get, words))
+        new = [w for w, x in zip(words, ids, strict=True) if x is None]
+        made = dict(zip(new, self._learn(new), strict=True))
+        ids = [made[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+        if len(known) + len(new) > self.cache:  # what is common is in this batch too
+            known = self.known = {w: x for w, x in zip(words, ids, strict=True) if len(w) <= self.longest}
+        else:
             known.update((w, x) for w, x in made.items() if len(w) <= self.longest)
-        for i in words:
-            out[i] = np.frombuffer(b"".join([firsts[i], *found[i]]), self.kind)
+        ids += [x.tobytes() for x in self.whole(firsts)]
+
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        sizes = np.array(list(map(len, ids)), dtype=np.int64) // self.kind.itemsize
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[at]
+        ends = np.cumsum(each)
+        tokens = flat[np.arange(ends[-1]) + np.repeat(starts[at] - ends + each, each)]
+        edges = np.concatenate([[0], ends])[cuts]
+        for i, a, b in zip(places, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            out[i] = tokens[a:b]
         return out
 
     def encode(self, text: str) -> np.ndarray:
@@ -261,7 +304,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shard: int = SHAR
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_tokens", pa.int64()), ("n_docs", pa.int64())]))
 
         end = np.array([END], enc.kind)
-        for rows_ in rows(batches, 64):
+        for rows_ in rows(batches, 512):
             for (doc_id, _), x in zip(rows_, enc.encode_many([t for _, t in rows_]), strict=True):
                 x = np.concatenate([x, end])
                 pending.append(x)
