@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, hidden_markov, pieces, simhash, token_shards, toxicity, warc
+from . import decontaminate, exact_dedup, hidden_markov, pieces, private_data, simhash, token_shards, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.find_private(_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return decontaminate.report(found).drop("spans")
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_hidden_markov": op2_hidden_markov,
     "op3_token_shards": op3_token_shards,
+    "op4_private_data": op4_private_data,
     "op5_decontamination": op5_decontamination,
     "op6_warc": op6_warc,
     "op7_sentencepiece": op7_sentencepiece,
