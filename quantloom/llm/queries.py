@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, hidden_markov, pieces, private_data, simhash, token_shards, toxicity, warc
+from . import decontaminate, exact_dedup, hidden_markov, line_dedup, pieces, private_data, simhash, token_shards, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).drop("file")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = line_dedup.remove_repeated(_table(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_hidden_markov": op2_hidden_markov,
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sentencepiece": op7_sentencepiece,
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -103,5 +110,22 @@ SELECT doc_id,
        row_number() OVER (PARTITION BY norm ORDER BY n_chars DESC, doc_id) = 1 AS kept,
        sha256(norm) AS text_sha256
 FROM n
+""",
+    "op10_line_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+u AS (SELECT doc_id, unnest(string_split(replace(replace(replace(replace(text, chr(10), chr(10) || chr(1)), '. ', '. ' || chr(1)), '! ', '! ' || chr(1)), '? ', '? ' || chr(1)), chr(1))) AS raw,
+             generate_subscripts(string_split(replace(replace(replace(replace(text, chr(10), chr(10) || chr(1)), '. ', '. ' || chr(1)), '! ', '! ' || chr(1)), '? ', '? ' || chr(1)), chr(1)), 1) AS i FROM d),
+k AS (SELECT doc_id, i, raw, trim(raw, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS key FROM u),
+h AS (SELECT doc_id, i, raw, key, ('0x' || substr(md5(key), 1, 8))::BIGINT AS h FROM k WHERE key <> ''),
+r AS (SELECT *, (coalesce(lag(h) OVER w, 0) * 31 + h) % 4294967296 AS r FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+b AS (SELECT *, CASE WHEN lag(r) OVER w IS NULL OR r < lag(r) OVER w AND r <= coalesce(lead(r) OVER w, 4294967296) THEN 1 ELSE 0 END AS b FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM b),
+g AS (SELECT doc_id, c, count(*) AS n, string_agg(key, chr(10) ORDER BY i) AS body, string_agg(raw, '' ORDER BY i) AS raw FROM c GROUP BY doc_id, c),
+m AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY n >= 2, body ORDER BY doc_id, c) > 1 AS gone FROM g),
+s AS (SELECT doc_id, sum(n)::BIGINT AS n_lines, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS n_removed_chunks, coalesce(sum(n) FILTER (WHERE gone), 0)::BIGINT AS n_removed_lines,
+             coalesce(string_agg(raw, '' ORDER BY c) FILTER (WHERE NOT gone), '') AS clean FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed_chunks, 0) AS n_removed_chunks, coalesce(n_removed_lines, 0) AS n_removed_lines,
+       sha256(CASE WHEN coalesce(n_removed_chunks, 0) > 0 THEN clean ELSE d.text END) AS clean_sha256
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id
 """,
 }
