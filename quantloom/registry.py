@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import cross_section, time_series
+
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list = []
+MODULES = [time_series, cross_section]
 
 
 def queries() -> dict[str, Query]:
