@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import cross_section, time_series
+from .plans import calibration, cross_section, relational, time_series
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [time_series, cross_section]
+MODULES = [time_series, cross_section, relational, calibration]
 
 
 def queries() -> dict[str, Query]:
