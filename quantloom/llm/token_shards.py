@@ -18,6 +18,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -74,7 +75,9 @@ class WaveletShard:
         ids = np.array([d or 0 for d in self.docs], dtype="<i8")
         out = [b"QLWM", struct.pack("<5Q", _FORMAT, self.n, len(self.docs), len(self.alphabet), len(self.planes))]
         for block in (self.alphabet.astype("<u4"), ids, nulls, self.starts.astype("<u8"), *self.planes):
-            packed = zlib.compress(block.tobytes(), 1)
+            data = block.tobytes()
+            sample = data[: 1 << 14]  # low planes hold nothing to compress: they are stored
+            packed = zlib.compress(data, 1 if len(zlib.compress(sample, 1)) < 0.9 * len(sample) or len(data) < 1 << 14 else 0)
             out += [struct.pack("<Q", len(packed)), packed]
         return b"".join(out)
 
@@ -170,11 +173,11 @@ class WaveletShard:
 _PLAIN = re.compile("[ \n][!-~À-ÖØ-öø-ſ]+")
 
 
-def _byte_letters() -> list[str]:
+def _byte_letters() -> dict[int, int]:
     """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from U+0100 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = iter(range(256, 512))
-    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(others)}
 
 
 _BYTE_LETTERS = _byte_letters()
@@ -190,12 +193,13 @@ class Encoder:
     #: White space besides space and line feed, by the Unicode tables of either library.
     OTHER = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 
-    def __init__(self, path: str, cache: int = 600_000, longest: int = 48) -> None:
+    def __init__(self, path: str, cache: int = 500_000, longest: int = 48) -> None:
         self.library = Tokenizer.from_file(path)
         size = self.library.get_vocab_size()
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.known: dict[str, bytes] = {}
+        self.once: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.cache, self.longest = cache, longest
 
@@ -211,20 +215,21 @@ class Encoder:
         full = [w if w[:1] == "\n" else " " + w for w in words]
         rare = [w for w in full if not _PLAIN.fullmatch(w)]
         others = dict(zip(rare, (x.tobytes() for x in self.whole(rare)), strict=True)) if rare else {}
-        parts, bpe = self.parts, self.library.model
+        parts, tokenize, kind = self.parts, self.library.model.tokenize, "H" if self.kind.itemsize == 2 else "I"
+        if len(parts) > self.cache:
+            parts.clear()
         for w in full:
             if w in others:
                 yield others[w]
                 continue
             out = []
-            for part in self.pattern.findall(w):
+            for part in [w] if w[0] == " " and w[1:].isalpha() else self.pattern.findall(w):
                 ids = parts.get(part)
                 if ids is None:
-                    if len(parts) > self.cache:
-                        parts.clear()
-                    ids = parts[part] = np.array([t.id for t in bpe.tokenize("".join(map(_BYTE_LETTERS.__getitem__, part.encode())))], self.kind).tobytes()
+                    letters = part.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                    ids = parts[part] = array(kind, [t.id for t in tokenize(letters)]).tobytes()
                 out.append(ids)
-            yield b"".join(out)
+            yield out[0] if len(out) == 1 else b"".join(out)
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
@@ -243,15 +248,25 @@ class Encoder:
         at = at.astype(np.int64)
         at[cuts[:-1]] = len(words) + np.arange(len(places))
 
-        known = self.known
+        known, once = self.known, self.once
         ids = list(map(known.get, words))
-        new = [w for w, x in zip(words, ids, strict=True) if x is None]
-        made = dict(zip(new, self._learn(new), strict=True))
-        ids = [made[w] if x is None else x for w, x in zip(words, ids, strict=True)]
-        if len(known) + len(new) > self.cache:  # what is common is in this batch too
-            known = self.known = {w: x for w, x in zip(words, ids, strict=True) if len(w) <= self.longest}
-        else:
-            known.update((w, x) for w, x in made.items() if len(w) <= self.longest)
+        missing = [i for i, x in enumerate(ids) if x is None]
+        new = []
+        for i in missing:  # most words of a text collection occur once: a word is kept for good when it comes again
+            w = words[i]
+            found = once.pop(w, None)
+            if found is None:
+                new.append(i)
+            else:
+                ids[i] = known[w] = found
+        for i, x in zip(new, self._learn([words[i] for i in new]), strict=True):
+            ids[i] = x
+            if len(words[i]) <= self.longest:
+                once[words[i]] = x
+        if len(once) > self.cache // 2:
+            once.clear()
+        if len(known) > self.cache:  # what is common is in this batch too
+            self.known = {w: known[w] for w in words if w in known}
         ids += [x.tobytes() for x in self.whole(firsts)]
 
         flat = np.frombuffer(b"".join(ids), self.kind)
