@@ -90,7 +90,7 @@ def exact_groups(docs: DataFrame, digest=sha256_digest) -> DataFrame:
     state = settle(_stream_state(path, keys), "dedup-groups")
 
     joined = keys.join(state, "digest", "left")
-    result = joined.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "file")
+    out = ["doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "file"]
 
     # full bytes of every hit: all texts of a digest are the same when the least and the greatest are
     hits = keys.join(state.where("group_size > 1"), "digest").select("doc_id", "digest").distinct()
@@ -101,8 +101,8 @@ def exact_groups(docs: DataFrame, digest=sha256_digest) -> DataFrame:
         "dedup-clashes",
     )
     if clashes.isEmpty():
-        return result
-    return joined.join(clashes, "digest", "left_anti").select(*result.columns).unionByName(_by_bytes(docs, digest, clashes, keys))
+        return joined.select(*out)
+    return joined.join(clashes, "digest", "left_anti").select(*out).unionByName(_by_bytes(docs, digest, clashes, keys))
 
 
 def _by_bytes(docs: DataFrame, digest, clashes: DataFrame, keys: DataFrame) -> DataFrame:
