@@ -111,7 +111,15 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    common = [(r.token, r.n) for r in counts.where(F.col("token") != END).orderBy(F.desc("n"), "token").limit(LOOKUP).collect()]
+    words = counts.where(F.col("token") != END)
+    # the count from which on tokens fit the bound, by a histogram of a fixed size
+    step, least, room = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int"), 0, LOOKUP
+    for r in words.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        if r["count"] > room:
+            least = r.step + 1
+            break
+        room -= r["count"]
+    common = sorted(((r.token, r.n) for r in words.where(step >= least).select("token", "n").toLocalIterator()), key=lambda x: (-x[1], x[0]))
     end = counts.where(F.col("token") == END).first()
     known = dict(common) | ({END: end.n} if end else {})
     classes = {t: i for i, t in enumerate([END, *(t for t, _ in common[: CLASSES - 1])])}
