@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import calibration, cross_section, relational, time_series
+from .plans import calibration, cross_section, kernels, relational, time_series
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [time_series, cross_section, relational, calibration]
+MODULES = [time_series, cross_section, relational, calibration, kernels]
 
 
 def queries() -> dict[str, Query]:
@@ -21,4 +21,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag", "l_linestatus").count()
+    return cross_section.QUERIES["rotation_score"](spark, sf_dir)
