@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.stats import average_rank, ratio, z
 from . import time_series as ts
 
-ALL = Window.partitionBy()
+
+def everything() -> WindowSpec:
+    return Window.partitionBy()
 
 
 def winsorised(df: DataFrame, columns: list[str], share: float = 0.02) -> DataFrame:
@@ -22,12 +24,12 @@ def winsorised(df: DataFrame, columns: list[str], share: float = 0.02) -> DataFr
 
 def z_scores(df: DataFrame, columns: list[str]) -> DataFrame:
     """Cross-sectional z of winsorised columns; missing values stand at the mean."""
-    return winsorised(df, columns).withColumns({f"z_{c}": z(F.col(c), ALL) for c in columns})
+    return winsorised(df, columns).withColumns({f"z_{c}": z(F.col(c), everything()) for c in columns})
 
 
 def opportunity(df: DataFrame) -> DataFrame:
     """The weighted sum of standings in trend, momentum, group strength and flow, and the share of assets not above it."""
-    score = 0.30 * z(F.col("distance"), ALL) + 0.25 * z(F.col("ret6m"), ALL) + 0.25 * z(F.col("sec_rel"), ALL) + 0.20 * z(F.col("net"), ALL)
+    score = 0.30 * z(F.col("distance"), everything()) + 0.25 * z(F.col("ret6m"), everything()) + 0.25 * z(F.col("sec_rel"), everything()) + 0.20 * z(F.col("net"), everything())
     return df.withColumn("opp", score).withColumn("opp_pct", F.bround(100 * F.cume_dist().over(Window.orderBy("opp"))))
 
 
@@ -50,7 +52,7 @@ def rotation(names: DataFrame) -> DataFrame:
     groups = names.groupBy("sec").agg(
         middle(F.col("ret1m") - F.col("ret3m") / 3).alias("accel"), middle("net").alias("flow"), F.avg((F.col("distance") > 0).cast("double")).alias("breadth"), middle("ret6m").alias("mom"), middle("sec_rel").alias("rs"), F.count("ticker").alias("n")
     )
-    score = sum(w * z(F.col(c), ALL, population=True) for c, w in (("accel", 0.30), ("flow", 0.25), ("breadth", 0.20), ("mom", 0.15), ("rs", 0.10)))
+    score = sum(w * z(F.col(c), everything(), population=True) for c, w in (("accel", 0.30), ("flow", 0.25), ("breadth", 0.20), ("mom", 0.15), ("rs", 0.10)))
     label = F.when(F.col("score") >= 0.5, "in").when(F.col("score") <= -0.5, "out").otherwise("neutral")
     return groups.withColumn("score", score).withColumn("label", label).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "sec")))
 
@@ -93,9 +95,9 @@ def leave_one_out_beta(ret: DataFrame) -> DataFrame:
     t = ret.where("r is not null").withColumn("n", F.count("r").over(week)).withColumn("m", (F.sum("r").over(week) - F.col("r")) / F.when(F.col("n") > 1, F.col("n") - 1))
     b = t.where("m is not null").groupBy("ticker").agg(F.regr_slope("r", "m").alias("beta"), F.count("r").alias("n"), F.regr_syy("r", "m").alias("yy"), F.regr_sxx("r", "m").alias("xx"), F.regr_sxy("r", "m").alias("xy"))
     b = b.withColumn("se", F.sqrt(F.greatest(F.col("yy") - F.col("xy") * F.col("xy") / F.col("xx"), F.lit(0.0)) / (F.col("n") - 2) / F.col("xx"))).select("ticker", "beta", "se")
-    tau = F.greatest(F.var_samp("beta").over(ALL) - F.avg(F.col("se") * F.col("se")).over(ALL), F.lit(0.0))
+    tau = F.greatest(F.var_samp("beta").over(everything()) - F.avg(F.col("se") * F.col("se")).over(everything()), F.lit(0.0))
     weight = tau / (tau + F.col("se") * F.col("se"))
-    return b.withColumn("vasicek", weight * F.col("beta") + (1 - weight) * F.avg("beta").over(ALL))
+    return b.withColumn("vasicek", weight * F.col("beta") + (1 - weight) * F.avg("beta").over(everything()))
 
 
 def momentum_panel(bars: DataFrame, back: int = 13, ahead: int = 4) -> DataFrame:
@@ -133,7 +135,7 @@ def fama_macbeth(panel: DataFrame) -> DataFrame:
 def two_way_fixed_effects(panel: DataFrame) -> DataFrame:
     """Slope within assets and dates, by demeaning twice."""
     a, d = Window.partitionBy("ticker"), Window.partitionBy("wk")
-    within = lambda c: F.col(c) - F.avg(c).over(a) - F.avg(c).over(d) + F.avg(c).over(ALL)
+    within = lambda c: F.col(c) - F.avg(c).over(a) - F.avg(c).over(d) + F.avg(c).over(everything())
     t = panel.select(within("sig").alias("x"), within("fwd").alias("y"))
     return t.agg((F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x"))).alias("slope"), F.count("x").alias("n"))
 

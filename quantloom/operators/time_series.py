@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.stats import clamp, order_statistic, ratio
-from ..sources.panels import BY_WEEK
+from ..sources.panels import by_week
 
-TO_HERE = BY_WEEK.rowsBetween(Window.unboundedPreceding, 0)
-LAST = Window.partitionBy("ticker").orderBy(F.desc("wk"))
 YEAR = 52
 
 
+def to_here() -> WindowSpec:
+    return by_week().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def newest_first() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy(F.desc("wk"))
+
 def horizon_returns(ret: DataFrame) -> DataFrame:
     """Compounded returns of the last 1, 4, 13, 26 and 52 weeks, in percent; a short history counts whole."""
-    back = ret.where("r is not null").withColumn("age", F.row_number().over(LAST))
+    back = ret.where("r is not null").withColumn("age", F.row_number().over(newest_first()))
     grown = lambda n: (100 * (F.exp(F.sum(F.when(F.col("age") <= n, F.ln(1 + F.col("r"))))) - 1))
     return back.groupBy("ticker").agg(*(grown(n).alias(k) for k, n in (("ret1w", 1), ("ret1m", 4), ("ret3m", 13), ("ret6m", 26), ("ret12m", 52))))
 
@@ -31,7 +36,7 @@ def volatility_beta(ret: DataFrame, mkt: DataFrame) -> DataFrame:
 
 def money_flow(bars: DataFrame, weeks: int = 21) -> DataFrame:
     """Signed money volume of the last weeks: in, out, and the net share."""
-    flows = bars.withColumn("b", F.lag("c").over(BY_WEEK)).withColumn("age", F.row_number().over(LAST)).where(f"b is not null and age <= {weeks}")
+    flows = bars.withColumn("b", F.lag("c").over(by_week())).withColumn("age", F.row_number().over(newest_first())).where(f"b is not null and age <= {weeks}")
     up = F.sum(F.when(F.col("c") >= F.col("b"), F.col("c") * F.col("v")).otherwise(0.0))
     down = F.sum(F.when(F.col("c") < F.col("b"), F.col("c") * F.col("v")).otherwise(0.0))
     return flows.groupBy("ticker").agg(up.alias("inflow"), down.alias("outflow"), ratio(up - down, up + down).alias("net"))
@@ -40,7 +45,7 @@ def money_flow(bars: DataFrame, weeks: int = 21) -> DataFrame:
 def money_flow_index(bars: DataFrame, weeks: int = 14) -> DataFrame:
     """Money flow index on the typical price of the last valid flows."""
     t = bars.withColumn("tp", (F.col("h") + F.col("l") + F.col("c")) / 3)
-    t = t.withColumn("b", F.lag("tp").over(BY_WEEK)).where("b is not null").withColumn("age", F.row_number().over(LAST)).where(f"age <= {weeks}")
+    t = t.withColumn("b", F.lag("tp").over(by_week())).where("b is not null").withColumn("age", F.row_number().over(newest_first())).where(f"age <= {weeks}")
     pos = F.sum(F.when(F.col("tp") > F.col("b"), F.col("tp") * F.col("v")).otherwise(0.0))
     neg = F.sum(F.when(F.col("tp") < F.col("b"), F.col("tp") * F.col("v")).otherwise(0.0))
     index = F.when(neg > 0, 100 - 100 / (1 + pos / F.when(neg > 0, neg))).when(pos > 0, 100.0).otherwise(50.0)
@@ -49,8 +54,8 @@ def money_flow_index(bars: DataFrame, weeks: int = 14) -> DataFrame:
 
 def true_range(bars: DataFrame, weeks: int = 14) -> DataFrame:
     """Mean true range of the last weeks, and whether the last close fell out of it."""
-    t = bars.withColumn("b", F.lag("c").over(BY_WEEK)).where("b is not null")
-    t = t.withColumn("tr", F.greatest(F.col("h") - F.col("l"), F.abs(F.col("h") - F.col("b")), F.abs(F.col("l") - F.col("b")))).withColumn("age", F.row_number().over(LAST))
+    t = bars.withColumn("b", F.lag("c").over(by_week())).where("b is not null")
+    t = t.withColumn("tr", F.greatest(F.col("h") - F.col("l"), F.abs(F.col("h") - F.col("b")), F.abs(F.col("l") - F.col("b")))).withColumn("age", F.row_number().over(newest_first()))
     out = t.where(f"age <= {weeks}").groupBy("ticker").agg(F.avg("tr").alias("atr"), F.max(F.when(F.col("age") == 1, F.col("c"))).alias("last"), F.max(F.when(F.col("age") == 1, F.col("b"))).alias("before"))
     return out.select("ticker", "atr", (F.col("last") < F.col("before") - F.col("atr")).alias("broke"))
 
@@ -66,7 +71,7 @@ def ema(bars: DataFrame, span: int = 21) -> DataFrame:
 
 def ewma_volatility(ret: DataFrame, decay: float = 0.94) -> DataFrame:
     """Exponentially weighted variance seeded with the first squared return, in closed form, as annual volatility."""
-    t = ret.where("r is not null").withColumn("age", F.row_number().over(LAST) - 1).withColumn("n", F.count("r").over(Window.partitionBy("ticker")))
+    t = ret.where("r is not null").withColumn("age", F.row_number().over(newest_first()) - 1).withColumn("n", F.count("r").over(Window.partitionBy("ticker")))
     weight = F.when(F.col("age") == F.col("n") - 1, F.pow(F.lit(decay), F.col("age"))).otherwise((1 - decay) * F.pow(F.lit(decay), F.col("age")))
     return t.groupBy("ticker").agg(F.sqrt(F.sum(weight * F.col("r") * F.col("r")) * YEAR).alias("ewma_vol"))
 
@@ -75,7 +80,7 @@ def range_volatility(bars: DataFrame) -> DataFrame:
     """Annual volatility from closes, ranges, and opens, by four estimators."""
     hl, co = F.ln(F.col("h") / F.col("l")), F.ln(F.col("c") / F.col("o"))
     hc, ho, lc, lo = (F.ln(F.col(a) / F.col(b)) for a, b in (("h", "c"), ("h", "o"), ("l", "c"), ("l", "o")))
-    close = F.ln(F.col("c") / F.lag("c").over(BY_WEEK))
+    close = F.ln(F.col("c") / F.lag("c").over(by_week()))
     t = bars.select("ticker", close.alias("cc"), (hl * hl / (4 * math.log(2))).alias("pk"), (0.5 * hl * hl - (2 * math.log(2) - 1) * co * co).alias("gk"), (hc * ho + lc * lo).alias("rs"))
     annual = lambda x: F.sqrt(F.greatest(x, F.lit(0.0)) * YEAR)
     return t.groupBy("ticker").agg(annual(F.var_samp("cc")).alias("close_vol"), annual(F.avg("pk")).alias("parkinson"), annual(F.avg("gk")).alias("garman_klass"), annual(F.avg("rs")).alias("rogers_satchell"))
@@ -83,14 +88,14 @@ def range_volatility(bars: DataFrame) -> DataFrame:
 
 def jump_ratio(ret: DataFrame, weeks: int = 21) -> DataFrame:
     """The part of realised variance beyond bipower variation, over the last returns."""
-    t = ret.where("lr is not null").withColumn("b", F.lag(F.abs("lr")).over(BY_WEEK)).withColumn("age", F.row_number().over(LAST)).where(f"age <= {weeks}")
+    t = ret.where("lr is not null").withColumn("b", F.lag(F.abs("lr")).over(by_week())).withColumn("age", F.row_number().over(newest_first())).where(f"age <= {weeks}")
     rv, bv = F.sum(F.col("lr") * F.col("lr")), math.pi / 2 * F.sum(F.abs("lr") * F.when(F.col("age") < weeks, F.col("b")))
     return t.groupBy("ticker").agg(rv.alias("rv"), bv.alias("bv"), clamp(ratio(rv - bv, rv), 0.0, 1.0).alias("jump"))
 
 
 def variance_ratio(ret: DataFrame, q: int = 5) -> DataFrame:
     """Variance of q-week sums against q times that of weeks; from 4q weeks on."""
-    t = ret.where("lr is not null").withColumn("s", F.sum("lr").over(BY_WEEK.rowsBetween(-q + 1, 0))).withColumn("k", F.row_number().over(BY_WEEK))
+    t = ret.where("lr is not null").withColumn("s", F.sum("lr").over(by_week().rowsBetween(-q + 1, 0))).withColumn("k", F.row_number().over(by_week()))
     vr = ratio(F.var_samp(F.when(F.col("k") >= q, F.col("s"))), q * F.var_samp("lr"))
     label = F.when(vr >= 1.15, "trending").when(vr <= 0.85, "mean-revert").otherwise("random-walk")
     return t.groupBy("ticker").agg(F.when(F.count("lr") >= 4 * q, vr).alias("vr"), F.when(F.count("lr") >= 4 * q, label).alias("regime"))
@@ -98,15 +103,15 @@ def variance_ratio(ret: DataFrame, q: int = 5) -> DataFrame:
 
 def half_life(bars: DataFrame, cap: float = 252.0) -> DataFrame:
     """Weeks in which half of a log-price deviation fades; none where it doesn't revert."""
-    t = bars.select("ticker", "wk", F.ln("c").alias("p")).withColumn("b", F.lag("p").over(BY_WEEK)).where("b is not null")
+    t = bars.select("ticker", "wk", F.ln("c").alias("p")).withColumn("b", F.lag("p").over(by_week())).where("b is not null")
     t = t.groupBy("ticker").agg(F.count("b").alias("n"), F.regr_slope(F.col("p") - F.col("b"), F.col("b")).alias("slope"))
     return t.select("ticker", "slope", F.when((F.col("n") >= 25) & (F.col("slope") < 0), F.least(-math.log(2) / F.col("slope"), F.lit(cap))).alias("half_life"))
 
 
 def drawdowns(bars: DataFrame) -> DataFrame:
     """Deepest fall below the peak so far, the ulcer index, and the longest stretch of weeks below a peak."""
-    t = bars.withColumn("peak", F.max("c").over(TO_HERE)).withColumn("dd", F.col("c") / F.col("peak") - 1)
-    t = t.withColumn("under", F.when(F.col("c") < F.col("peak"), 1).otherwise(0)).withColumn("run", F.sum(1 - F.col("under")).over(TO_HERE))
+    t = bars.withColumn("peak", F.max("c").over(to_here())).withColumn("dd", F.col("c") / F.col("peak") - 1)
+    t = t.withColumn("under", F.when(F.col("c") < F.col("peak"), 1).otherwise(0)).withColumn("run", F.sum(1 - F.col("under")).over(to_here()))
     spans = t.groupBy("ticker", "run").agg(F.sum("under").alias("span"), F.min("dd").alias("dd"), F.sum(F.pow(100 * F.col("dd"), 2)).alias("sq"), F.count("dd").alias("n"))
     return spans.groupBy("ticker").agg(F.min("dd").alias("max_drawdown"), F.sqrt(F.sum("sq") / F.sum("n")).alias("ulcer"), F.max("span").alias("longest"))
 
@@ -138,7 +143,7 @@ def moments(ret: DataFrame) -> DataFrame:
 def hurst(bars: DataFrame, longest: int = 20) -> DataFrame:
     """Slope of the log spread of lagged differences on the log lag."""
     t = bars.select("ticker", "wk", "c")
-    lagged = F.array(*(F.struct(F.lit(k).alias("k"), (F.col("c") - F.lag("c", k).over(BY_WEEK)).alias("d")) for k in range(2, longest + 1)))
+    lagged = F.array(*(F.struct(F.lit(k).alias("k"), (F.col("c") - F.lag("c", k).over(by_week())).alias("d")) for k in range(2, longest + 1)))
     diffs = t.select("ticker", lagged.alias("xs")).select("ticker", F.explode("xs").alias("x")).select("ticker", "x.k", "x.d")
     spread = diffs.where("d is not null").groupBy("ticker", "k").agg(F.stddev_pop("d").alias("sd")).where("sd > 0")
     return spread.groupBy("ticker").agg(F.regr_slope(F.ln("sd"), F.ln("k")).alias("hurst"))
@@ -146,21 +151,21 @@ def hurst(bars: DataFrame, longest: int = 20) -> DataFrame:
 
 def volatility_term(ret: DataFrame, horizons: tuple[int, ...] = (1, 5, 10, 21)) -> DataFrame:
     """Spread of overlapping sums of returns by horizon, beside the square-root rule."""
-    t = ret.where("lr is not null").withColumn("k", F.row_number().over(BY_WEEK))
-    sums = [F.struct(F.lit(h).alias("h"), F.when(F.col("k") >= h, F.sum("lr").over(BY_WEEK.rowsBetween(-h + 1, 0))).alias("s")) for h in horizons]
+    t = ret.where("lr is not null").withColumn("k", F.row_number().over(by_week()))
+    sums = [F.struct(F.lit(h).alias("h"), F.when(F.col("k") >= h, F.sum("lr").over(by_week().rowsBetween(-h + 1, 0))).alias("s")) for h in horizons]
     t = t.select("ticker", "lr", F.array(*sums).alias("xs")).select("ticker", "lr", F.explode("xs").alias("x")).select("ticker", "lr", "x.h", "x.s")
     return t.groupBy("ticker", "h").agg(F.stddev_samp("s").alias("hv"), (F.stddev_samp("lr") * F.sqrt(F.col("h"))).alias("root_rule"))
 
 
 def relative_volume(bars: DataFrame, weeks: int = 20) -> DataFrame:
     """The week's volume against the median of the weeks before, for every week."""
-    before = F.percentile("v", F.lit(0.5)).over(BY_WEEK.rowsBetween(-weeks, -1))
+    before = F.percentile("v", F.lit(0.5)).over(by_week().rowsBetween(-weeks, -1))
     return bars.select("ticker", "wk", ratio(F.col("v"), before).alias("rvol"))
 
 
 def stale_runs(bars: DataFrame) -> DataFrame:
     """Series health: weeks, the longest gap in days, jumps beyond 3.5 robust z, and the verdict."""
-    t = bars.withColumn("lr", F.ln(F.col("c") / F.lag("c").over(BY_WEEK))).withColumn("gap", F.datediff("wk", F.lag("wk").over(BY_WEEK)))
+    t = bars.withColumn("lr", F.ln(F.col("c") / F.lag("c").over(by_week()))).withColumn("gap", F.datediff("wk", F.lag("wk").over(by_week())))
     middle = t.groupBy("ticker").agg(F.percentile("lr", F.lit(0.5)).alias("med"))
     t = t.join(middle, "ticker").withColumn("off", F.abs(F.col("lr") - F.col("med")))
     mad = t.groupBy("ticker").agg(F.percentile("off", F.lit(0.5)).alias("mad"))

@@ -49,7 +49,7 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
 
 def _turnover(spark: SparkSession, d: str) -> DataFrame:
     q = _trades(spark, d).groupBy("ticker", "quarter").agg(F.sum("shares").alias("s"))
-    share = lambda day: q.where(F.col("quarter") == day).withColumn("w", F.col("s") / F.sum("s").over(cs.ALL))
+    share = lambda day: q.where(F.col("quarter") == day).withColumn("w", F.col("s") / F.sum("s").over(cs.everything()))
     return rel.turnover(share("1997-04-01"), share("1997-01-01"), "ticker", "w")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -26,13 +26,14 @@ def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-BY_WEEK = Window.partitionBy("ticker").orderBy("wk")
+def by_week() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("wk")
 
 
 def weekly_returns(bars: DataFrame) -> DataFrame:
     """Bars with the simple return ``r`` and the log return ``lr`` of each but the first, and the place ``i`` of the bar."""
-    before = F.lag("c").over(BY_WEEK)
-    return bars.select("*", F.row_number().over(BY_WEEK).alias("i"), (F.col("c") / before - 1).alias("r"), F.ln(F.col("c") / before).alias("lr"))
+    before = F.lag("c").over(by_week())
+    return bars.select("*", F.row_number().over(by_week()).alias("i"), (F.col("c") / before - 1).alias("r"), F.ln(F.col("c") / before).alias("lr"))
 
 
 def market(returns: DataFrame) -> DataFrame:
