@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import calibration, cross_section, inference, kernels, relational, time_series
+from .plans import calibration, cross_section, inference, kernels, records, relational, time_series
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [time_series, cross_section, relational, calibration, inference, kernels]
+MODULES = [time_series, cross_section, relational, calibration, inference, records, kernels]
 
 
 def queries() -> dict[str, Query]:
