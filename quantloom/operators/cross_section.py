@@ -115,7 +115,7 @@ def rank_ic(panel: DataFrame, least: int = 5) -> DataFrame:
 
 def ic_summary(ics: DataFrame) -> DataFrame:
     """Mean, spread, information ratio, t and share of positive dates."""
-    return ics.agg(F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("sd_ic"), ratio(F.avg("ic"), F.stddev_samp("ic")).alias("ir"), ratio(F.avg("ic") * F.sqrt(F.count("ic")), F.stddev_samp("ic")).alias("t"), F.avg((F.col("ic") > 0).cast("double")).alias("positive"), F.count("ic").alias("n"))
+    return ics.agg(F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("sd_ic"), ratio(F.avg("ic"), F.stddev_samp("ic")).alias("ir"), ratio(F.avg("ic") * F.sqrt(F.count("ic")), F.stddev_samp("ic")).alias("t"), F.avg((F.round("ic", 9) > 0).cast("double")).alias("positive"), F.count("ic").alias("n"))
 
 
 def quantile_returns(panel: DataFrame, q: int = 5) -> DataFrame:

@@ -92,7 +92,7 @@ b AS (SELECT ticker, regr_slope(r, m) AS beta, sqrt(greatest(regr_syy(r, m) - po
 u AS (SELECT *, greatest(var_samp(beta) OVER () - avg(se * se) OVER (), 0) AS tau, avg(beta) OVER () AS mean FROM b)
 SELECT ticker, round(beta, 6) AS beta, round(se, 6) AS se, round(tau / (tau + se * se) * beta + (1 - tau / (tau + se * se)) * mean, 6) AS vasicek FROM u"""),
     "rank_ic_by_date": sql(_IC + " SELECT wk, n, round(ic, 6) AS ic FROM ics"),
-    "ic_summary": sql(_IC + " SELECT round(avg(ic), 6) AS mean_ic, round(stddev_samp(ic), 6) AS sd_ic, round(avg(ic) / stddev_samp(ic), 6) AS ir, round(avg(ic) * sqrt(count(ic)) / stddev_samp(ic), 6) AS t, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive, count(ic) AS n FROM ics"),
+    "ic_summary": sql(_IC + " SELECT round(avg(ic), 6) AS mean_ic, round(stddev_samp(ic), 6) AS sd_ic, round(avg(ic) / stddev_samp(ic), 6) AS ir, round(avg(ic) * sqrt(count(ic)) / stddev_samp(ic), 6) AS t, round(avg(CASE WHEN round(ic, 9) > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive, count(ic) AS n FROM ics"),
     "quantile_long_short": sql(_PANEL + """, q AS (SELECT wk, fwd, (row_number() OVER (PARTITION BY wk ORDER BY sig, ticker) - 1) AS place, count(*) OVER (PARTITION BY wk) AS n FROM pan),
 b AS (SELECT wk, (place * 5 // n)::INT AS bucket, avg(fwd) AS fwd FROM q WHERE n >= 5 GROUP BY ALL) SELECT bucket, round(avg(fwd), 6) AS mean_fwd, round(stddev_samp(fwd), 6) AS sd_fwd, count(*) AS n FROM b GROUP BY bucket"""),
     "fama_macbeth_1f": sql(_PANEL + ", s AS (SELECT wk, regr_slope(fwd, sig) AS slope FROM pan GROUP BY wk HAVING count(*) >= 5) SELECT round(avg(slope), 6) AS premium, round(avg(slope) * sqrt(count(slope)) / stddev_samp(slope), 6) AS t, count(slope) AS n FROM s"),
