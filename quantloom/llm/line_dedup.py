@@ -6,8 +6,8 @@ and not above the one behind: such places depend on the four lines around them a
 same wherever it stands, and have at least two lines (but for the first of a text). Chunks of two lines or more that occur
 again anywhere are removed, after their bytes were compared; the first occurrence (least doc_id, then place) stays.
 
-Chunk texts are shuffled once, summed up before they are; no group is gathered. Documents meet their removals by their id
-and the hash of their text.
+Groups are found by hashes alone; the texts that have a member are then read for the comparison of bytes, summed up before
+they are shuffled. Documents meet their removals by their id and the hash of their text.
 """
 
 from __future__ import annotations
@@ -64,28 +64,33 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     those added are replaced; others are kept.
     """
     added = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
-    own = [c for c in docs.columns if c not in added]
+    own, place = [c for c in docs.columns if c not in added], ["_id", "_of"]
     marked = docs.select(*own).withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))).withColumn("_of", F.xxhash64("text"))
-    many = F.filter(_chunks(), lambda c: c["n"] >= 2)
-    each = _cut(marked.select("_id", "_of", "text")).select("_id", "_of", F.transform(many, lambda c: F.struct(c["at"].alias("at"), c["n"].alias("n"), _text_of(c).alias("body"))).alias("c"))
-    # outer: else a filter on the array goes below, and all that makes the array is made again for it
-    bodies = each.select("_id", "_of", F.explode_outer("c").alias("c")).where("c is not null").select("_id", "_of", "c.at", "c.body")
-    groups = bodies.groupBy(F.xxhash64("body").alias("h")).agg(
-        F.count(F.lit(1)).alias("times"), F.min(F.struct("_id", "_of", "at")).alias("first"), F.min("body").alias("least"), F.max("body").alias("most")
-    )
-    repeated = settle(groups.where("times > 1 and least = most").select("h", "first"), "lines-repeated")
-
-    hashed = F.transform("c", lambda c: F.struct(c["at"].alias("at"), F.xxhash64(c["body"]).alias("h")))
-    places = each.select("_id", "_of", F.explode_outer(hashed).alias("c")).where("c is not null").select("_id", "_of", "c.at", "c.h")
-    gone = places.join(repeated, "h").where(F.struct("_id", "_of", "at") != F.col("first"))
-    gone = settle(gone.groupBy("_id", "_of").agg(F.collect_set("at").alias("_gone")), "lines-removed")  # a text's own places
 
-    whole = _cut(marked.join(gone, ["_id", "_of"], "left")).withColumn("_all", _chunks())
-    out = F.filter("_all", lambda c: F.array_contains("_gone", c["at"]))
+    # chunks as hashes: no text beyond this but that of texts with a repeated one
+    hashes = F.transform(F.filter(_chunks(), lambda c: c["n"] >= 2), lambda c: F.struct(c["at"].alias("at"), c["n"].alias("n"), F.xxhash64(_text_of(c)).alias("h")))
+    cut = _cut(marked.select(*place, "text")).select(*place, F.size("_key").cast("bigint").alias("n_lines"), F.size("_from").cast("bigint").alias("n_chunks"), hashes.alias("c"))
+    narrow = settle(cut.dropDuplicates(place), "lines-hashes")
+    places = narrow.select(*place, F.explode_outer("c").alias("c")).where("c is not null").select(*place, "c.at", "c.n", "c.h")
+    groups = places.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*place, "at")).alias("first")).where("times > 1").select("h", "first")
+    members = settle(places.join(groups, "h"), "lines-members")
+
+    # the bytes of all members of a hash: the same if the least and the greatest are
+    own_places = members.groupBy(*place).agg(F.map_from_entries(F.collect_set(F.struct("at", "h"))).alias("_h"))  # a text's own
+    bodies = _cut(marked.select(*place, "text").join(own_places, place)).withColumn("_all", F.filter(_chunks(), lambda c: F.map_contains_key("_h", c["at"])))
+    bodies = bodies.select(F.transform("_all", lambda c: F.struct(F.element_at("_h", c["at"]).alias("h"), _text_of(c).alias("body"))).alias("x"))
+    bodies = bodies.select(F.explode_outer("x").alias("x")).where("x is not null").select("x.h", "x.body")
+    clashes = settle(bodies.groupBy("h").agg(F.min("body").alias("least"), F.max("body").alias("most")).where("least <> most").select("h"), "lines-clashes")
+    if not clashes.isEmpty():
+        members = members.join(clashes, "h", "left_anti")
+
+    gone = members.where(F.struct(*place, "at") != F.col("first")).groupBy(*place).agg(F.collect_set("at").alias("_gone"), F.count(F.lit(1)).alias("n_removed_chunks"), F.sum("n").cast("bigint").alias("n_removed_lines"))
+    counts = narrow.select(*place, "n_lines", "n_chunks").join(gone, place, "left")
+    whole = marked.join(counts, place)
+    # only texts that lose something are cut again
+    whole = _cut(whole.withColumn("_text", F.col("text")).withColumn("text", F.when(F.col("_gone").isNotNull(), F.col("text")))).withColumn("_all", _chunks())
     kept = F.array_join(F.transform(F.filter("_all", lambda c: ~F.array_contains("_gone", c["at"])), lambda c: F.array_join(F.slice("_raw", c["at"] + 1, c["n"]), "")), "")
-    whole = whole.withColumn("_out", F.when(F.col("_gone").isNotNull(), out).otherwise(F.slice("_all", 1, 0)))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     return whole.select(
-        *(F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in own),
-        F.size("_key").cast("bigint").alias("n_lines"), F.size("_all").cast("bigint").alias("n_chunks"), F.size("_out").cast("bigint").alias("n_removed_chunks"),
-        F.aggregate("_out", F.lit(0).cast("bigint"), lambda n, c: n + c["n"]).alias("n_removed_lines"),
+        *(F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("_text")).alias("text") if c == "text" else F.col(c) for c in own), "n_lines", "n_chunks", zero("n_removed_chunks"), zero("n_removed_lines"),
     )
