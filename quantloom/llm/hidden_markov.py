@@ -123,13 +123,13 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     end = counts.where(F.col("token") == END).first()
     known = dict(common) | ({END: end.n} if end else {})
     classes = {t: i for i, t in enumerate([END, *(t for t, _ in common[: CLASSES - 1])])}
-    last = common[min(CLASSES - 1, len(common)) - 1] if common else None
+    # all tokens without a class of their own, those beyond the bound too: what comes behind the last that has one
+    last = common[min(CLASSES - 1, len(common)) - 1] if common[: CLASSES - 1] else None
+    rest = words if last is None else words.where((F.col("n") < last[1]) | (F.col("n") == last[1]) & (F.col("token") > last[0]))
     tail_n, tail_v = np.zeros(TAILS), np.zeros(TAILS)
-    if last and len(common) >= CLASSES:
-        rest = counts.where((F.col("token") != END) & ((F.col("n") < last[1]) | (F.col("n") == last[1]) & (F.col("token") > last[0])))
-        tail = F.pmod(F.crc32(F.substring("token", -3, 3).cast("binary")), F.lit(TAILS)).cast("int")
-        for r in rest.groupBy(tail.alias("tail")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
-            tail_n[r.tail], tail_v[r.tail] = r.n, r.v
+    tail = F.pmod(F.crc32(F.substring("token", -3, 3).cast("binary")), F.lit(TAILS)).cast("int")
+    for r in rest.groupBy(tail.alias("tail")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        tail_n[r.tail], tail_v[r.tail] = r.n, r.v
     return Vocabulary(known, classes, total.n or 0, total.v or 0, tail_n, tail_v)
 
 

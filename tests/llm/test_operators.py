@@ -152,6 +152,22 @@ def test_hidden_markov_awkward(awkward):
     assert hidden_markov.score_documents(awkward.limit(0), rounds=1).count() == 0
 
 
+@pytest.mark.parametrize("lookup", [0, 10, 2000])
+def test_shared_classes_are_distributions(spark, monkeypatch, lookup):
+    """Few common tokens, and more rare ones than the bound: in each shared class the probabilities still sum to one."""
+    monkeypatch.setattr(hidden_markov, "LOOKUP", lookup)
+    counts = {f"common{i}": 100 + i for i in range(8)} | {f"rare{i}": 1 for i in range(1000)} | {hidden_markov.END: 50}
+    vocab = hidden_markov.vocabulary(spark.createDataFrame(list(counts.items()), "token string, n bigint"))
+    shared = [t for t in counts if t not in vocab.classes]
+    assert sum(vocab.tail_n) + sum(counts[t] for t in vocab.classes) == sum(counts.values()) and sum(vocab.tail_v) == len(shared)
+    total = np.zeros(hidden_markov.TAILS)
+    for t in shared:
+        tail = hidden_markov.tail_of(t)
+        total[tail] += 10 ** vocab.within(np.array(counts[t]), tail)
+    unseen = 10 ** vocab.within(np.zeros(hidden_markov.TAILS), np.arange(hidden_markov.TAILS))
+    assert total + unseen == pytest.approx(1)
+
+
 # --- token shards
 
 
