@@ -13,7 +13,8 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -66,10 +67,21 @@ class Normalised:
 
     __slots__ = ("text", "starts", "ends")
 
-    def __init__(self, text: str, starts: list[int], ends: list[int]) -> None:
+    def __init__(self, text: str, starts: Sequence[int], ends: Sequence[int]) -> None:
         self.text, self.starts, self.ends = text, starts, ends
 
 
+class Row(NamedTuple):
+    """A text's piece ids (also as decimals joined by commas), the span of each in bytes of the original text, and the text
+    that the library decodes the ids to. Pieces that fall back to bytes share the span of their character."""
+
+    joined: bytes
+    ids: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    decoded: str
+
+
 class Codec:
     """A model's encoder and decoder. ``cache`` bounds the segments kept, ``longest`` the characters of one."""
 
@@ -83,22 +95,25 @@ class Codec:
         plain = [p for p in proto.pieces if p.type == p.NORMAL]
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", p.piece) for p in plain) and not any(p.type == p.USER_DEFINED for p in proto.pieces)
         self.whole = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.surface = {i: p.piece for i, p in enumerate(proto.pieces)}
+        # characters of the normalised text that a piece takes; of the bytes of one character, the first takes it
+        self.widths = np.array([int(int(p.piece[3:5], 16) & 0xC0 != 0x80) if p.type == p.BYTE else 1 if p.type == p.UNKNOWN else len(p.piece) for p in proto.pieces])
         self.decimal = [b"%d" % i for i in range(len(proto.pieces))]
         self.marked = np.array([p.piece.startswith(MARK) for p in proto.pieces])
-        self.bytes = {i for i, p in enumerate(proto.pieces) if p.type == p.BYTE}
-        self.unknown = {i for i, p in enumerate(proto.pieces) if p.type == p.UNKNOWN}
-        self.unknown_form = None if proto.trainer_spec.byte_fallback else self.decimal[next(iter(self.unknown))]
         # the library's encoder for text that is normalised already
         spec.Clear()
         spec.name, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces = "identity", False, False, True
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.known: dict[str, bytes] = {}
-        self.odd: set[str] = set()
         self.cache, self.longest = cache, longest
 
     def normalise(self, text: str) -> Normalised:
         """Longest-prefix normalisation with the source of every character."""
+        if not self.map.units and not self.squeeze:  # no rule matches anywhere: every character is its own source
+            first = [0] if self.prefix and text else []
+            raw = np.frombuffer(text.encode(), np.uint8)
+            starts = np.flatnonzero(raw & 0xC0 != 0x80)
+            ends = np.append(starts, len(raw))[1:]
+            return Normalised((" " * len(first) + text).replace(" ", MARK), np.concatenate([first, starts]).astype(np.int32), np.concatenate([first, ends]).astype(np.int32))
         raw, at, pieces = text.encode(), 0, []
         while at < len(raw):
             rule = self.map.longest(raw, at)
@@ -123,12 +138,6 @@ class Codec:
             chars.insert(0, (" ", first, first))
         return Normalised("".join(c for c, _, _ in chars).replace(" ", MARK), [a for _, a, _ in chars], [b for _, _, b in chars])
 
-    def normal_form(self, text: str) -> str:
-        """The normalised text alone; the same as ``normalise(text).text``."""
-        if self.map.units or self.squeeze:
-            return self.normalise(text).text
-        return ((" " if self.prefix and text else "") + text).replace(" ", MARK)
-
     def segments(self, normal: str) -> list[str]:
         if not self.splits:
             return [normal] if normal else []
@@ -144,8 +153,6 @@ class Codec:
             new = list({s for s, form in zip(segments, out, strict=True) if form is None})
             made = self._together(new) if bare else [b",".join(map(self.decimal.__getitem__, x)) for x in self.bare.encode(new, num_threads=1)]
             made = dict(zip(new, made, strict=True))
-            if self.unknown_form is not None:  # what decodes to something else than itself
-                self.odd.update(s for s, form in made.items() if self.unknown_form in form.split(b","))
             out = [made[s] if form is None else form for s, form in zip(segments, out, strict=True)]
             if len(known) > self.cache:
                 known.clear()
@@ -159,40 +166,20 @@ class Codec:
         texts = list(map(self.decimal.__getitem__, ids))
         return [b",".join(texts[a:b]) for a, b in zip(starts, [*starts[1:], len(texts)], strict=True)]
 
-    def encode_text(self, text: str) -> tuple[bytes, str]:
-        """The ids of the whole text as decimals joined by commas, and the text that they decode to."""
-        normal = self.normal_form(text)
+    def joined(self, normal: str) -> bytes:
+        """The ids of a normalised text as decimals joined by commas."""
         segments = self.segments(normal)
-        if not segments:
-            return b"", ""
-        bare = self.splits and segments[0][:1] != MARK and normal[:1] == MARK
-        joined = b",".join(self.forms(segments, bare))
-        if self.odd and not self.odd.isdisjoint(segments):
-            return joined, self.whole.decode(list(map(int, joined.split(b","))))
-        decoded = normal.replace(MARK, " ")
-        # the decoder drops the space that the encoder put in front, or all that begin the text where spaces are squeezed
-        return joined, decoded.lstrip(" ") if self.squeeze else decoded[1:] if self.prefix and decoded[:1] == " " else decoded
-
-    def encode(self, text: str) -> list[int]:
-        joined = self.encode_text(text)[0]
-        return [int(i) for i in joined.split(b",")] if joined else []
-
-    def encode_with_spans(self, text: str) -> list[tuple[int, int, int]]:
-        """(id, start, end) of every piece, in bytes of the original text. Pieces that fall back to bytes share the span
-        of their character."""
-        source, at, out, pending = self.normalise(text), 0, [], 0
-        for i in self.encode(text):
-            if i in self.bytes or i in self.unknown:
-                out.append((i, source.starts[at], source.ends[at]))
-                pending += 1
-                width = len(source.text[at].encode()) if i in self.bytes else 1
-                if pending == width:
-                    at, pending = at + 1, 0
-            else:
-                n = len(self.surface[i])
-                out.append((i, source.starts[at], source.ends[at + n - 1]))
-                at += n
-        return out
+        return b",".join(self.forms(segments, bool(segments) and self.splits and segments[0][:1] != MARK and normal[:1] == MARK))
+
+    def row(self, text: str) -> Row:
+        """Everything about a text, each part made from the one before: aligned normal form, ids, spans, decoded ids."""
+        source = self.normalise(text)
+        joined = self.joined(source.text)
+        ids = np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32)
+        widths = self.widths[ids]
+        behind = np.cumsum(widths)
+        starts, ends = np.asarray(source.starts, np.int32), np.asarray(source.ends, np.int32)
+        return Row(joined, ids, starts[behind - np.maximum(widths, 1)], ends[behind - 1], self.whole.decode(ids.tolist()) if joined else "")
 
 
 _CODECS: dict[str, Codec] = {}
@@ -214,9 +201,9 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for part in rows(batches, 32):
-            spans = [c.encode_with_spans(t) for _, t in part]
+            made = [c.row(t) for _, t in part]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in part], pa.int64()), *(pa.array([[x[k] for x in s] for s in spans], pa.list_(pa.int32())) for k in range(3)), pa.array([c.encode_text(t)[1] for _, t in part], pa.string())],
+                [pa.array([i for i, _ in part], pa.int64()), *(pa.array([getattr(r, k) for r in made], pa.list_(pa.int32())) for k in ("ids", "starts", "ends")), pa.array([r.decoded for r in made], pa.string())],
                 names=["doc_id", "ids", "starts", "ends", "decoded"],
             )
 
@@ -224,18 +211,22 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
 
 
 def piece_digests(docs: DataFrame, model: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for each row, of the ids and the decoded text of the encoder above;
-    ids stay in the worker. Nulls and empty texts as there."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256`` for each row, of the same rows that ``encode_documents``
+    gives; ids stay in the worker. ``spans_sha256`` is of start and end of each piece in turn, as little-endian 32-bit
+    numbers. Nulls and empty texts as there."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for part in rows(batches):
-            n, ids, texts = [], [], []
+            n, ids, texts, spans = [], [], [], []
             for _, text in part:
-                joined, decoded = c.encode_text(text)
-                n.append(joined.count(b",") + 1 if joined else 0)
-                ids.append(hashlib.sha256(joined).hexdigest())
-                texts.append(hashlib.sha256(decoded.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array(n, pa.int64()), pa.array(ids), pa.array(texts)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                r = c.row(text)
+                n.append(len(r.ids))
+                ids.append(hashlib.sha256(r.joined).hexdigest())
+                texts.append(hashlib.sha256(r.decoded.encode()).hexdigest())
+                spans.append(hashlib.sha256(np.stack([r.starts, r.ends], 1).astype("<i4").tobytes()).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i for i, _ in part], pa.int64()), pa.array(n, pa.int64()), pa.array(ids), pa.array(texts), pa.array(spans)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]
+            )
 
-    return texts_of(docs).mapInArrow(make, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return texts_of(docs).mapInArrow(make, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string")

@@ -352,6 +352,20 @@ def test_piece_spans(awkward, model):
         assert [(r.starts[k], r.ends[k]) for k in whole] == [(want[k].begin, want[k].end) for k in whole]
 
 
+def test_piece_digests_are_of_the_operators_rows(docs, texts, model, monkeypatch):
+    """The query's spans against the library's, and its text from the ids by the library's decoder."""
+    path, library = model
+    for i, r in by_id(pieces.piece_digests(docs, path)).items():
+        want = library.encode(texts[i], return_type="proto").pieces
+        if not any(p.piece.startswith("<0x") for p in want):
+            spans = [(p.begin, p.end) for p in want]
+            assert r.spans_sha256 == hashlib.sha256(np.array(spans, "<i4").reshape(-1, 2).tobytes()).hexdigest()
+    codec = pieces.Codec(path)
+    given = []
+    codec.whole = type("Decoder", (), {"decode": lambda self, ids: given.append(ids) or "decoded"})()
+    assert codec.row("some words").decoded == "decoded" and given == [library.encode("some words")]
+
+
 def test_compiled_character_map():
     """The longest-prefix map against the library's normaliser."""
     library = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
