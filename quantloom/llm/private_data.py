@@ -4,8 +4,8 @@ Base rules find the spans that every result holds. Beside them, generators with
 (numbers joined by other signs, parts of a run that the base rule drops whole, mail addresses with spelled-out signs).
 Boosted trees judge each candidate by its format and its context, and learn to tell candidates that are base spans from
 the others without seeing what the base rules check (signs they need, check sums, ranges). The threshold of a kind is
-calibrated on cases kept from the fit: the lowest probability down to which ``PRECISION`` of them are base spans. So a
-candidate is added where nearly all that look like it are sure. Of overlapping candidates the likeliest stays, and none
+calibrated on all candidates but those fitted on: the lowest probability down to which ``PRECISION`` of them are base spans.
+So a candidate is added where nearly all that look like it are sure. Of overlapping candidates the likeliest stays, and none
 that touches a base span.
 
 The trees are compiled into one SQL expression. Patterns use possessive repeats, and begin where a run begins or the match
@@ -14,6 +14,8 @@ before ended, so that their time and stack stay bounded on long runs; none chang
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -22,12 +24,14 @@ from pyspark.sql import functions as F
 from .common import settle, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Candidates to fit on, at most: those with the lowest hash of their place.
+#: Candidates of each kind to fit on, at most: those with the lowest hash of their place.
 SAMPLE = 20_000
+#: Steps of probability that thresholds are told apart by.
+STEPS = 10_000
 TREES, DEPTH = 20, 4
 #: Share of base spans among the cases of a kind above its threshold.
 PRECISION = 0.9
-#: Sure cases of a kind, among those kept from the fit, below which none is added.
+#: Sure cases of a kind, among those not fitted on, below which none is added.
 LEAST = 5
 _CONTEXT = 24
 
@@ -142,11 +146,16 @@ def _tree(node, x: Column) -> Column:
     return F.when(F.get(x, F.lit(at.featureIndex())) <= float(at.threshold()), _tree(node.leftChild(), x)).otherwise(_tree(node.rightChild(), x))
 
 
+def _step(p: Column) -> Column:
+    return F.floor(p * STEPS).cast("int")
+
+
 class Judge:
-    """A fitted model: the probability that a candidate is marked, and the threshold of each kind (None: none is added)."""
+    """A fitted model: the probability that a candidate is marked, up to which hash of its place each kind was fitted on, and
+    the threshold of each kind in steps (missing: none is added)."""
 
-    def __init__(self, model, thresholds: dict[int, float]) -> None:
-        self.model, self.thresholds = model, thresholds
+    def __init__(self, model, fitted: dict[int, int]) -> None:
+        self.model, self.fitted, self.thresholds = model, fitted, {}
 
     def probability(self, features: Column) -> Column:
         trees = zip(self.model._java_obj.trees(), self.model.treeWeights, strict=True)
@@ -156,27 +165,45 @@ class Judge:
     def accepts(self, x: Column) -> Column:
         out = F.lit(False)
         for kind, threshold in self.thresholds.items():
-            out = F.when(x["kind"] == kind, x["p"] >= threshold).otherwise(out)
+            out = F.when(x["kind"] == kind, _step(x["p"]) >= threshold).otherwise(out)
         return out
 
 
+def _place(c: Column) -> Column:
+    return F.xxhash64("doc_id", c["kind"], c["start"], c["end"])
+
+
+def _fits(h: Column) -> Column:
+    """Whether a candidate is one to fit on, if it is in the sample."""
+    return F.pmod(h, F.lit(4)) > 0
+
+
 def learn(found: DataFrame) -> Judge | None:
-    """Fits the trees and calibrates the thresholds; None where there is nothing to learn from."""
+    """Fits the trees; None where there is nothing to learn from."""
     cases = found.where(F.size("proposed") > 0).select("doc_id", F.explode("proposed").alias("c"))
-    order = F.xxhash64("doc_id", "c.kind", "c.start", "c.end")
-    picked = cases.select(F.col("c.kind").alias("kind"), F.col("c.features").alias("features"), F.col("c.sure").cast("double").alias("label"), order.alias("h")).orderBy("h", "kind").limit(SAMPLE)
+    cases = cases.select(F.col("c.kind").alias("kind"), F.col("c.features").alias("features"), F.col("c.sure").cast("double").alias("label"), _place(F.col("c")).alias("h"))
+    picked = reduce(DataFrame.unionByName, (cases.where(F.col("kind") == k).orderBy("h").limit(SAMPLE) for k in range(len(KINDS))))
     picked = settle(picked, "private-sample")
-    fitted, kept = picked.where("pmod(h, 4) > 0"), picked.where("pmod(h, 4) = 0")
+    fitted = picked.where(_fits(F.col("h")))
     if fitted.select("label").distinct().count() < 2:
         return None
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=32, minInstancesPerNode=5, seed=5, checkpointInterval=-1)
-    judge = Judge(trees.fit(fitted.select(array_to_vector("features").alias("features"), "label").coalesce(2)), {})
-    falling = Window.partitionBy("kind").orderBy(F.desc("p"))  # equal probabilities stand together
-    judged = kept.select("kind", "label", judge.probability(F.col("features")).alias("p"))
-    ranked = judged.select("kind", "p", F.sum("label").over(falling).alias("sure"), F.count(F.lit(1)).over(falling).alias("n"))
-    least = ranked.where((F.col("sure") >= PRECISION * F.col("n")) & (F.col("sure") >= LEAST)).groupBy("kind").agg(F.min("p").alias("p"))
-    judge.thresholds = {r.kind: r.p for r in least.collect()}
-    return judge
+    model = trees.fit(fitted.select(array_to_vector("features").alias("features"), "label").coalesce(2))
+    return Judge(model, {r.kind: r.h for r in picked.groupBy("kind").agg(F.max("h").alias("h")).collect()})
+
+
+def calibrate(judge: Judge, judged: DataFrame) -> None:
+    """Sets the thresholds by all candidates that weren't fitted on, counted by kind and step of probability."""
+    cases = judged.select(F.explode("proposed").alias("c")).select("c.kind", "c.sure", "c.h", _step(-F.col("c.rank")).alias("step"))
+    bound = F.lit(None).cast("bigint")
+    for kind, h in judge.fitted.items():
+        bound = F.when(F.col("kind") == kind, F.lit(h)).otherwise(bound)
+    kept = cases.where(~(_fits(F.col("h")) & (F.col("h") <= bound)))
+    steps = kept.groupBy("kind", "step").agg(F.sum(F.col("sure").cast("long")).alias("sure"), F.count(F.lit(1)).alias("n"))
+    falling = Window.partitionBy("kind").orderBy(F.desc("step"))
+    ranked = steps.select("kind", "step", F.sum("sure").over(falling).alias("sure"), F.sum("n").over(falling).alias("n"))
+    least = ranked.where((F.col("sure") >= PRECISION * F.col("n")) & (F.col("sure") >= LEAST)).groupBy("kind").agg(F.min("step").alias("step"))
+    judge.thresholds = {r.kind: r.step for r in least.collect()}
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -199,8 +226,9 @@ def find_private(docs: DataFrame) -> DataFrame:
     if judge is None:
         added = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     else:
-        judged = F.transform("proposed", lambda x: F.struct((-judge.probability(x["features"])).alias("rank"), x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-        table = table.withColumn("proposed", judged)
+        judged = F.transform("proposed", lambda x: F.struct((-judge.probability(x["features"])).alias("rank"), x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["sure"].alias("sure"), _place(x).alias("h")))
+        table = settle(table.withColumn("proposed", judged), "private-judged")
+        calibrate(judge, table)
         passes = lambda x: judge.accepts(F.struct(x["kind"].alias("kind"), (-x["rank"]).alias("p")))
         free = F.filter("proposed", lambda x: passes(x) & ~F.exists("base", lambda b: _overlap(x, b)))
         table = table.withColumn("proposed", F.array_sort(free))

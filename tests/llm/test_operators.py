@@ -261,6 +261,16 @@ def test_private_adds_what_a_run_hides(spark):
     assert all(found[i].n_added == 0 for i in range(400))
 
 
+def test_private_rare_kind_beside_a_hot_one(spark, monkeypatch):
+    """One kind holds nearly all candidates; a rare one is fitted and calibrated on its own cases all the same."""
+    monkeypatch.setattr(private_data, "SAMPLE", 400)
+    rows = [(i, f"call +1 (269) 555-{1000 + i} now") for i in range(3000)] + [(3000 + i, f"part {200 + i}-555-{2000 + i} here") for i in range(300)]
+    rows += [(4000 + i, f"write to user{i}@site.org now") for i in range(60)]
+    rows.append((9999, "write to user7\u00eb@site.org now"))  # no base span, as a letter isn't ASCII, but the same to the trees
+    found = by_id(private_data.find_private(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)))
+    assert found[9999].n_email == 0 and found[9999].spans == "email:9:24" and found[4000].spans == "email:9:23"
+
+
 # --- benchmark
 
 
