@@ -22,6 +22,12 @@ def _nearest(spark: SparkSession, d: str) -> DataFrame:
     return rel.nearest_within(orders.where("o_orderkey % 2 = 1"), other, "o_custkey", "at", "near_at", "near", 15).select("o_orderkey", "near", F.col("days").cast("long").alias("days"))
 
 
+def _nearest_other(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("at"))
+    other = orders.select("o_custkey", F.col("o_orderkey").alias("near"), F.col("at").alias("near_at"))
+    return rel.nearest_within(orders, other, "o_custkey", "at", "near_at", "near", 15, own="o_orderkey").select("o_orderkey", "near", F.col("days").cast("long").alias("days"))
+
+
 def _as_of(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("at"))
     prices = table(spark, d, "lineitem").where("l_linenumber = 1").groupBy("l_suppkey", F.date_add(F.to_date("l_shipdate"), 1).alias("known")).agg(F.max("l_extendedprice").alias("price"))
@@ -62,6 +68,7 @@ def _maturity(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "nearest_join_15d": _nearest,
+    "nearest_other_order_15d": _nearest_other,
     "as_of_join": lambda s, d: rounded(_as_of(s, d)),
     "point_in_time_guard": lambda s, d: rounded(_known(s, d)),
     "universe_union": _universe,
@@ -77,6 +84,8 @@ _TRADES = "trades AS (SELECT p_brand AS ticker, CAST(date_trunc('quarter', l_shi
 ORACLE_SQL = {
     "nearest_join_15d": """SELECT a.o_orderkey, b.o_orderkey AS near, abs(b.o_orderdate::DATE - a.o_orderdate::DATE) AS days FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND abs(b.o_orderdate::DATE - a.o_orderdate::DATE) <= 15
 WHERE a.o_orderkey % 2 = 1 AND b.o_orderkey % 2 = 0 QUALIFY row_number() OVER (PARTITION BY a.o_orderkey ORDER BY abs(b.o_orderdate::DATE - a.o_orderdate::DATE), b.o_orderdate::DATE, b.o_orderkey) = 1""",
+    "nearest_other_order_15d": """SELECT a.o_orderkey, b.o_orderkey AS near, abs(b.o_orderdate::DATE - a.o_orderdate::DATE) AS days FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey AND abs(b.o_orderdate::DATE - a.o_orderdate::DATE) <= 15
+QUALIFY row_number() OVER (PARTITION BY a.o_orderkey ORDER BY abs(b.o_orderdate::DATE - a.o_orderdate::DATE), b.o_orderdate::DATE, b.o_orderkey) = 1""",
     "as_of_join": """WITH p AS (SELECT l_suppkey, l_shipdate::DATE + 1 AS known, max(l_extendedprice) AS price FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL)
 SELECT l_orderkey, l_linenumber, round(price, 6) AS price FROM lineitem i ASOF LEFT JOIN p ON i.l_suppkey = p.l_suppkey AND i.l_shipdate::DATE >= p.known""",
     "point_in_time_guard": """SELECT o_orderpriority, count(*) AS n, round(sum(l_quantity), 6) AS qty, true AS replay_ok FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate::DATE <= o_orderdate::DATE + 30 GROUP BY o_orderpriority""",
