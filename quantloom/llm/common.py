@@ -38,11 +38,17 @@ def texts_of(table: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return table.select(F.col(key).cast("bigint").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
-def rows(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[list[tuple]]:
-    """Slices of Arrow batches as lists of row tuples, so that few whole texts are Python objects at a time."""
+def rows(batches: Iterator[pa.RecordBatch], size: int = 256, most: int = 32 << 20) -> Iterator[list[tuple]]:
+    """Slices of Arrow batches as lists of row tuples, of ``size`` rows and ``most`` bytes at most (one row may have more),
+    so that few whole texts are Python objects at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            part = batch.slice(at, size)
+        at = 0
+        while at < batch.num_rows:
+            n = min(size, batch.num_rows - at)
+            while n > 1 and batch.slice(at, n).nbytes > most:
+                n = -(-n // 2)
+            part = batch.slice(at, n)
+            at += n
             yield list(zip(*(c.to_pylist() for c in part.columns), strict=True))
 
 

@@ -6,6 +6,11 @@ it. Strings are the words of a sentence, each between a start and an end sign; w
 ("i d i o t"), signs inside a word are tried with and without ("i.d.i.o.t"), and long words are cut into overlapping pieces. A
 sentence scores as its highest string, a text as its highest sentence.
 
+Training rows are sentences. Labels are given for texts: all sentences of a text that isn't toxic are negative; those of a
+toxic text that hold a string which explains toxic texts are positive, and others count for neither. A sentence stands in the
+machine as its highest string (a multiple-instance machine), chosen anew in each round until no choice changes. No sentence
+of the labelled texts is left out.
+
 The features of a string are its normalised kernel values with the landmarks, whitened by the landmarks' own kernel matrix
 (Nyström); the machine is linear in them. As all of this is linear in the string's own weighted subsequences, the model
 folds into one table of weights over subsequences, and a string scores by summing its entries.
@@ -16,9 +21,10 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +42,10 @@ LANDMARKS = 256
 SURE = 8.0
 #: Characters of a string, with its signs; longer words are cut into pieces that overlap by half.
 LONGEST = 24
+#: Texts that a worker scores together.
+BATCH = 512
+#: Rounds of choosing each sentence's highest string, at most.
+ROUNDS = 6
 
 _SIZE = 64  # letters a-z, other letters by their code, signs
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -92,52 +102,49 @@ def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _TRIPLES[n]
 
 
-class _Codes(dict):
-    def __missing__(self, c: str) -> int:
-        self[c] = value = code(c)
-        return value
-
-
-_CODES = _Codes()
+#: Codes of the characters of the first plane.
+_CODES = np.array([code(chr(c)) for c in range(1 << 16)], dtype=np.int32)
 
 
-def _codes(strings: list[str]) -> np.ndarray:
-    return np.array([_CODES[c] for s in strings for c in s], dtype=np.int32).reshape(len(strings), -1)
+def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all characters in turn, and where each string begins (one more than strings)."""
+    points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4")
+    flat = _CODES[np.minimum(points, len(_CODES) - 1)]
+    for c in np.unique(points[points >= len(_CODES)]).tolist():
+        flat[points == c] = code(chr(c))
+    return flat, np.cumsum([0, *map(len, strings)])
 
 
 def _subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of strings of one length: the key of every subsequence (a row for each string), and the weights."""
     (i, j, k), weights = _triples(codes.shape[1])
-    return (codes[:, i] * _SIZE + codes[:, j]) * _SIZE + codes[:, k], weights
+    take = lambda at: np.take(codes, at, axis=1)
+    return (take(i) * _SIZE + take(j)) * _SIZE + take(k), weights
 
 
-def by_length(strings: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
+def by_length(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Strings of one length together: their places in the list, and their codes. Those shorter than a subsequence are left out."""
-    groups: dict[int, list[int]] = {}
-    for i, s in enumerate(strings):
-        groups.setdefault(len(s), []).append(i)
-    for n in sorted(groups):
-        if n >= ORDER:
-            step = max(1, 300_000 // math.comb(n, ORDER))
-            for at in range(0, len(groups[n]), step):
-                part = groups[n][at : at + step]
-                yield part, _codes([strings[i] for i in part])
+    flat, begins = _codes(strings)
+    sizes = np.diff(begins)
+    for n in np.unique(sizes[sizes >= ORDER]).tolist():
+        places, step = np.flatnonzero(sizes == n), max(1, 300_000 // math.comb(n, ORDER))
+        for at in range(0, len(places), step):
+            part = places[at : at + step]
+            yield part, flat[begins[part][:, None] + np.arange(n)]
 
 
 def _norms(codes: np.ndarray) -> np.ndarray:
-    """The root of each string's kernel value with itself, by the kernel's recursion over prefixes."""
-    n = codes.shape[1]
-    same = (codes[:, :, None] == codes[:, None, :]).astype(np.float32).transpose(1, 2, 0).copy()
-    before = np.ones((n + 1, n + 1, len(codes)), dtype=np.float32)
+    """The root of each string's kernel value with itself. The kernel's recursion over prefixes is, for all strings of one
+    length, a product with the powers of ``DECAY`` below the diagonal on either side (everything is symmetric)."""
+    m, n = codes.shape
+    gap = np.arange(n)[:, None] - np.arange(n)[None] - 1
+    below = np.where(gap >= 0, DECAY ** np.maximum(gap, 0), 0.0).astype(np.float32).T
+    same = (codes[:, :, None] == codes[:, None, :]).astype(np.float32) * np.float32(DECAY**2)
+    value = same
     for _ in range(ORDER - 1):
-        now = np.zeros_like(before)
-        for i in range(n):
-            run = np.zeros(len(codes), dtype=np.float32)
-            for j in range(n):
-                run = DECAY * run + DECAY**2 * before[i, j] * same[i, j]
-                now[i + 1, j + 1] = DECAY * now[i, j + 1] + run
-        before = now
-    return np.sqrt(DECAY**2 * (before[:n, :n] * same).sum(axis=(0, 1)))
+        half = (value.reshape(-1, n) @ below).reshape(m, n, n).transpose(0, 2, 1).reshape(-1, n)
+        value = (half @ below).reshape(m, n, n) * same
+    return np.sqrt(value.sum(axis=(1, 2)))
 
 
 def vectors(strings: list[str]) -> list[dict[int, float]]:
@@ -162,6 +169,7 @@ class Model:
     bias: float
     slope: float
     shift: float
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def values(self, strings: list[str]) -> np.ndarray:
         out = np.full(len(strings), self.bias)
@@ -184,23 +192,26 @@ def _strings(text: str) -> set[str]:
     return {s for t in set(_TOKEN.findall(low)) for s in strings_of(t)} | spelled(low)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: float, passes: int = 60) -> tuple[np.ndarray, float]:
-    """A linear machine with hinge loss, by coordinate ascent on its dual; classes weigh the same in sum."""
-    n, signs = len(y), np.where(y > 0, 1.0, -1.0)
-    x = np.hstack([x, np.ones((n, 1))])
-    most = cost * np.where(y > 0, n / (2 * max(1, (y > 0).sum())), n / (2 * max(1, (y <= 0).sum())))
-    square, alpha, w = np.square(x).sum(axis=1), np.zeros(n), np.zeros(x.shape[1])
-    random = np.random.default_rng(7)
-    for _ in range(passes):
-        moved = 0.0
-        for i in random.permutation(n):
-            new = min(max(alpha[i] - (signs[i] * (x[i] @ w) - 1) / square[i], 0.0), most[i])
-            if new != alpha[i]:
-                w += (new - alpha[i]) * signs[i] * x[i]
-                moved = max(moved, abs(new - alpha[i]) / most[i])
-                alpha[i] = new
-        if moved < 1e-3:
+def _svm(x: np.ndarray, signs: np.ndarray, weights: np.ndarray, cost: float) -> tuple[np.ndarray, float]:
+    """A linear machine with squared hinge loss, by Newton steps on the primal; both classes weigh the same in sum."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    c = cost * weights * np.where(signs > 0, 1 / max(1e-9, weights[signs > 0].sum()), 1 / max(1e-9, weights[signs < 0].sum()))
+    w, ridge = np.zeros(x.shape[1]), np.ones(x.shape[1])
+    ridge[-1] = 1e-6  # the bias goes free
+    loss = lambda v: 0.5 * (ridge * v * v).sum() + (c * np.square(np.maximum(1 - signs * (x @ v), 0))).sum()
+    now = loss(w)
+    for _ in range(60):
+        short = np.flatnonzero(signs * (x @ w) < 1)
+        inside, weight = x[short], 2 * c[short]
+        gradient = ridge * w - inside.T @ (weight * (signs[short] - inside @ w))
+        step = np.linalg.solve((inside.T * weight) @ inside + np.diag(ridge), gradient)
+        size = 1.0
+        while (new := loss(w - size * step)) > now and size > 1e-6:
+            size /= 2
+        w = w - size * step
+        if now - new <= 1e-9 * now:
             break
+        now = new
     return w[:-1], float(w[-1])
 
 
@@ -241,12 +252,16 @@ def _lexicon(bags: list[set[str]], toxic: list[int], odds: dict[str, float], pos
     return found or [min(pos, key=lambda s: (-odds[s], s))]
 
 
-def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, cost: float = 30.0) -> Model:
-    """Learns from labelled texts. A text without a known string, or labels of one kind only, give an even score.
+def _bags(text: str) -> list[set[str]]:
+    """The strings of each sentence that has any."""
+    return [bag for a, b in sentences(text) if (bag := _strings(text[a:b]))]
 
-    Strings that explain toxic texts are positive (see ``_lexicon``). Strings of other texts are negative, the common ones first; those that the machine finds hardest join in rounds.
-    """
-    bags = [_strings(t) for t in texts]
+
+def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, cost: float = 300.0) -> Model:
+    """Learns from the sentences of labelled texts (see above). A text without a known string, or labels of one kind only,
+    give an even score."""
+    parts = [_bags(t) for t in texts]
+    bags = [set().union(*p) for p in parts]
     y = np.array(toxic)
     if not any(b for b, t in zip(bags, toxic, strict=True) if t) or not (y <= 0).any():
         return Model(np.zeros(_SIZE**ORDER, np.float32), 0.0, 0.0, 4.0 if (y > 0).any() else -4.0)
@@ -255,9 +270,9 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, cost: fl
         (pos if label else neg).update(bag)
     n_pos, n_neg = int((y > 0).sum()), int((y <= 0).sum())
     odds = {s: _association(pos[s], neg[s], n_pos, n_neg) for s in pos.keys() | neg.keys()}
-    positive = _lexicon(bags, toxic, odds, pos, neg, n_pos, n_neg)
+    explain = _lexicon(bags, toxic, odds, pos, neg, n_pos, n_neg)
     common = [s for s, _ in sorted(neg.items(), key=lambda x: (-x[1], x[0])) if odds[s] <= 0]
-    telling = positive[: 2 * landmarks // 3]
+    telling = explain[: 2 * landmarks // 3]
     marks = [m for m in dict.fromkeys(telling + common[: landmarks - len(telling)]) if len(m) >= ORDER]
 
     sparse = vectors(marks)
@@ -270,29 +285,44 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, cost: fl
     values, axes = np.linalg.eigh((table @ table.T).astype(np.float64))
     good = values > 1e-6 * values[-1]
     whiten = axes[:, good] / np.sqrt(values[good])
+    # values of all landmarks by subsequence
+    of = np.ascontiguousarray(table.T)
 
     def features(strings: list[str]) -> np.ndarray:
         out = np.zeros((len(strings), len(marks)))
         for at, codes in by_length(strings):
             keys, weights = _subsequences(codes)
-            for i, k, n in zip(at, keys, _norms(codes), strict=True):
-                out[i] = table[:, column[k]] @ weights / n
+            for i, k, n in zip(at, column[keys], _norms(codes), strict=True):
+                out[i] = weights @ of[k] / n
         return out @ whiten
 
-    others = sorted(neg, key=lambda s: (-neg[s], s))
-    seen = set(others[:1500]) | set(sorted(others, key=lambda s: (-odds[s], s))[:500])
-    seen -= set(positive)
-    for _ in range(3):
-        strings = positive + sorted(seen)
-        w, bias = _svm(features(strings), np.arange(len(strings)) < len(positive), cost)
+    # sentences as places in the list of strings
+    strings = sorted(odds)
+    place = {s: i for i, s in enumerate(strings)}
+    known = set(explain)
+    rows_ = [(np.array([place[s] for s in bag]), 1 if label else -1) for p, label in zip(parts, toxic, strict=True) for bag in p if not label or not known.isdisjoint(bag)]
+    flat, cuts = np.concatenate([r for r, _ in rows_]), np.cumsum([0, *(len(r) for r, _ in rows_)])
+    signs = np.array([s for _, s in rows_])
+    value = np.array([odds[s] for s in strings])
+    value[[place[s] for s in explain]] += 1e6  # in the first round a toxic sentence stands as the string that explains it
+    made: dict[int, np.ndarray] = {}
+    before = None
+    for _ in range(ROUNDS):
+        high = np.maximum.reduceat(value[flat], cuts[:-1])
+        tops = np.flatnonzero(value[flat] == np.repeat(high, np.diff(cuts)))
+        witness = flat[tops[np.searchsorted(tops, cuts[:-1])]]
+        if before is not None and (witness == before).all():
+            break
+        before = witness
+        cases, weights = np.unique(np.stack([witness, signs], 1), axis=0, return_counts=True)
+        new = [i for i in dict.fromkeys(cases[:, 0].tolist()) if i not in made]
+        made.update(zip(new, features([strings[i] for i in new]), strict=True))
+        w, bias = _svm(np.array([made[i] for i in cases[:, 0].tolist()]), cases[:, 1], weights.astype(float), cost)
         folded = np.zeros(_SIZE**ORDER, dtype=np.float32)
         folded[used] = ((whiten @ w).astype(np.float32) @ table)[:-1]
         model = Model(folded, bias, 1.0, 0.0)
-        scores = dict(zip(others, model.values(others).tolist(), strict=True))
-        seen.update(s for s in sorted(others, key=lambda s: (-scores[s], s))[:400] if scores[s] > -1 and odds[s] < SURE)
-    fresh = sorted(pos.keys() - scores.keys())
-    tops = scores | dict(zip(fresh, model.values(fresh).tolist(), strict=True))
-    best = np.array([max((tops[s] for s in b), default=model.bias) for b in bags])
+        value = model.values(strings)
+    best = np.array([max((value[place[s]] for s in b), default=model.bias) for b in bags])
     model.slope, model.shift = _calibrate(best, y)
     return model
 
@@ -322,27 +352,29 @@ class Scorer:
 
     def _learn(self, tokens: list[str]) -> dict[str, float]:
         per = [strings_of(t) for t in tokens]
-        flat = list({s for x in per for s in x})
-        value = dict(zip(flat, self.model.values(flat).tolist(), strict=True))
-        return {t: max((value[s] for s in x), default=self.model.bias) for t, x in zip(tokens, per, strict=True)}
+        cuts = np.cumsum([0, *map(len, per)])
+        value = np.append(self.model.values([s for x in per for s in x]), self.model.bias)
+        top = np.maximum.reduceat(value, np.minimum(cuts[:-1], len(value) - 1))
+        top[np.diff(cuts) == 0] = self.model.bias
+        return dict(zip(tokens, top.tolist(), strict=True))
 
     def highest(self, texts: list[str]) -> list[float]:
         """The highest string value of each text."""
-        known, bags = self.known, []
-        for text in texts:
-            bags.append((set(text.lower().split()), text))
-        new = list({t for bag, _ in bags for t in bag if t not in known})
+        known, lows = self.known, [t.lower() for t in texts]
+        bags = [set(t.split()) for t in lows]
+        all_ = set().union(*bags)
+        new = list(all_.difference(known))
         fresh = self._learn(new) if new else {}
         if len(known) + len(fresh) > self.cache:
-            kept = {t: known[t] for bag, _ in bags for t in bag if t in known}
+            kept = {t: known[t] for t in all_ if t in known}
             known.clear()
             known.update(kept)
         known.update(fresh)
         out = []
-        for bag, text in bags:
+        for bag, low in zip(bags, lows, strict=True):
             top = max(map(known.__getitem__, bag), default=self.model.bias)
-            if letters := spelled(text.lower()) if _SPELLED.search(text) else None:
-                top = max(top, float(self.model.values(list(letters)).max()))
+            if _SPELLED.search(low):
+                top = max(top, float(self.model.values(list(spelled(low))).max()))
             out.append(top)
         return out
 
@@ -356,6 +388,17 @@ class Scorer:
         return max(zip(values, spans, strict=True), key=lambda x: (x[0], -x[1][0]))[1] if spans else None
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def scorer(model: Model) -> Scorer:
+    """This worker's scorer of a model; what it has learned outlives a task. Only the last model's is kept."""
+    if model.name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[model.name] = Scorer(model)
+    return _SCORERS[model.name]
+
+
 def held_out():
     """True for the documents that aren't learned from."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
@@ -380,10 +423,10 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # _SIZE ** ORDER weights whatever the data
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for part in rows(batches, 64):
-            scores = scorer.score([t for _, t in part])
-            worst = [scorer.worst_sentence(t) if s >= 0.5 else None for (_, t), s in zip(part, scores, strict=True)]
+        judge = scorer(shared.value)
+        for part in rows(batches, BATCH):
+            scores = judge.score([t for _, t in part])
+            worst = [judge.worst_sentence(t) if s >= 0.5 else None for (_, t), s in zip(part, scores, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i for i, _ in part], pa.int64()), pa.array(scores, pa.float64()), *(pa.array([w and w[k] for w in worst], pa.int32()) for k in (0, 1))],
                 names=["doc_id", "score", "start", "end"],

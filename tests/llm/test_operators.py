@@ -406,7 +406,7 @@ def test_kernel_against_its_definition():
     words = ["^idiot$", "^banana$", "^aaaa$", "^ab$"]
     for w in words:
         v = vector(w)
-        assert toxicity._norms(toxicity._codes([w]))[0] == pytest.approx(math.sqrt(sum(x * x for x in v.values())), rel=1e-4)
+        assert toxicity._norms(next(toxicity.by_length([w]))[1])[0] == pytest.approx(math.sqrt(sum(x * x for x in v.values())), rel=1e-4)
     ours = toxicity.vectors(words)
     for w, v in zip(words, ours, strict=True):
         want = vector(w)
