@@ -2,32 +2,31 @@
 
 Documents are put in ascending doc_id order by ranges, encoded, and cut into shards of about ``SHARD`` ids. A shard is one
 compressed file: the distinct ids of the shard, the documents' ids and starts, and a wavelet matrix over the rank of each
-id among the distinct ones, one plane of bits for each bit of the rank. With a directory of set bits, made while reading,
-planes answer what id stands at a position, how often an id occurs before one, and where its k-th occurrence is, without
-unpacking the ids.
+id among the distinct ones, one plane of bits for each bit of the rank. The file holds a directory of the set bits before
+each page of a plane, so that ``ShardFile`` answers what id stands at a position, how often an id occurs before one, and where
+its k-th occurrence is, by reading a page or two of each plane, without unpacking the ids.
 
 File: ``QLWM``, five little-endian numbers (format, ids, documents, distinct ids, planes), then zlib blocks, each behind
 its length: distinct ids (uint32), doc ids (int64), a null flag for each, starts (uint64, one more than documents), and the
-planes from the highest bit down (eight positions a byte, lowest bit first).
+directory (uint64: for each page, plane by plane, its end and the set bits of its plane before it). Pages follow, each of
+``_PAGE`` bytes before compression, of the planes from the highest bit down (eight positions a byte, lowest bit first).
 """
 
 from __future__ import annotations
 
+import io
 import os
-import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,10 +38,65 @@ from .common import file_system, rows, settle, shared_folder, texts_of
 SHARD = 1 << 20
 END = 0
 _BLOCK = 512
-_FORMAT = 1
+_PAGE = 1 << 14
+_FORMAT = 2
 
 
-class WaveletShard:
+def _pack(data: bytes) -> bytes:
+    """A zlib stream; data whose bytes are all about as common is stored in it."""
+    share = np.bincount(np.frombuffer(data, np.uint8)) / max(1, len(data))
+    share = share[share > 0]
+    return zlib.compress(data, 1 if -(share * np.log2(share)).sum() < 7.5 else 0)
+
+
+class _Wavelet:
+    """Answers over bit planes; how bits are counted is up to the subclass."""
+
+    alphabet: np.ndarray
+    zeros: list[int]
+    n: int
+
+    def access(self, at: int) -> int:
+        """The id at a position."""
+        rank = 0
+        for level, zeros in enumerate(self.zeros):
+            bit, ones = self._bit(level, at), self._ones(level, at)
+            at = zeros + ones if bit else at - ones
+            rank = rank << 1 | bit
+        return int(self.alphabet[rank])
+
+    def _bits(self, token: int) -> list[int] | None:
+        rank = int(np.searchsorted(self.alphabet, token))
+        if rank == len(self.alphabet) or self.alphabet[rank] != token:
+            return None
+        return [rank >> i & 1 for i in range(len(self.zeros) - 1, -1, -1)]
+
+    def count(self, token: int, first: int = 0, end: int | None = None) -> int:
+        """Occurrences of an id in [first, end)."""
+        bits, end = self._bits(token), self.n if end is None else end
+        if bits is None:
+            return 0
+        for level, bit in enumerate(bits):
+            a, b = self._ones(level, first), self._ones(level, end)
+            first, end = (self.zeros[level] + a, self.zeros[level] + b) if bit else (first - a, end - b)
+        return end - first
+
+    def find(self, token: int, k: int) -> int | None:
+        """Position of the k-th (from 0) occurrence of an id."""
+        bits = self._bits(token)
+        if bits is None or not 0 <= k < self.count(token):
+            return None
+        at = 0
+        for level, bit in enumerate(bits):
+            ones = self._ones(level, at)
+            at = self.zeros[level] + ones if bit else at - ones
+        at += k
+        for level in range(len(bits) - 1, -1, -1):
+            at = self._select_bit(level, bits[level], at - self.zeros[level] * bits[level])
+        return at
+
+
+class WaveletShard(_Wavelet):
     """Ids of consecutive documents as a wavelet matrix."""
 
     def __init__(self, alphabet: np.ndarray, docs: list[int | None], starts: np.ndarray, planes: list[np.ndarray], n: int) -> None:
@@ -73,31 +127,23 @@ class WaveletShard:
     def to_bytes(self) -> bytes:
         nulls = np.array([d is None for d in self.docs], dtype=np.uint8)
         ids = np.array([d or 0 for d in self.docs], dtype="<i8")
+        pages, directory, end = [], [], 0
+        for level, plane in enumerate(self.planes):
+            for at in range(0, len(plane), _PAGE):
+                pages.append(_pack(plane[at : at + _PAGE].tobytes()))
+                end += len(pages[-1])
+                directory.append((end, int(self.before[level][at * 8 // _BLOCK])))
         out = [b"QLWM", struct.pack("<5Q", _FORMAT, self.n, len(self.docs), len(self.alphabet), len(self.planes))]
-        for block in (self.alphabet.astype("<u4"), ids, nulls, self.starts.astype("<u8"), *self.planes):
-            data = block.tobytes()
-            sample = data[: 1 << 14]  # low planes hold nothing to compress: they are stored
-            packed = zlib.compress(data, 1 if len(zlib.compress(sample, 1)) < 0.9 * len(sample) or len(data) < 1 << 14 else 0)
+        for block in (self.alphabet.astype("<u4"), ids, nulls, self.starts.astype("<u8"), np.array(directory, "<u8")):
+            packed = _pack(block.tobytes())
             out += [struct.pack("<Q", len(packed)), packed]
-        return b"".join(out)
+        return b"".join(out + pages)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletShard:
-        if data[:4] != b"QLWM":
-            raise ValueError("not a token shard")
-        form, n, n_docs, _, n_planes = struct.unpack_from("<5Q", data, 4)
-        if form != _FORMAT:
-            raise ValueError(f"unknown shard format {form}")
-        blocks, at = [], 44
-        for _ in range(4 + n_planes):
-            size = struct.unpack_from("<Q", data, at)[0]
-            blocks.append(zlib.decompress(data[at + 8 : at + 8 + size]))
-            at += 8 + size
-        nulls = np.frombuffer(blocks[2], np.uint8)
-        docs = [None if null else int(d) for d, null in zip(np.frombuffer(blocks[1], "<i8"), nulls, strict=True)]
-        if len(docs) != n_docs:
-            raise ValueError("damaged token shard")
-        return cls(np.frombuffer(blocks[0], "<u4"), docs, np.frombuffer(blocks[3], "<u8").astype(np.int64), [np.frombuffer(b, np.uint8) for b in blocks[4:]], n)
+        shard = ShardFile(io.BytesIO(data))
+        planes = [np.frombuffer(b"".join(shard._page(level * shard.each + k) for k in range(shard.each)), np.uint8) for level in range(shard.planes)]
+        return cls(shard.alphabet, shard.docs, shard.starts, planes, shard.n)
 
     def _ones(self, level: int, at: int) -> int:
         """Set bits of a plane before a position."""
@@ -109,31 +155,6 @@ class WaveletShard:
     def _bit(self, level: int, at: int) -> int:
         return int(self.planes[level][at // 8]) >> at % 8 & 1
 
-    def access(self, at: int) -> int:
-        """The id at a position."""
-        rank = 0
-        for level, zeros in enumerate(self.zeros):
-            bit, ones = self._bit(level, at), self._ones(level, at)
-            at = zeros + ones if bit else at - ones
-            rank = rank << 1 | bit
-        return int(self.alphabet[rank])
-
-    def _bits(self, token: int) -> list[int] | None:
-        rank = int(np.searchsorted(self.alphabet, token))
-        if rank == len(self.alphabet) or self.alphabet[rank] != token:
-            return None
-        return [rank >> i & 1 for i in range(len(self.planes) - 1, -1, -1)]
-
-    def count(self, token: int, first: int = 0, end: int | None = None) -> int:
-        """Occurrences of an id in [first, end)."""
-        bits, end = self._bits(token), self.n if end is None else end
-        if bits is None:
-            return 0
-        for level, bit in enumerate(bits):
-            a, b = self._ones(level, first), self._ones(level, end)
-            first, end = (self.zeros[level] + a, self.zeros[level] + b) if bit else (first - a, end - b)
-        return end - first
-
     def _select_bit(self, level: int, bit: int, k: int) -> int:
         """Position of the k-th (from 0) bit of that value."""
         ones = self.before[level]
@@ -142,20 +163,6 @@ class WaveletShard:
         bits = np.unpackbits(self.planes[level][block * _BLOCK // 8 : (block + 1) * _BLOCK // 8], bitorder="little")
         return block * _BLOCK + int(np.flatnonzero(bits == bit)[k - int(counts[block])])
 
-    def find(self, token: int, k: int) -> int | None:
-        """Position of the k-th (from 0) occurrence of an id."""
-        bits = self._bits(token)
-        if bits is None or not 0 <= k < self.count(token):
-            return None
-        at = 0
-        for level, bit in enumerate(bits):
-            ones = self._ones(level, at)
-            at = self.zeros[level] + ones if bit else at - ones
-        at += k
-        for level in range(len(bits) - 1, -1, -1):
-            at = self._select_bit(level, bits[level], at - self.zeros[level] * bits[level])
-        return at
-
     def tokens(self) -> np.ndarray:
         """All ids, from the planes."""
         kind = np.uint16 if len(self.planes) <= 16 else np.uint32
@@ -169,67 +176,96 @@ class WaveletShard:
         return self.alphabet[ranks] if self.n else np.zeros(0, np.uint32)
 
 
-#: Words that the tokenizer's pattern cuts alike whatever the version of Unicode: ASCII signs and European letters.
-_PLAIN = re.compile("[ \n][!-~À-ÖØ-öø-ſ]+")
+class ShardFile(_Wavelet):
+    """A shard in a file that is open for reading and seeking: header and directory are read, then pages as they are needed."""
+
+    def __init__(self, source, cache: int = 64) -> None:
+        self.source = source
+        if source.read(4) != b"QLWM":
+            raise ValueError("not a token shard")
+        form, self.n, n_docs, _, self.planes = struct.unpack("<5Q", source.read(40))
+        if form != _FORMAT:
+            raise ValueError(f"unknown shard format {form}")
+        blocks = [zlib.decompress(source.read(struct.unpack("<Q", source.read(8))[0])) for _ in range(5)]
+        self.first = source.tell()
+        self.alphabet, self.starts = np.frombuffer(blocks[0], "<u4"), np.frombuffer(blocks[3], "<u8").astype(np.int64)
+        self.docs = [None if null else d for d, null in zip(np.frombuffer(blocks[1], "<i8").tolist(), blocks[2], strict=True)]
+        directory = np.frombuffer(blocks[4], "<u8").reshape(-1, 2)
+        self.ends, self.ones = [0, *directory[:, 0].tolist()], directory[:, 1].tolist()
+        self.each = -(-(-(-self.n // 8)) // _PAGE)  # pages of a plane
+        if len(self.docs) != n_docs or len(self.ones) != self.each * self.planes:
+            raise ValueError("damaged token shard")
+        self.page = lru_cache(cache)(self._page)
+        self.zeros = [self.n - self._ones(level, self.n) for level in range(self.planes)]
+
+    def _page(self, k: int) -> bytes:
+        self.source.seek(self.first + self.ends[k])
+        return zlib.decompress(self.source.read(self.ends[k + 1] - self.ends[k]))
+
+    def _ones(self, level: int, at: int) -> int:
+        page = min(at // (8 * _PAGE), self.each - 1)
+        data, at = self.page(level * self.each + page), at - page * 8 * _PAGE
+        n = self.ones[level * self.each + page] + int(np.bitwise_count(np.frombuffer(data, np.uint8)[: at // 8]).sum())
+        return n + (data[at // 8] & (1 << at % 8) - 1).bit_count() if at % 8 else n
 
+    def _bit(self, level: int, at: int) -> int:
+        return self.page(level * self.each + at // (8 * _PAGE))[at // 8 % _PAGE] >> at % 8 & 1
 
-def _byte_letters() -> dict[int, int]:
-    """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from U+0100 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in printable]
-    return {b: 256 + i for i, b in enumerate(others)}
+    def _select_bit(self, level: int, bit: int, k: int) -> int:
+        ones = np.array(self.ones[level * self.each : (level + 1) * self.each])
+        counts = ones if bit else np.arange(len(ones)) * 8 * _PAGE - ones
+        page = int(np.searchsorted(counts, k, side="right")) - 1
+        bits = np.unpackbits(np.frombuffer(self.page(level * self.each + page), np.uint8), bitorder="little")
+        return page * 8 * _PAGE + int(np.flatnonzero(bits == bit)[k - int(counts[page])])
 
 
-_BYTE_LETTERS = _byte_letters()
+#: A mark in front of what has no space in front of it.
+_BARE = "\x01"
 
 
 class Encoder:
     """The library's ids of whole texts. What stands between spaces is encoded once and kept, in a bounded cache.
 
     The tokenizer's pattern never joins a character to the space or line feed behind it, so a text falls apart in front of
-    those; texts in which white space stands beside white space go to the library whole.
+    those, and in front of the signs that end a word of letters; texts in which white space stands beside white space go to
+    the library whole. New words go to it as one text: each begins at the one id that begins with its space or line feed.
     """
 
     #: White space besides space and line feed, by the Unicode tables of either library.
-    OTHER = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
+    OTHER = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
     def __init__(self, path: str, cache: int = 500_000, longest: int = 48) -> None:
         self.library = Tokenizer.from_file(path)
         size = self.library.get_vocab_size()
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.known: dict[str, bytes] = {}
+        self.spaced = np.zeros(size, dtype=bool)
+        self.spaced[[i for token, i in self.library.get_vocab().items() if token.startswith("\u0120")]] = True
+        self.feed = self.library.token_to_id("\u010a")
+        self.known: dict[str, bytes] = {_BARE: b""}
         self.once: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         self.cache, self.longest = cache, longest
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _falls_apart(self, text: str) -> bool:
-        return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1:] in " \n" or "<|" in text or any(c in text for c in self.OTHER))
-
-    def _learn(self, words: list[str]) -> Iterator[bytes]:
-        """The ids of words with what stands in front of them: a line feed that they begin with, or else a space. Words of
-        plain letters and signs are cut by the tokenizer's pattern here, and their parts kept; others go to the library."""
-        full = [w if w[:1] == "\n" else " " + w for w in words]
-        rare = [w for w in full if not _PLAIN.fullmatch(w)]
-        others = dict(zip(rare, (x.tobytes() for x in self.whole(rare)), strict=True)) if rare else {}
-        parts, tokenize, kind = self.parts, self.library.model.tokenize, "H" if self.kind.itemsize == 2 else "I"
-        if len(parts) > self.cache:
-            parts.clear()
-        for w in full:
-            if w in others:
-                yield others[w]
+        return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1:] in " \n" or "<|" in text or _BARE in text or any(c in text for c in self.OTHER))
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words: those marked bare without a space in front, those that begin with a line feed with it, others
+        with a space."""
+        spaced, others = [w for w in words if w[0] not in "\n\x01"], [w for w in words if w[0] in "\n\x01"]
+        out, size = {}, self.kind.itemsize
+        for group, text in ((spaced, "".join(" " + w for w in spaced)), (others, "".join("\n" + w[1:] for w in others))):
+            if not group:
                 continue
-            out = []
-            for part in [w] if w[0] == " " and w[1:].isalpha() else self.pattern.findall(w):
-                ids = parts.get(part)
-                if ids is None:
-                    letters = part.encode().decode("latin-1").translate(_BYTE_LETTERS)
-                    ids = parts[part] = array(kind, [t.id for t in tokenize(letters)]).tobytes()
-                out.append(ids)
-            yield out[0] if len(out) == 1 else b"".join(out)
+            ids = self.whole([text])[0]
+            starts = np.flatnonzero(self.spaced[ids] if group is spaced else ids == self.feed)
+            if len(starts) != len(group):
+                raise ValueError("a word doesn't begin where a token does")
+            data, begins, ends = ids.tobytes(), (starts * size).tolist(), (np.append(starts, len(ids))[1:] * size).tolist()
+            out |= {w: data[a + size if w[0] == _BARE else a : b] for w, a, b in zip(group, begins, ends, strict=True)}
+        return out
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
@@ -239,35 +275,32 @@ class Encoder:
         places = [i for i, x in enumerate(out) if x is None]
         if not places:
             return out
-        lists = pc.split_pattern(pc.replace_substring(pa.array([texts[i] for i in places], pa.large_string()), "\n", " \n"), " ")
+        marked = pc.replace_substring(pa.array([_BARE + texts[i] for i in places], pa.large_string()), "\n", " \n")
+        marked = pc.replace_substring_regex(marked, pattern="([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?]+)( |$)", replacement=f"\\1 {_BARE}\\2\\3")
+        lists = pc.split_pattern(marked, " ")
         cuts = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
-        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        # the first word of a text has nothing in front of it
-        firsts = coded.dictionary.take(pa.array(at[cuts[:-1]])).to_pylist()
-        at = at.astype(np.int64)
-        at[cuts[:-1]] = len(words) + np.arange(len(places))
+        words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
 
         known, once = self.known, self.once
         ids = list(map(known.get, words))
-        missing = [i for i, x in enumerate(ids) if x is None]
         new = []
-        for i in missing:  # most words of a text collection occur once: a word is kept for good when it comes again
-            w = words[i]
-            found = once.pop(w, None)
-            if found is None:
-                new.append(i)
-            else:
-                ids[i] = known[w] = found
-        for i, x in zip(new, self._learn([words[i] for i in new]), strict=True):
-            ids[i] = x
-            if len(words[i]) <= self.longest:
-                once[words[i]] = x
+        for i, x in enumerate(ids):  # most words of a text collection occur once: a word is kept for good when it comes again
+            if x is None:
+                w = words[i]
+                found = once.pop(w, None)
+                if found is None:
+                    new.append(i)
+                else:
+                    ids[i] = known[w] = found
+        made = self._learn([words[i] for i in new])
+        for i in new:
+            ids[i] = made[words[i]]
+        once.update((w, x) for w, x in made.items() if len(w) <= self.longest)
         if len(once) > self.cache // 2:
             once.clear()
         if len(known) > self.cache:  # what is common is in this batch too
-            self.known = {w: known[w] for w in words if w in known}
-        ids += [x.tobytes() for x in self.whole(firsts)]
+            self.known = {_BARE: b""} | {w: known[w] for w in words if w in known}
 
         flat = np.frombuffer(b"".join(ids), self.kind)
         sizes = np.array(list(map(len, ids)), dtype=np.int64) // self.kind.itemsize
@@ -319,7 +352,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shard: int = SHAR
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_tokens", pa.int64()), ("n_docs", pa.int64())]))
 
         end = np.array([END], enc.kind)
-        for rows_ in rows(batches, 512):
+        for rows_ in rows(batches, 2048):
             for (doc_id, _), x in zip(rows_, enc.encode_many([t for _, t in rows_]), strict=True):
                 x = np.concatenate([x, end])
                 pending.append(x)

@@ -181,6 +181,18 @@ def test_shards_against_library(docs, texts):
         at += len(ids)
 
 
+def test_encoder_on_odd_strings():
+    """Word by word and through the cache against the library on whole texts: signs, spaces of every kind, marks, letters of many scripts."""
+    random, path = np.random.default_rng(12), public_tokenizers.path("byte_bpe_50k.json")
+    pool = ["a", "Word", "don't", "'s", " ", " ", " ", "\n", ",", ".", "...", "?!", "é", "Æble", "漢", "😀", "1", "23", "\x01", "\x00", "\t", "\xa0", "\u2003", "\u200b", "_", "-", "×", "ſ", "<|", "²", "\u0301", "Ġ", "Ċ"]
+    texts = ["".join(random.choice(pool, int(random.integers(0, 30)))) for _ in range(6000)]
+    library, enc = Tokenizer.from_file(path), token_shards.Encoder(path)
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        for _ in range(3):  # new, come again, kept
+            assert [x.tolist() for x in enc.encode_many(part)] == [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+
+
 def test_shards_awkward(awkward):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = token_shards.round_trip(awkward, public_tokenizers.path("byte_bpe_50k.json")).collect()
@@ -191,21 +203,28 @@ def test_shards_awkward(awkward):
     assert token_shards.round_trip(awkward.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def check_shard(shard, ids, random):
+    n = len(ids)
+    for at in random.integers(0, max(n, 1), min(n, 60)):
+        t = int(ids[at])
+        assert shard.access(int(at)) == t
+        a, b = sorted(int(x) for x in random.integers(0, n + 1, 2))
+        assert shard.count(t, a, b) == int((ids[a:b] == t).sum())
+        places = np.flatnonzero(ids == t)
+        k = int(random.integers(0, len(places)))
+        assert shard.find(t, k) == places[k] and shard.find(t, len(places)) is None
+    assert shard.count(901) == 0 and shard.find(901, 0) is None
+
+
 def test_wavelet_shard_answers():
     random = np.random.default_rng(5)
-    for n in (0, 1, 7, 5000):
+    for n in (0, 1, 7, 5000, 300_000):
         ids = random.zipf(1.3, n).astype(np.int64) % 900
-        shard = token_shards.WaveletShard.from_bytes(token_shards.WaveletShard.of(ids, [1, None], np.array([0, n // 2, n])).to_bytes())
-        assert (shard.tokens() == ids).all() and shard.docs == [1, None]
-        for at in random.integers(0, max(n, 1), min(n, 60)):
-            t = int(ids[at])
-            assert shard.access(int(at)) == t
-            a, b = sorted(int(x) for x in random.integers(0, n + 1, 2))
-            assert shard.count(t, a, b) == int((ids[a:b] == t).sum())
-            places = np.flatnonzero(ids == t)
-            k = int(random.integers(0, len(places)))
-            assert shard.find(t, k) == places[k] and shard.find(t, len(places)) is None
-        assert shard.count(901) == 0 and shard.find(901, 0) is None
+        data = token_shards.WaveletShard.of(ids, [1, None], np.array([0, n // 2, n])).to_bytes()
+        whole = token_shards.WaveletShard.from_bytes(data)
+        assert (whole.tokens() == ids).all() and whole.docs == [1, None]
+        check_shard(whole, ids, random)
+        check_shard(token_shards.ShardFile(io.BytesIO(data)), ids, random)  # page by page, by the file's directory
     with pytest.raises(ValueError):
         token_shards.WaveletShard.from_bytes(b"else")
 
