@@ -22,7 +22,7 @@ import heapq
 import math
 import re
 import uuid
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -194,7 +194,7 @@ def _strings(text: str) -> set[str]:
 
 def _svm(x: np.ndarray, signs: np.ndarray, weights: np.ndarray, cost: float) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss, by Newton steps on the primal; both classes weigh the same in sum."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     c = cost * weights * np.where(signs > 0, 1 / max(1e-9, weights[signs > 0].sum()), 1 / max(1e-9, weights[signs < 0].sum()))
     w, ridge = np.zeros(x.shape[1]), np.ones(x.shape[1])
     ridge[-1] = 1e-6  # the bias goes free
@@ -202,7 +202,7 @@ def _svm(x: np.ndarray, signs: np.ndarray, weights: np.ndarray, cost: float) ->
     now = loss(w)
     for _ in range(60):
         short = np.flatnonzero(signs * (x @ w) < 1)
-        inside, weight = x[short], 2 * c[short]
+        inside, weight = x[short].astype(float), 2 * c[short]
         gradient = ridge * w - inside.T @ (weight * (signs[short] - inside @ w))
         step = np.linalg.solve((inside.T * weight) @ inside + np.diag(ridge), gradient)
         size = 1.0
@@ -222,24 +222,23 @@ def _association(a: int, b: int, n_a: int, n_b: int) -> float:
     return g if a * n_b > b * n_a else -g
 
 
-def _lexicon(bags: list[set[str]], toxic: list[int], odds: dict[str, float], pos: Counter, neg: Counter, n_pos: int, n_neg: int) -> list[str]:
+def _lexicon(bags: list[np.ndarray], y: np.ndarray, odds: np.ndarray, neg: np.ndarray) -> list[int]:
     """Strings that make texts toxic, the surest first: the one that most surely explains the toxic texts that no string
     before it explains, again and again; and those about as sure as the surest. So words that only happen to stand in
     several copies of a toxic text don't count."""
-    holders: dict[str, list[int]] = {}
-    for i, (bag, label) in enumerate(zip(bags, toxic, strict=True)):
-        if label:
-            for s in bag:
-                if odds[s] >= SURE:
-                    holders.setdefault(s, []).append(i)
-    open_ = {i for i, label in enumerate(toxic) if label}
-    queue = [(-odds[s], s) for s in holders]
+    holders: dict[int, list[int]] = {}
+    n_pos, n_neg = int((y > 0).sum()), int((y <= 0).sum())
+    open_ = set(np.flatnonzero(y > 0).tolist())
+    for i in open_:
+        for s in bags[i][odds[bags[i]] >= SURE].tolist():
+            holders.setdefault(s, []).append(i)
+    queue = [(-float(odds[s]), s) for s in holders]
     heapq.heapify(queue)
     found = []
     while queue:
         _, s = heapq.heappop(queue)
         left = sum(i in open_ for i in holders[s])
-        now = _association(left, neg[s], n_pos, n_neg)
+        now = _association(left, int(neg[s]), n_pos, n_neg)
         if now < SURE:
             continue
         if queue and -queue[0][0] > now:
@@ -247,33 +246,44 @@ def _lexicon(bags: list[set[str]], toxic: list[int], odds: dict[str, float], pos
             continue
         found.append(s)
         open_.difference_update(holders[s])
-    best = max(odds.values())
+    best = odds.max()
     found = sorted({*found, *(s for s in holders if odds[s] >= 0.3 * best)}, key=lambda s: (-odds[s], s))
-    return found or [min(pos, key=lambda s: (-odds[s], s))]
+    return found or [int(odds.argmax())]
 
 
-def _bags(text: str) -> list[set[str]]:
-    """The strings of each sentence that has any."""
-    return [bag for a, b in sentences(text) if (bag := _strings(text[a:b]))]
+def _sentences(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """All strings of the texts, and those of each sentence that has any: as places in the list in turn, where each sentence
+    begins (one more than sentences), and the text of each sentence."""
+    place: dict[str, int] = {}
+    flat, cuts, owner = array("i"), array("q", [0]), array("i")
+    for i, text in enumerate(texts):
+        for a, b in sentences(text):
+            bag = _strings(text[a:b])
+            if bag:
+                flat.extend(place.setdefault(s, len(place)) for s in sorted(bag))
+                cuts.append(len(flat))
+                owner.append(i)
+    return list(place), np.array(flat, dtype=np.int32), np.array(cuts), np.array(owner)
 
 
 def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, cost: float = 300.0) -> Model:
     """Learns from the sentences of labelled texts (see above). A text without a known string, or labels of one kind only,
     give an even score."""
-    parts = [_bags(t) for t in texts]
-    bags = [set().union(*p) for p in parts]
-    y = np.array(toxic)
-    if not any(b for b, t in zip(bags, toxic, strict=True) if t) or not (y <= 0).any():
+    strings, flat, cuts, owner = _sentences(texts)
+    y = np.array(toxic, dtype=int)
+    if not (y[owner] > 0).any() or not (y <= 0).any():
         return Model(np.zeros(_SIZE**ORDER, np.float32), 0.0, 0.0, 4.0 if (y > 0).any() else -4.0)
-    pos, neg = Counter(), Counter()
+    edges = cuts[np.searchsorted(owner, np.arange(len(texts) + 1))]
+    bags = [np.unique(flat[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    pos, neg = np.zeros(len(strings), dtype=int), np.zeros(len(strings), dtype=int)
     for bag, label in zip(bags, toxic, strict=True):
-        (pos if label else neg).update(bag)
+        (pos if label else neg)[bag] += 1
     n_pos, n_neg = int((y > 0).sum()), int((y <= 0).sum())
-    odds = {s: _association(pos[s], neg[s], n_pos, n_neg) for s in pos.keys() | neg.keys()}
-    explain = _lexicon(bags, toxic, odds, pos, neg, n_pos, n_neg)
-    common = [s for s, _ in sorted(neg.items(), key=lambda x: (-x[1], x[0])) if odds[s] <= 0]
+    odds = np.array([_association(a, b, n_pos, n_neg) for a, b in zip(pos.tolist(), neg.tolist(), strict=True)])
+    explain = _lexicon(bags, y, odds, neg)
+    common = [s for s in np.lexsort((np.arange(len(strings)), -neg)).tolist() if odds[s] <= 0 and neg[s]]
     telling = explain[: 2 * landmarks // 3]
-    marks = [m for m in dict.fromkeys(telling + common[: landmarks - len(telling)]) if len(m) >= ORDER]
+    marks = [strings[m] for m in dict.fromkeys(telling + common[: landmarks - len(telling)]) if len(strings[m]) >= ORDER]
 
     sparse = vectors(marks)
     used = np.array(sorted({key for v in sparse for key in v}), dtype=np.int64)
@@ -296,15 +306,14 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, cost: fl
                 out[i] = weights @ of[k] / n
         return out @ whiten
 
-    # sentences as places in the list of strings
-    strings = sorted(odds)
-    place = {s: i for i, s in enumerate(strings)}
-    known = set(explain)
-    rows_ = [(np.array([place[s] for s in bag]), 1 if label else -1) for p, label in zip(parts, toxic, strict=True) for bag in p if not label or not known.isdisjoint(bag)]
-    flat, cuts = np.concatenate([r for r, _ in rows_]), np.cumsum([0, *(len(r) for r, _ in rows_)])
-    signs = np.array([s for _, s in rows_])
-    value = np.array([odds[s] for s in strings])
-    value[[place[s] for s in explain]] += 1e6  # in the first round a toxic sentence stands as the string that explains it
+    # the sentences that count
+    told = np.zeros(len(strings), dtype=bool)
+    told[explain] = True
+    counts = (y[owner] <= 0) | np.logical_or.reduceat(told[flat], cuts[:-1])
+    flat = flat[np.repeat(counts, np.diff(cuts))]
+    cuts = np.concatenate([[0], np.cumsum(np.diff(cuts)[counts])])
+    signs = np.where(y[owner[counts]] > 0, 1, -1)
+    value = odds + 1e6 * told  # in the first round a toxic sentence stands as the string that explains it
     made: dict[int, np.ndarray] = {}
     before = None
     for _ in range(ROUNDS):
@@ -316,13 +325,13 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, cost: fl
         before = witness
         cases, weights = np.unique(np.stack([witness, signs], 1), axis=0, return_counts=True)
         new = [i for i in dict.fromkeys(cases[:, 0].tolist()) if i not in made]
-        made.update(zip(new, features([strings[i] for i in new]), strict=True))
-        w, bias = _svm(np.array([made[i] for i in cases[:, 0].tolist()]), cases[:, 1], weights.astype(float), cost)
+        made.update(zip(new, features([strings[i] for i in new]).astype(np.float32), strict=True))
+        w, bias = _svm(np.array([made[i] for i in cases[:, 0].tolist()], dtype=np.float32), cases[:, 1], weights.astype(float), cost)
         folded = np.zeros(_SIZE**ORDER, dtype=np.float32)
         folded[used] = ((whiten @ w).astype(np.float32) @ table)[:-1]
         model = Model(folded, bias, 1.0, 0.0)
         value = model.values(strings)
-    best = np.array([max((value[place[s]] for s in b), default=model.bias) for b in bags])
+    best = np.array([value[b].max() if len(b) else model.bias for b in bags])
     model.slope, model.shift = _calibrate(best, y)
     return model
 
