@@ -1,13 +1,15 @@
-"""Removal of repeated passages by content-defined chunks of lines, in SQL functions alone.
-
-A line ends with a line feed, or with a sentence (so that a passage without line feeds has lines too). Every line has a
-hash, and a rolling hash over it and the line before. A chunk begins where the rolling hash is lower than the one before
-and not above the one behind: such places depend on the four lines around them alone, so chunks inside a passage are the
-same wherever it stands, and have at least two lines (but for the first of a text). Chunks of two lines or more that occur
-again anywhere are removed, after their bytes were compared; the first occurrence (least doc_id, then place) stays.
-
-Groups are found by hashes alone; the texts that have a member are then read for the comparison of bytes, summed up before
-they are shuffled. Documents meet their removals by their id and the hash of their text.
+"""Removal of repeated passages of lines, in SQL functions alone.
+
+A line ends with a line feed or with a sentence, and in lines over ``LONG`` characters with a comma, so that a passage
+without line feeds has lines too. Every line that isn't blank has a hash, and every place a rolling hash over its line and the
+next. Boundaries are chosen by which rolling hashes occur again anywhere: a chunk begins where a repeated one does and
+ends where the run of repeated ones ends, so a passage has the same chunk wherever it stands and whatever stands around it,
+and chunks have two lines at least. (Boundaries at local minima of the rolling hash, without regard to what repeats, lose
+what lies before the first and behind the last one in a passage, and most passages of three or four lines whole.)
+
+Repeats are removed after their bytes were compared; the first occurrence (least doc_id, then place) of each pair of
+lines stays. Everything that is shuffled is hashes and places, but for the lines to be compared, which are reduced to two a
+hash before, and the texts that lose lines. A bitmap of the repeated hashes keeps others out of the shuffles.
 """
 
 from __future__ import annotations
@@ -15,82 +17,119 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import key_filter, meet_groups, settle
 
-#: Divides lines while a text is cut; a text that holds it is cut there too.
+#: Divides lines while a text is cut; stands for itself in texts through ``_escape``.
 _CUT = "\x01"
 _BLANK = " \t\n\r\x0b\x0c"
+#: Characters of a line from which on commas end lines too.
+LONG = 240
+_PLACE = ("id", "of")
+
+
+def _escape(text: Column) -> Column:
+    marked = F.contains(text, F.lit("\x01")) | F.contains(text, F.lit("\x02"))
+    return F.when(marked, F.replace(F.replace(text, F.lit("\x02"), F.lit("\x02B")), F.lit("\x01"), F.lit("\x02A"))).otherwise(text)
+
+
+def _unescape(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit("\x02")), F.replace(F.replace(text, F.lit("\x02A"), F.lit("\x01")), F.lit("\x02B"), F.lit("\x02"))).otherwise(text)
 
 
 def lines_of(text: Column) -> Column:
-    """The lines of a text that aren't blank, with what ends them."""
+    """All lines of a text, blank ones too, with what ends them. Put together they are the (escaped) text."""
+    text = _escape(F.coalesce(text, F.lit("")))
+    cut = text
     for end in ("\n", ". ", "! ", "? "):
-        text = F.replace(text, F.lit(end), F.lit(end + _CUT))
-    return F.filter(F.split(text, _CUT), lambda x: F.btrim(x, F.lit(_BLANK)) != "")
+        cut = F.replace(cut, F.lit(end), F.lit(end + _CUT))
+    more = lambda x: F.when(F.char_length(x) > LONG, F.split(F.replace(x, F.lit(", "), F.lit(", " + _CUT)), _CUT)).otherwise(F.array(x))
+    return F.when(F.char_length(text) > LONG, F.flatten(F.transform(F.split(cut, _CUT), more))).otherwise(F.split(cut, _CUT))
 
 
 def _cut(docs: DataFrame) -> DataFrame:
-    """Adds ``_raw`` (lines), ``_key`` (trimmed lines) and ``_from`` (places at which chunks begin, from 0) to ``docs``."""
-    docs = docs.withColumn("_raw", lines_of(F.coalesce(F.col("text"), F.lit(""))))
-    docs = docs.withColumn("_key", F.transform("_raw", lambda x: F.btrim(x, F.lit(_BLANK))))
-    docs = docs.withColumn("_hash", F.transform("_key", lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("bigint")))
-    rolled = F.zip_with("_hash", F.concat(F.array(F.lit(0).cast("bigint")), F.slice("_hash", 1, F.greatest(F.size("_hash") - 1, F.lit(0)))), lambda h, before: F.pmod(before * 31 + h, F.lit(1 << 32)))
-    docs = docs.withColumn("_roll", F.when(F.size("_hash") > 0, rolled).otherwise(F.array().cast("array<bigint>")))
+    """Adds ``raw`` (all lines) and ``line`` (trimmed ones that aren't blank)."""
+    docs = docs.withColumn("raw", lines_of(F.col("text")))
+    return docs.withColumn("line", F.filter(F.transform("raw", lambda x: F.btrim(x, F.lit(_BLANK))), lambda x: x != ""))
+
+
+def _roll(a: Column, b: Column) -> Column:
+    return F.xxhash64(a, b)
+
+
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(line)
+
+
+def _windows(hashed: DataFrame) -> DataFrame:
+    """A row for each pair of neighbouring lines: place, ``at`` (of the first line, from 0), hashes ``a, b``, rolling hash ``h``."""
+    last = F.size("hash") - 1
+    pairs = F.when(last > 0, F.arrays_zip(F.slice("hash", F.lit(1), last).alias("a"), F.slice("hash", F.lit(2), last).alias("b")))
+    return hashed.select(*_PLACE, F.posexplode(pairs).alias("at", "w")).select(*_PLACE, "at", "w.a", "w.b", _roll(F.col("w.a"), F.col("w.b")).alias("h"))
 
-    def begins(i: Column) -> Column:
-        r = lambda j: F.get("_roll", j)
-        return (i == 0) | (r(i) < r(i - 1)) & (r(i) <= F.coalesce(r(i + 1), F.lit(1 << 32)))
 
-    places = F.when(F.size("_roll") > 0, F.filter(F.sequence(F.lit(0), F.size("_roll") - 1), begins)).otherwise(F.array().cast("array<int>"))
-    return docs.withColumn("_from", places).drop("_hash", "_roll")
+def _repeats(members: DataFrame, key: list[str]) -> DataFrame:
+    """The places of pairs that stand elsewhere before: ``members`` has the pair's ``key`` and place, and may hold pairs that don't repeat."""
+    place = F.struct(*_PLACE, "at")
+    groups = members.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("times")).where("first <> last")
+    members = members.withColumn("key", F.struct(*key)).select(*_PLACE, "at", "key")
+    groups = settle(groups.select(F.struct(*key).alias("key"), "first", "times"), "lines-groups")
+    return meet_groups(members, groups, "key", "times").where(place != F.col("first")).select(*_PLACE, "at")
 
 
-def _chunks() -> Column:
-    """Chunks as (first line, lines)."""
-    ends = F.concat(F.slice("_from", 2, F.greatest(F.size("_from") - 1, F.lit(0))), F.array(F.size("_key")))
-    return F.when(F.size("_from") > 0, F.zip_with("_from", ends, lambda a, b: F.struct(a.alias("at"), (b - a).alias("n")))).otherwise(F.array().cast("array<struct<at:int,n:int>>"))
+def _gone(marked: DataFrame, digest) -> DataFrame:
+    """The lines to remove: place, ``lines`` (from 0, in order)."""
+    hashed = settle(_cut(marked.select(*_PLACE, "text")).select(*_PLACE, F.transform("line", digest).alias("hash")), "lines-hashes")
+    windows = _windows(hashed)
+    again = settle(windows.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h"), "lines-repeated")
+    may_repeat = key_filter(again)
+    members = settle(windows.where(may_repeat(F.col("h"))), "lines-members")
 
+    # the bytes of every line of a pair that may repeat: the same for a hash if the least and the greatest are
+    cut = _cut(marked.select("text")).select("line", F.transform("line", digest).alias("hash"))
+    each = cut.select(F.explode(F.zip_with("line", F.transform("hash", lambda x, i: F.struct(F.get("hash", i - 1).alias("before"), x.alias("a"), F.get("hash", i + 1).alias("behind"))), lambda l, h: F.struct(l.alias("line"), h.alias("h")))).alias("x"))
+    each = each.select("x.line", "x.h.*").where(may_repeat(_roll(F.col("before"), F.col("a"))) | may_repeat(_roll(F.col("a"), F.col("behind"))))
+    clashes = settle(each.groupBy("a").agg(F.min("line").alias("least"), F.max("line").alias("most")).where("least <> most").select("a"), "lines-clashes")
 
-def _text_of(c: Column) -> Column:
-    return F.array_join(F.slice("_key", c["at"] + 1, c["n"]), "\n")
+    if clashes.isEmpty():
+        found = _repeats(members, ["a", "b"])
+    else:  # pairs with a line whose hash stands for several are told apart by their bytes
+        clean = members.join(clashes, "a", "left_anti").join(clashes.withColumnRenamed("a", "b"), "b", "left_anti")
+        texts = _cut(marked.select(*_PLACE, "text")).select(*_PLACE, F.col("line").alias("hash"))
+        bodies = _windows(texts).withColumns({"ha": digest(F.col("a")), "hb": digest(F.col("b"))})
+        bodies = bodies.join(clashes.withColumnRenamed("a", "ha"), "ha", "left_semi").unionByName(bodies.join(clashes.withColumnRenamed("a", "hb"), "hb", "left_semi")).select(*_PLACE, "at", "a", "b").distinct()
+        found = _repeats(settle(clean, "lines-clean"), ["a", "b"]).unionByName(_repeats(settle(bodies, "lines-bodies"), ["a", "b"]))
+    lines = found.select(*_PLACE, F.explode(F.array("at", F.col("at") + 1)).alias("line")).distinct()
+    return settle(lines.groupBy(*_PLACE).agg(F.sort_array(F.collect_list("line")).alias("lines")), "lines-gone")
 
 
-def remove_repeated(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` cleaned, and the columns ``n_lines, n_chunks, n_removed_chunks, n_removed_lines`` behind.
+def remove_repeated(docs: DataFrame, digest=line_hash) -> DataFrame:
+    """``docs`` with ``text`` cleaned, and the columns ``n_lines, n_removed_chunks, n_removed_lines`` behind.
 
-    A text without a removal stays as it is; from others the lines of removed chunks and blank lines are gone. Null texts
-    stay null and have no lines. Rows that repeat doc_id and text whole count as one place: what stays in one stays in
-    each. A null doc_id comes before all others. Different chunks under one hash are left in place. Columns named like
-    those added are replaced; others are kept.
+    Lines of removed chunks are cut out with what ends them; everything else of a text, blank lines too, stays byte by byte.
+    Null texts stay null and have no lines. Rows that repeat doc_id and text whole count as one place: what stays in one
+    stays in each. A null doc_id comes before all others. Lines under one hash that differ in bytes are told apart
+    (``digest`` may be any hash of a line). Columns named like those added are replaced; all others are kept, whatever
+    their names. An empty table gives no rows.
     """
-    added = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
-    own, place = [c for c in docs.columns if c not in added], ["_id", "_of"]
-    marked = docs.select(*own).withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))).withColumn("_of", F.xxhash64("text"))
-
-    # chunks as hashes: no text beyond this but that of texts with a repeated one
-    hashes = F.transform(F.filter(_chunks(), lambda c: c["n"] >= 2), lambda c: F.struct(c["at"].alias("at"), c["n"].alias("n"), F.xxhash64(_text_of(c)).alias("h")))
-    cut = _cut(marked.select(*place, "text")).select(*place, F.size("_key").cast("bigint").alias("n_lines"), F.size("_from").cast("bigint").alias("n_chunks"), hashes.alias("c"))
-    narrow = settle(cut.dropDuplicates(place), "lines-hashes")
-    places = narrow.select(*place, F.explode_outer("c").alias("c")).where("c is not null").select(*place, "c.at", "c.n", "c.h")
-    groups = places.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*place, "at")).alias("first")).where("times > 1").select("h", "first")
-    members = settle(places.join(groups, "h"), "lines-members")
-
-    # the bytes of all members of a hash: the same if the least and the greatest are
-    own_places = members.groupBy(*place).agg(F.map_from_entries(F.collect_set(F.struct("at", "h"))).alias("_h"))  # a text's own
-    bodies = _cut(marked.select(*place, "text").join(own_places, place)).withColumn("_all", F.filter(_chunks(), lambda c: F.map_contains_key("_h", c["at"])))
-    bodies = bodies.select(F.transform("_all", lambda c: F.struct(F.element_at("_h", c["at"]).alias("h"), _text_of(c).alias("body"))).alias("x"))
-    bodies = bodies.select(F.explode_outer("x").alias("x")).where("x is not null").select("x.h", "x.body")
-    clashes = settle(bodies.groupBy("h").agg(F.min("body").alias("least"), F.max("body").alias("most")).where("least <> most").select("h"), "lines-clashes")
-    if not clashes.isEmpty():
-        members = members.join(clashes, "h", "left_anti")
-
-    gone = members.where(F.struct(*place, "at") != F.col("first")).groupBy(*place).agg(F.collect_set("at").alias("_gone"), F.count(F.lit(1)).alias("n_removed_chunks"), F.sum("n").cast("bigint").alias("n_removed_lines"))
-    counts = narrow.select(*place, "n_lines", "n_chunks").join(gone, place, "left")
-    whole = marked.join(counts, place)
-    # only texts that lose something are cut again
-    whole = _cut(whole.withColumn("_text", F.col("text")).withColumn("text", F.when(F.col("_gone").isNotNull(), F.col("text")))).withColumn("_all", _chunks())
-    kept = F.array_join(F.transform(F.filter("_all", lambda c: ~F.array_contains("_gone", c["at"])), lambda c: F.array_join(F.slice("_raw", c["at"] + 1, c["n"]), "")), "")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-    return whole.select(
-        *(F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("_text")).alias("text") if c == "text" else F.col(c) for c in own), "n_lines", "n_chunks", zero("n_removed_chunks"), zero("n_removed_lines"),
+    added = ("n_lines", "n_removed_chunks", "n_removed_lines")
+    own = [c for c in docs.columns if c not in added]
+    col = lambda c: F.col("row")[c]
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"))
+    marked = marked.select("row", F.coalesce(col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(col("text")).alias("of"), col("text").alias("text"))
+    gone = _gone(marked, digest)
+    loses = key_filter(settle(gone.select(F.xxhash64(*_PLACE).alias("doc")), "lines-docs"))
+    doc = F.xxhash64(*_PLACE)
+    # only texts that lose lines meet their list of lines
+    whole = _cut(marked.where(~loses(doc))).select("row", "text", F.size("line").cast("bigint").alias("n_lines"), *(F.lit(0).cast("bigint").alias(c) for c in added[1:]))
+    met = _cut(marked.where(loses(doc)).join(gone, list(_PLACE), "left"))
+    filled = F.filter(F.sequence(F.lit(0), F.size("raw") - 1), lambda i: F.btrim(F.get("raw", i), F.lit(_BLANK)) != "")
+    met = met.withColumn("filled", filled)
+    stay = F.array_except(F.sequence(F.lit(0), F.size("raw") - 1), F.transform("lines", lambda k: F.get("filled", k)))
+    clean = _unescape(F.array_join(F.transform(stay, lambda i: F.get("raw", i)), ""))
+    begins = F.size(F.array_except("lines", F.transform("lines", lambda k: k + 1)))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    less = met.select(
+        "row", F.when(F.col("lines").isNull(), F.col("text")).otherwise(clean).alias("text"), F.size("line").cast("bigint").alias("n_lines"),
+        zero(F.when(F.col("lines").isNotNull(), begins)).alias(added[1]), zero(F.when(F.col("lines").isNotNull(), F.size("lines"))).alias(added[2]),
     )
+    return whole.unionByName(less).select(*(F.col("text") if c == "text" else col(c).alias(c) for c in own), *added)

@@ -55,7 +55,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = line_dedup.remove_repeated(_table(spark, sf_dir, "documents"))
-    return clean.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
+    return clean.select("doc_id", "n_lines", "n_removed_chunks", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -115,17 +115,18 @@ FROM n
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 u AS (SELECT doc_id, unnest(string_split(replace(replace(replace(replace(text, chr(10), chr(10) || chr(1)), '. ', '. ' || chr(1)), '! ', '! ' || chr(1)), '? ', '? ' || chr(1)), chr(1))) AS raw,
              generate_subscripts(string_split(replace(replace(replace(replace(text, chr(10), chr(10) || chr(1)), '. ', '. ' || chr(1)), '! ', '! ' || chr(1)), '? ', '? ' || chr(1)), chr(1)), 1) AS i FROM d),
-k AS (SELECT doc_id, i, raw, trim(raw, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS key FROM u),
-h AS (SELECT doc_id, i, raw, key, ('0x' || substr(md5(key), 1, 8))::BIGINT AS h FROM k WHERE key <> ''),
-r AS (SELECT *, (coalesce(lag(h) OVER w, 0) * 31 + h) % 4294967296 AS r FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-b AS (SELECT *, CASE WHEN lag(r) OVER w IS NULL OR r < lag(r) OVER w AND r <= coalesce(lead(r) OVER w, 4294967296) THEN 1 ELSE 0 END AS b FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-c AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM b),
-g AS (SELECT doc_id, c, count(*) AS n, string_agg(key, chr(10) ORDER BY i) AS body, string_agg(raw, '' ORDER BY i) AS raw FROM c GROUP BY doc_id, c),
-m AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY n >= 2, body ORDER BY doc_id, c) > 1 AS gone FROM g),
-s AS (SELECT doc_id, sum(n)::BIGINT AS n_lines, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS n_removed_chunks, coalesce(sum(n) FILTER (WHERE gone), 0)::BIGINT AS n_removed_lines,
-             coalesce(string_agg(raw, '' ORDER BY c) FILTER (WHERE NOT gone), '') AS clean FROM m GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed_chunks, 0) AS n_removed_chunks, coalesce(n_removed_lines, 0) AS n_removed_lines,
-       sha256(CASE WHEN coalesce(n_removed_chunks, 0) > 0 THEN clean ELSE d.text END) AS clean_sha256
-FROM d LEFT JOIN s ON d.doc_id = s.doc_id
+v AS (SELECT doc_id, i, unnest(x) AS raw, generate_subscripts(x, 1) AS j
+      FROM (SELECT doc_id, i, CASE WHEN length(raw) > 240 THEN string_split(replace(raw, ', ', ', ' || chr(1)), chr(1)) ELSE [raw] END AS x FROM u)),
+k AS (SELECT doc_id, i, j, raw, trim(raw, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS key FROM v),
+l AS (SELECT *, key <> '' AS filled, count(*) FILTER (WHERE key <> '') OVER (PARTITION BY doc_id ORDER BY i, j) AS pos FROM k),
+w AS (SELECT doc_id, pos, key, lead(key) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM l WHERE filled),
+p AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY key, next ORDER BY doc_id, pos) > 1 AS again FROM w WHERE next IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS pos FROM p WHERE again),
+m AS (SELECT l.*, filled AND g.pos IS NOT NULL AS gone FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos),
+f AS (SELECT doc_id, pos, gone, lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM m WHERE filled),
+n AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone AND NOT before) AS n_removed_chunks, count(*) FILTER (WHERE gone) AS n_removed_lines FROM f GROUP BY doc_id),
+s AS (SELECT doc_id, coalesce(string_agg(raw, '' ORDER BY i, j) FILTER (WHERE NOT gone), '') AS clean FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed_chunks, 0) AS n_removed_chunks, coalesce(n_removed_lines, 0) AS n_removed_lines, sha256(clean) AS clean_sha256
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN s ON d.doc_id = s.doc_id
 """,
 }
