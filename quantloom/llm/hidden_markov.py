@@ -6,8 +6,9 @@ its count. Counts are exact over all training documents, whatever their number;
 
 Training is Baum-Welch: each round, every partition of the training documents yields its expected counts from scaled
 forward and backward recursions, Spark sums them by parameter, and the sums make the next model. Documents are trained on
-in stretches of ``STRETCH`` tokens. Scoring runs the scaled forward recursion over the whole document, so its likelihood is
-exact; documents of a batch advance together.
+whole: one of over ``STRETCH`` tokens is cut into stretches that advance together, after the products of their transitions
+and emissions have given the exact forward and backward messages at every cut. Scoring runs the scaled forward recursion over
+the whole document, so its likelihood is exact; documents of a batch advance together.
 
 Counts of the ``LOOKUP`` most common tokens go to every worker; the counts of the others meet the documents by a join.
 """
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import settle, texts_of
 
-STATES, ROUNDS, STRETCH = 8, 6, 128
+STATES, ROUNDS, STRETCH = 8, 6, 2048
+#: Tokens whose messages a worker holds at once.
+_TOGETHER = 1 << 19
 #: Bounds of what goes to every worker: tokens with a class of their own, shared classes, and tokens with a known count.
 CLASSES, TAILS, LOOKUP = 16_384, 64, 200_000
 #: Weight, in tokens, of the corpus distribution in each state's.
@@ -205,29 +208,113 @@ class Model:
         back[order] = out
         return back
 
-    def expect(self, stretches: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Expected counts of starts, moves and emissions over padded stretches, and their log likelihood."""
-        (n, width), k = stretches.shape, len(self.start)
-        inside = np.arange(width)[None] < sizes[:, None]
-        emit = self.emit[stretches.T] * inside.T[:, :, None] + ~inside.T[:, :, None]  # time, stretch, state
-        ahead, scale = np.empty((width, n, k), self.emit.dtype), np.ones((width, n))
-        for t in range(width):
-            a = self.start * emit[0] if t == 0 else np.where(inside[:, t, None], (ahead[t - 1] @ self.move) * emit[t], ahead[t - 1])
-            scale[t] = np.where(inside[:, t], a.sum(axis=1), 1.0)
-            ahead[t] = a / scale[t][:, None]
-        moves, behind = np.zeros((k, k)), np.ones((n, k), self.emit.dtype)
-        counts = np.zeros((k, len(self.emit)))
-        seen = np.empty((width, n, k), self.emit.dtype)
-        for t in range(width - 1, -1, -1):
-            seen[t] = ahead[t] * behind * inside[:, t, None]
-            if t:
-                next_ = emit[t] * behind / scale[t][:, None] * inside[:, t, None]
-                moves += ahead[t - 1].T @ next_
-                behind = np.where(inside[:, t, None], next_ @ self.move.T, behind)
-        flat = stretches.T.ravel()
-        for state in range(k):
-            counts[state] = np.bincount(flat, weights=seen[:, :, state].ravel(), minlength=len(self.emit))
-        return seen[0].sum(axis=0), self.move * moves, counts, float(np.log10(scale).sum())
+    def _layout(self, flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Groups of sequences, longest first: their numbers, and how many of them are longer than each step."""
+        order = np.argsort(-sizes, kind="stable")
+        ends = np.cumsum(sizes[order])
+        at = 0
+        while at < len(order):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _TOGETHER, side="right")))
+            group = order[at:end]
+            yield group, np.searchsorted(-sizes[group], -np.arange(int(sizes[group[0]])), side="left")
+            at = end
+
+    def _messages(self, flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For stretches of documents in turn (``first`` marks those that begin one): the forward message in front of each, and
+        the backward message behind it. A document of one stretch needs neither."""
+        k = len(self.start)
+        ahead, behind = np.zeros((len(sizes), k)), np.ones((len(sizes), k))
+        follows = np.flatnonzero(~first)
+        if not len(follows):
+            return ahead, behind
+        heads = np.flatnonzero(first & np.append(~first[1:], False))
+        product = np.zeros((len(sizes), k, k))
+        for chosen in (heads, follows):
+            for group, live in self._layout(flat, begins[chosen], sizes[chosen]):
+                at = begins[chosen][group]
+                p = None
+                for t, n in enumerate(live.tolist()):
+                    e = self.emit[flat[at[:n] + t]]
+                    if chosen is heads:
+                        step = self.start * e if p is None else (p[:n] @ self.move) * e
+                        step /= step.sum(axis=1, keepdims=True)
+                    else:
+                        step = self.move * e[:, None] if p is None else (p[:n].reshape(-1, k) @ self.move).reshape(n, k, k) * e[:, None]
+                        step /= step.sum(axis=(1, 2), keepdims=True)
+                    if p is None:
+                        p = step
+                    else:
+                        p[:n] = step
+                if chosen is heads:
+                    ahead[chosen[group] + 1] = p
+                else:
+                    product[chosen[group]] = p
+        place = np.arange(len(sizes)) - np.maximum.accumulate(np.where(first, np.arange(len(sizes)), 0))
+        more = np.append(~first[1:], False)  # another stretch follows
+        for n in range(1, int(place.max()) + 1):
+            s = np.flatnonzero((place == n) & more)
+            out = np.einsum("si,sij->sj", ahead[s], product[s])
+            ahead[s + 1] = out / out.sum(axis=1, keepdims=True)
+        for n in range(int(place.max()), 0, -1):
+            s = np.flatnonzero(place == n)
+            out = np.einsum("sij,sj->si", product[s], behind[s])
+            behind[s - 1] = out / out.sum(axis=1, keepdims=True)
+        return ahead, behind
+
+    def expect(self, flat: np.ndarray, cuts: np.ndarray, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected counts of starts, moves and emissions (by state, then class) over whole sequences of classes, and their
+        log10 likelihood."""
+        k, kind = len(self.start), self.emit.dtype
+        numbers = np.arange(len(cuts) - 1)
+        parts = -(-np.diff(cuts) // stretch)
+        of = np.repeat(numbers, parts)
+        begins = cuts[of] + stretch * (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts))
+        sizes = np.minimum(cuts[of + 1] - begins, stretch)
+        first = begins == cuts[of]
+        ahead_of, behind_of = (x.astype(kind).T for x in self._messages(flat, begins, sizes, first))
+        starts, moves, counts, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(self.emit))), 0.0
+        emits, forth, start = np.ascontiguousarray(self.emit.T), np.ascontiguousarray(self.move.T), self.start[:, None]
+        for group, live in self._layout(flat, begins, sizes):  # arrays by state, then sequence
+            off = np.concatenate([[0], np.cumsum(live)])
+            at, fresh = begins[group], first[group]
+            codes = np.empty(off[-1], np.int64)
+            emit, ahead, scale = np.empty((k, off[-1]), kind), np.empty((k, off[-1]), kind), np.empty(off[-1], kind)
+            edges, sizes_ = off.tolist(), live.tolist()
+            for t, n in enumerate(sizes_):
+                codes[edges[t] : edges[t + 1]] = flat[at[:n] + t]
+            np.take(emits, codes, axis=1, out=emit, mode="clip")
+            a = None
+            for t, n in enumerate(sizes_):
+                i, j = edges[t], edges[t + 1]
+                a = np.where(fresh, start, forth @ ahead_of[:, group]) if a is None else forth @ a[:, :n]
+                a *= emit[:, i:j]
+                np.add.reduce(a, axis=0, out=scale[i:j])
+                a /= scale[i:j]
+                ahead[:, i:j] = a
+            likelihood += float(np.log10(scale).sum())
+            emit /= scale  # what a move to each state is worth, but for what lies behind
+            # backward; messages at the end of a stretch are scaled by the forward ones there, so that all products sum to one
+            ends = behind_of[:, group]
+            ends = ends / (ends * ahead[:, off[sizes[group] - 1] + np.arange(len(group))]).sum(axis=0)
+            behind = np.empty((k, 0), kind)
+            for t in range(len(live) - 1, -1, -1):
+                i, j, n = edges[t], edges[t + 1], sizes_[t]
+                if behind.shape[1] < n:
+                    behind = np.concatenate([behind, ends[:, behind.shape[1] : n]], axis=1)
+                worth = emit[:, i:j]
+                worth *= behind
+                if t:
+                    before = edges[t - 1]
+                    moves += ahead[:, before : before + n] @ worth.T
+                    ahead[:, i:j] *= behind
+                    behind = self.move @ worth
+                else:
+                    moves += ahead_of[:, group[~fresh]] @ worth[:, ~fresh].T
+                    ahead[:, i:j] *= behind
+                    starts += ahead[:, i:j][:, fresh].sum(axis=1)
+            for state in range(k):
+                counts[state] += np.bincount(codes, weights=ahead[state], minlength=len(self.emit))
+        return starts, self.move * moves, counts, likelihood
 
 
 def first_model(vocab: Vocabulary, seed: int = 11) -> Model:
@@ -248,14 +335,10 @@ def train(coded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
             m, total = shared.value, np.zeros(k + k * k + k * size)
             m = Model(m.start.astype(np.float32), m.move.astype(np.float32), m.emit)
             for batch in batches:
-                pieces = [np.frombuffer(x, "<u2")[at : at + STRETCH] for x in batch.column(0).to_pylist() for at in range(0, len(x) // 2, STRETCH)]
-                for at in range(0, len(pieces), 2048):
-                    part = pieces[at : at + 2048]
-                    sizes = np.array([len(p) for p in part])
-                    padded = np.zeros((len(part), STRETCH), dtype=np.int64)
-                    padded[np.arange(STRETCH)[None] < sizes[:, None]] = np.concatenate(part)
-                    start, move, emit, _ = m.expect(padded, sizes)
-                    total += np.concatenate([start, move.ravel(), emit.ravel()])
+                codes = [np.frombuffer(x, "<u2") for x in batch.column(0).to_pylist()]
+                cuts = np.concatenate([[0], np.cumsum([len(x) for x in codes])])
+                start, move, emit, _ = m.expect(np.concatenate(codes) if codes else np.zeros(0, "<u2"), cuts)
+                total += np.concatenate([start, move.ravel(), emit.ravel()])
             found = np.flatnonzero(total)
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["parameter", "expected"])

@@ -80,6 +80,29 @@ def test_simhash_against_brute_force(docs, texts, bucket):
     assert {i: r.component_id for i, r in found.items()} == want
 
 
+def test_meeting_groups_with_hot_ones(spark, monkeypatch):
+    from quantloom.llm import common
+
+    monkeypatch.setattr(common, "_FEW", 3)
+    rows = spark.createDataFrame([(k, i) for k, n in (("a", 9), ("b", 2), ("c", 4), ("d", 1)) for i in range(n)], "k string, i int")
+    groups = rows.where("k <> 'd'").groupBy("k").count().withColumn("v", rows["k"])
+    got = sorted((r.k, r.i, r.v) for r in common.meet_groups(rows, groups, "k", "count").collect())
+    assert got == [(k, i, k) for k, n in (("a", 9), ("b", 2), ("c", 4)) for i in range(n)]
+
+
+def test_key_filter_loses_no_key(spark):
+    from pyspark.sql import functions as F
+
+    from quantloom.llm import common
+
+    random = np.random.default_rng(1)
+    keys = [int(x) for x in random.integers(-(1 << 63), (1 << 63) - 1, 500)] + [0, -1, -(1 << 63)]
+    test = common.key_filter(spark.createDataFrame([(k,) for k in keys], "k bigint"))
+    others = spark.createDataFrame([(k + 1,) for k in keys[:500]], "k bigint")
+    assert spark.createDataFrame([(k,) for k in keys], "k bigint").where(test(F.col("k"))).count() == len(keys)
+    assert others.where(test(others["k"])).count() < 30
+
+
 def test_links_of_near_fingerprints(spark):
     random = np.random.default_rng(3)
     fps = {int(x) for x in random.integers(-(1 << 63), 1 << 63, 20)}
@@ -136,16 +159,67 @@ def test_forward_is_exact_and_proper():
 def test_expected_counts_climb():
     random = np.random.default_rng(2)
     m = hidden_markov.Model(np.ones(2) / 2, np.array([[0.6, 0.4], [0.3, 0.7]]), random.dirichlet(np.ones(5), 2).T)
-    data, sizes = random.integers(0, 5, (40, 12)), random.integers(1, 13, 40)
+    cuts = np.concatenate([[0], np.cumsum(random.integers(1, 40, 40))])
+    data = random.integers(0, 5, cuts[-1])
     last = -1e9
     for _ in range(8):
-        start, move, emit, found = m.expect(data, sizes)
-        assert found >= last - 1e-9
-        assert emit.sum() == pytest.approx(sizes.sum())
+        start, move, emit, found = m.expect(data, cuts)
+        assert found >= last - 1e-9 and found == pytest.approx(m.scores(data, cuts).sum())
+        assert emit.sum() == pytest.approx(cuts[-1]) and start.sum() == pytest.approx(40) and move.sum() == pytest.approx(cuts[-1] - 40)
         last = found
         m = hidden_markov.Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), (emit / emit.sum(axis=1, keepdims=True)).T)
 
 
+@pytest.mark.parametrize("stretch", [1, 3, 7, 1000])
+def test_expected_counts_of_whole_sequences(stretch):
+    """Stretches with exact messages at their cuts against the posterior over whole sequences by its definition."""
+    random = np.random.default_rng(9)
+    k, size = 3, 6
+    m = hidden_markov.Model(random.dirichlet(np.ones(k)), random.dirichlet(np.ones(k), k), random.dirichlet(np.ones(size), k).T)
+    cuts = np.concatenate([[0], np.cumsum(random.integers(1, 25, 12))])
+    data = random.integers(0, size, cuts[-1])
+    starts, moves, counts = np.zeros(k), np.zeros((k, k)), np.zeros((k, size))
+    for a, b in zip(cuts, cuts[1:]):
+        x = data[a:b]
+        f, g = [m.start * m.emit[x[0]]], [np.ones(k)]
+        for c in x[1:]:
+            f.append((f[-1] @ m.move) * m.emit[c])
+        for c in x[:0:-1]:
+            g.insert(0, m.move @ (m.emit[c] * g[0]))
+        p = f[-1].sum()
+        for t, c in enumerate(x):
+            counts[:, c] += f[t] * g[t] / p
+            if t:
+                moves += f[t - 1][:, None] * m.move * (m.emit[c] * g[t])[None] / p
+        starts += f[0] * g[0] / p
+    got = m.expect(data, cuts, stretch)
+    assert np.allclose(got[0], starts) and np.allclose(got[1], moves) and np.allclose(got[2], counts)
+
+
+def test_hidden_markov_scores_against_a_plain_model(docs, texts):
+    """The query's scores against a plain forward pass over each whole text with the model's own numbers."""
+    table = docs.select("doc_id", "text")
+    counts = Counter(w for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in [*t.encode().lower().split(), b""])
+    vocab = hidden_markov.vocabulary(hidden_markov.settle(hidden_markov.count_tokens(table.where(~hidden_markov.held_out())), "t"))
+    coded = hidden_markov.settle(hidden_markov.encode(hidden_markov.texts_of(table), vocab), "t")
+    model = hidden_markov.train(coded.where("not held_out"), vocab, 2)
+    found = by_id(hidden_markov.score_documents(table, 2))
+    for i in sorted(texts)[:60]:
+        score, a = 0.0, None
+        for w in [*texts[i].encode().lower().split(), b""]:
+            token = w.decode()
+            own = vocab.classes.get(token)
+            c = own if own is not None else len(vocab.classes) + hidden_markov.tail_of(token)
+            e = model.emit[c].astype(float)
+            if own is None:
+                tail = hidden_markov.tail_of(token)
+                e = e * (counts[w] + 0.5) / (vocab.tail_n[tail] + 0.5 * (vocab.tail_v[tail] + 1))
+            a = (model.start if a is None else a @ model.move) * e
+            score += math.log10(a.sum())
+            a /= a.sum()
+        assert found[i].score == pytest.approx(score, rel=1e-4)
+
+
 def test_hidden_markov_awkward(awkward):
     rows = hidden_markov.score_documents(awkward, rounds=1).collect()
     assert len(rows) == len(AWKWARD) + 2 and all(math.isfinite(r.score) for r in rows)
@@ -318,6 +392,15 @@ def test_decontamination_against_brute_force(spark, sf, docs, texts, limit):
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated, r.items_sha256) == (n, hit, len(ids), hit > 0, hashlib.sha256(",".join(ids).encode()).hexdigest())
 
 
+def test_decontamination_tells_rows_of_one_id_apart(spark):
+    long = "one two three four five six seven eight nine ten"
+    benchmark = spark.createDataFrame([(1, long), (2, "other words " + long[::-1])], "item_id bigint, text string")
+    docs = spark.createDataFrame([(7, f"x {long} y"), (7, "four clean words here"), (None, long)], "doc_id bigint, text string")
+    for limit in (decontaminate.MAX_AUTOMATON_BYTES, 200):
+        rows = decontaminate.report(decontaminate.hits(docs, benchmark, max_automaton_bytes=limit)).collect()
+        assert sorted((r.doc_id or 0, r.n_words, r.n_hit) for r in rows) == [(0, 10, 10), (7, 4, 0), (7, 12, 10)]
+
+
 def test_decontamination_spans_and_awkward(spark, awkward):
     item = spark.createDataFrame([(1, "One two, THREE four five six seven eight nine ten")], "item_id bigint, text string")
     doc = spark.createDataFrame([(1, "Ü! one TWO three-four five six seven eight nine ten. End")], "doc_id bigint, text string")
@@ -496,6 +579,12 @@ def test_exact_groups_against_brute_force(docs, texts, weak):
     assert found == brute_groups(texts.items())
 
 
+def test_exact_groups_over_several_batches(docs, texts):
+    """One file of key rows a batch, so that keys meet the state of earlier batches."""
+    found = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(docs.repartition(5), files=1).collect()}
+    assert found == brute_groups(texts.items())
+
+
 def test_exact_groups_awkward(awkward):
     rows = exact_dedup.exact_groups(awkward).collect()
     assert len(rows) == len(AWKWARD) + 2
