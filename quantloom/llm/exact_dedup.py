@@ -3,7 +3,8 @@
 Each document becomes a narrow key row: digest of the normalised text, its length in code points, the stable document
 id and a content locator (file and row number). The key rows run as a stream through a keyed aggregation whose state
 lives in RocksDB and never expires; it holds, for each digest, the best document so far, its locator and the number of
-documents. Documents that hit a digest seen before are then compared with each other in full.
+documents. Documents that hit a digest seen before are then compared with each other in full; a bitmap of the digests that
+were hit keeps the texts of all others out of that comparison, so they are never shuffled.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, settle, shared_folder, texts_of
+from .common import SPACE, key_filter, meet_groups, settle, shared_folder, texts_of
 
+#: Files of key rows that one batch of the stream takes at most.
+FILES = 1000
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # many small stores: no files of a fixed size ahead of their content, and changes alone in each checkpoint
@@ -30,13 +33,13 @@ def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def _stream_state(keys_path: str, keys: DataFrame) -> DataFrame:
+def _stream_state(keys_path: str, keys: DataFrame, files: int = FILES) -> DataFrame:
     """Run the key rows through the stateful aggregation; one row per digest: best document, its locator, count."""
     spark = keys.sparkSession
     out = shared_folder(spark, "dedup-state")
     better = F.struct("n_chars", (-F.col("doc_id")).alias("neg_id"), (-F.col("row")).alias("neg_row"), "doc_id", "row", "file")
     state = (
-        spark.readStream.schema(keys.schema).parquet(keys_path)
+        spark.readStream.schema(keys.schema).option("maxFilesPerTrigger", files).parquet(keys_path)
         .groupBy("digest").agg(F.max(better).alias("best"), F.count(F.lit(1)).alias("group_size"))
     )
 
@@ -68,7 +71,7 @@ def _written(spark, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def exact_groups(docs: DataFrame, digest=sha256_digest) -> DataFrame:
+def exact_groups(docs: DataFrame, digest=sha256_digest, files: int = FILES) -> DataFrame:
     """Groups of equal texts; one row per row of ``docs``.
 
     Texts are equal when identical without white space. Returns ``doc_id, keep_id, group_size, kept, text_sha256,
@@ -87,15 +90,15 @@ def exact_groups(docs: DataFrame, digest=sha256_digest) -> DataFrame:
         F.char_length(text).cast("bigint").alias("n_chars"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row"),
     ).write.parquet(path)
     keys = spark.read.parquet(path)
-    state = settle(_stream_state(path, keys), "dedup-groups")
+    state = settle(_stream_state(path, keys, files), "dedup-groups")
 
-    joined = keys.join(state, "digest", "left")
+    joined = meet_groups(keys, state, "digest", "group_size")
     out = ["doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "file"]
 
     # full bytes of every hit: all texts of a digest are the same when the least and the greatest are
-    hits = keys.join(state.where("group_size > 1"), "digest").select("doc_id", "digest").distinct()
-    bodies = texts_of(docs).select("doc_id", normalised(F.col("text")).alias("body"))
-    bodies = bodies.join(hits, "doc_id").where(digest(F.col("body")) == F.col("digest"))
+    hit = key_filter(settle(state.where("group_size > 1").select(F.xxhash64("digest").alias("hit")), "dedup-hits"))
+    bodies = texts_of(docs).select(normalised(F.col("text")).alias("body")).withColumn("digest", digest(F.col("body")))
+    bodies = bodies.where(hit(F.xxhash64("digest")))
     clashes = settle(
         bodies.groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("most")).where("least <> most").select("digest"),
         "dedup-clashes",
