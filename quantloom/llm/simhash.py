@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows, settle, texts_of
+from .common import meet_groups, rows, settle, texts_of
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -93,14 +93,14 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     ignored; an empty table gives no rows.
     """
     marked = settle(fingerprints(docs), "simhash")
-    nodes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    nodes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("times")), "simhash-nodes")
     labels = components(settle(links(nodes.select("fp"), bucket), "simhash-links"))  # node, label
     # the smallest document of each component, given to its fingerprints
     linked = nodes.join(labels, nodes["fp"] == labels["node"]).select("fp", "label", "first")
     least = linked.groupBy("label").agg(F.min("first").alias("least"))
     named = linked.join(least, "label").select(F.col("fp").alias("_fp"), "least")
-    whole = nodes.join(named, nodes["fp"] == named["_fp"], "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return marked.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    whole = nodes.join(named, nodes["fp"] == named["_fp"], "left").select("fp", "times", F.coalesce("least", "first").alias("component_id"))
+    return meet_groups(marked, settle(whole, "simhash-components"), "fp", "times").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
