@@ -4,13 +4,14 @@ Each benchmark item is cut into windows of consecutive words; all windows form o
 word stream passes through once. Matches are word ranges; ``hits`` maps them to offsets in the original text.
 
 The automaton goes to every Python worker, so the size of the benchmark is checked first: items are dealt into as many
-automata as keep each under ``max_automaton_bytes`` of patterns, and each automaton takes one pass over the documents.
+automata as keep each under ``max_automaton_bytes`` of patterns, and each automaton takes one pass over the documents, whose
+hits are put together by the number of the row. A worker keeps its automaton from task to task.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -18,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows, texts_of
+from .common import rows, settle, texts_of
 
 WINDOW = 10
-#: Bytes of patterns in one automaton.
-MAX_AUTOMATON_BYTES = 48 << 20
+#: Bytes of patterns in one automaton, which takes up to 45 times as many.
+MAX_AUTOMATON_BYTES = 8 << 20
 
 #: Lower-case letters and digits stay, other ASCII becomes a space; bytes over 0x7F are letters.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -82,17 +83,26 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int,
     return [(at[first][0], at[end - 1][1]) for first, end in ranges]
 
 
-_HITS = "doc_id bigint, n_words bigint, words array<struct<first:int,end:int>>, spans array<struct<start:int,end:int>>, items array<bigint>"
+_HITS = "row bigint, doc_id bigint, n_words bigint, words array<struct<first:int,end:int>>, spans array<struct<start:int,end:int>>, items array<bigint>"
+_BUILT: dict[str, ahocorasick.Automaton] = {}
 
 
-def _automata(benchmark: DataFrame, size: int, max_bytes: int) -> list[list[tuple[int, str]]]:
+def _automaton(name: str, items: list[tuple[int, str]], size: int) -> ahocorasick.Automaton:
+    """This worker's automaton of that name; the one before is given up."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = build_automaton(items, size)
+    return _BUILT[name]
+
+
+def _blocks(benchmark: DataFrame, size: int, max_bytes: int) -> Iterator[DataFrame]:
     """The items, dealt by a hash of the id into as few blocks as keep the patterns of each under ``max_bytes``."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + total * size // max_bytes
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     for block in range(blocks):
-        yield [(r.item_id, r.text) for r in dealt.where(F.col("block") == block).collect()]
+        yield dealt.where(F.col("block") == block)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_automaton_bytes: int = MAX_AUTOMATON_BYTES) -> DataFrame:
@@ -100,21 +110,26 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_automato
 
     ``words`` are merged ranges of word numbers, ``spans`` the same as code points of the original text, ``items`` the
     sorted ids of items with a window in the text. Null and empty texts have no words and no hits; null items have no
-    windows; an item repeated under several ids is found under each; a null item_id is ignored. Other columns are
-    ignored. With a benchmark beyond one automaton, rows with hits from several passes are merged by doc_id.
+    windows; an item repeated under several ids is found under each; a null item_id is ignored. Rows that repeat a doc_id
+    are told apart. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    blocks = list(_blocks(benchmark, size, max_automaton_bytes))
+    table = texts_of(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    if len(blocks) > 1:
+        table = settle(table, "benchmark-texts")  # the numbers of rows are to be the same in every pass
     passes = []
-    for items in _automata(benchmark, size, max_automaton_bytes):
-        shared = spark.sparkContext.broadcast([(i, t) for i, t in items if i is not None])
+    for items in blocks:
+        shared, name = spark.sparkContext.broadcast([(r.item_id, r.text) for r in items.where("item_id is not null").collect()]), uuid.uuid4().hex
 
-        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = build_automaton(shared.value, size)
+        def find(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(name, shared.value, size)
             for part in rows(batches):
-                ids, n_words, ranges, spans, found = [], [], [], [], []
-                for doc_id, text in part:
+                numbers, ids, n_words, ranges, spans, found = [], [], [], [], [], []
+                for number, doc_id, text in part:
                     words = words_of(text)
                     merged, owners = scan(automaton, words)
+                    numbers.append(number)
                     ids.append(doc_id)
                     n_words.append(len(words))
                     ranges.append([{"first": a, "end": b} for a, b in merged])
@@ -122,19 +137,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_automato
                     found.append(sorted(owners))
                 span = lambda a, b: pa.list_(pa.struct([(a, pa.int32()), (b, pa.int32())]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(ranges, span("first", "end")), pa.array(spans, span("start", "end")), pa.array(found, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_words", "words", "spans", "items"],
+                    [pa.array(numbers, pa.int64()), pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(ranges, span("first", "end")), pa.array(spans, span("start", "end")), pa.array(found, pa.list_(pa.int64()))],
+                    names=["row", "doc_id", "n_words", "words", "spans", "items"],
                 )
 
-        passes.append(texts_of(docs).mapInArrow(find, _HITS))
+        passes.append(table.mapInArrow(find, _HITS))
     if len(passes) == 1:
-        return passes[0]
+        return passes[0].drop("row")
     more = passes[1].where("size(items) > 0")
     for other in passes[2:]:
         more = more.unionByName(other.where("size(items) > 0"))
-    # rows of a doc_id from several passes: at most one from each
-    more = more.groupBy("doc_id").agg(F.flatten(F.collect_set("words")).alias("w"), F.flatten(F.collect_set("spans")).alias("s"), F.flatten(F.collect_set("items")).alias("i"))
-    return passes[0].join(more, "doc_id", "left").select(
+    # at most one row from each pass
+    more = more.groupBy("row").agg(F.flatten(F.collect_list("words")).alias("w"), F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i"))
+    return passes[0].join(more, "row", "left").select(
         "doc_id", "n_words", _merged(F.concat("words", F.coalesce("w", F.array())), "first").alias("words"),
         _merged(F.concat("spans", F.coalesce("s", F.array())), "start").alias("spans"),
         F.array_sort(F.array_distinct(F.concat("items", F.coalesce("i", F.array())))).alias("items"),
