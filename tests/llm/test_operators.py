@@ -435,6 +435,45 @@ def test_warc_reader_finds_damage():
         list(warc.read_records(io.BytesIO(good[:-9])))
     with pytest.raises(warc.DamagedArchive):
         list(warc.read_records(io.BytesIO(warc.pack(headers, b"other"))))
+    import gzip
+
+    text = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nbodyy\r\n\r\n"
+    for wrong in (text, text.replace(b": 3", b": 99"), text.replace(b": 3", b": x"), b"HTTP/1.1 200 OK\r\n\r\n", b"no record", b""):
+        with pytest.raises(warc.DamagedArchive):
+            list(warc.read_records(io.BytesIO(gzip.compress(wrong))))
+    with pytest.raises(warc.DamagedArchive):
+        list(warc.read_records(io.BytesIO(b"not gzip at all")))
+    assert list(warc.read_records(io.BytesIO(b""))) == []
+
+
+def test_warc_reader_inflates_as_far_as_the_record_says():
+    """A member that inflates a thousandfold is never held whole where its record is short."""
+    import gzip
+
+    bomb = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" + bytes(200_000_000))
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    with pytest.raises(warc.DamagedArchive):
+        list(warc.read_records(io.BytesIO(bomb)))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 50_000
+
+
+def test_warc_archives_follow_the_standard(spark, tmp_path):
+    """What any reader needs: warcinfo first, dates, record ids that revisits refer to, HTTP blocks; and archives of others are read."""
+    pages = spark.createDataFrame([(1, "http://a/", "<p>x</p>"), (2, "http://b/", "<p>x</p>")], "page_id bigint, url string, html string")
+    (row,) = warc.write_archives(pages.coalesce(1), f"file://{tmp_path}/a", date="2024-05-01T00:00:00Z").collect()
+    with open(row.path.removeprefix("file://"), "rb") as f:
+        info, *found = warc.read_records(f)
+    assert info.headers["warc-type"] == "warcinfo" and b"WARC File Format" in info.payload
+    by_type = {r.headers["warc-type"]: r for r in found}
+    assert by_type["revisit"].headers["warc-refers-to"] == by_type["response"].headers["warc-record-id"]
+    assert by_type["response"].payload == b"<p>x</p>" and by_type["revisit"].payload == b""
+    assert all(r.headers["warc-date"] == "2024-05-01T00:00:00Z" and r.headers["content-type"].startswith("application/http") for r in found)
+    other = warc.pack({"WARC-Type": "response", "WARC-Record-ID": "<urn:x>", "Content-Type": "application/http"}, b"HTTP/1.0 200 OK\r\nA: b\r\n\r\nhi")
+    (tmp_path / "o.warc.gz").write_bytes(warc.pack({"WARC-Type": "request"}, b"GET /") + other)
+    (r,) = warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/o.warc.gz",)], "path string")).collect()
+    assert (r.page_id, bytes(r.payload), r.payload_digest, r.payload_bytes) == (None, b"hi", warc.digest_of(b"hi"), 2)
 
 
 # --- SentencePiece
