@@ -95,14 +95,11 @@ def exact_groups(docs: DataFrame, digest=sha256_digest, files: int = FILES) -> D
     joined = meet_groups(keys, state, "digest", "group_size")
     out = ["doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "file"]
 
-    # full bytes of every hit: all texts of a digest are the same when the least and the greatest are
+    # full bytes of every hit: texts are the same byte by byte, or several stand under their digest
     hit = key_filter(settle(state.where("group_size > 1").select(F.xxhash64("digest").alias("hit")), "dedup-hits"))
     bodies = texts_of(docs).select(normalised(F.col("text")).alias("body")).withColumn("digest", digest(F.col("body")))
     bodies = bodies.where(hit(F.xxhash64("digest")))
-    clashes = settle(
-        bodies.groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("most")).where("least <> most").select("digest"),
-        "dedup-clashes",
-    )
+    clashes = settle(bodies.distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "dedup-clashes")
     if clashes.isEmpty():
         return joined.select(*out)
     return joined.join(clashes, "digest", "left_anti").select(*out).unionByName(_by_bytes(docs, digest, clashes, keys))

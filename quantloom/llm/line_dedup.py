@@ -8,8 +8,8 @@ and chunks have two lines at least. (Boundaries at local minima of the rolling h
 what lies before the first and behind the last one in a passage, and most passages of three or four lines whole.)
 
 Repeats are removed after their bytes were compared; the first occurrence (least doc_id, then place) of each pair of
-lines stays. Everything that is shuffled is hashes and places, but for the lines to be compared, which are reduced to two a
-hash before, and the texts that lose lines. A bitmap of the repeated hashes keeps others out of the shuffles.
+lines stays. Everything that is shuffled is hashes and places, but for the lines to be compared, of which each goes once from a
+task, and the texts that lose lines. A bitmap of the repeated hashes keeps others out of the shuffles.
 """
 
 from __future__ import annotations
@@ -42,14 +42,18 @@ def lines_of(text: Column) -> Column:
     cut = text
     for end in ("\n", ". ", "! ", "? "):
         cut = F.replace(cut, F.lit(end), F.lit(end + _CUT))
-    more = lambda x: F.when(F.char_length(x) > LONG, F.split(F.replace(x, F.lit(", "), F.lit(", " + _CUT)), _CUT)).otherwise(F.array(x))
-    return F.when(F.char_length(text) > LONG, F.flatten(F.transform(F.split(cut, _CUT), more))).otherwise(F.split(cut, _CUT))
+    cut = F.split(cut, _CUT)
+    long = F.transform(cut, lambda x: F.when(F.char_length(x) > LONG, F.replace(x, F.lit(", "), F.lit(", " + _CUT))).otherwise(x))
+    return F.when(F.char_length(text) > LONG, F.split(F.array_join(long, _CUT), _CUT)).otherwise(cut)
+
+
+def _trim(line: Column) -> Column:
+    return F.btrim(line, F.lit(_BLANK))
 
 
 def _cut(docs: DataFrame) -> DataFrame:
-    """Adds ``raw`` (all lines) and ``line`` (trimmed ones that aren't blank)."""
-    docs = docs.withColumn("raw", lines_of(F.col("text")))
-    return docs.withColumn("line", F.filter(F.transform("raw", lambda x: F.btrim(x, F.lit(_BLANK))), lambda x: x != ""))
+    """Adds ``raw`` (all lines) and ``line`` (those that aren't blank)."""
+    return docs.withColumn("raw", lines_of(F.col("text"))).withColumn("line", F.filter("raw", lambda x: _trim(x) != ""))
 
 
 def _roll(a: Column, b: Column) -> Column:
@@ -64,7 +68,8 @@ def _windows(hashed: DataFrame) -> DataFrame:
     """A row for each pair of neighbouring lines: place, ``at`` (of the first line, from 0), hashes ``a, b``, rolling hash ``h``."""
     last = F.size("hash") - 1
     pairs = F.when(last > 0, F.arrays_zip(F.slice("hash", F.lit(1), last).alias("a"), F.slice("hash", F.lit(2), last).alias("b")))
-    return hashed.select(*_PLACE, F.posexplode(pairs).alias("at", "w")).select(*_PLACE, "at", "w.a", "w.b", _roll(F.col("w.a"), F.col("w.b")).alias("h"))
+    # an outer explode: Spark pushes no test of the array below what makes it
+    return hashed.select(*_PLACE, F.posexplode_outer(pairs).alias("at", "w")).where("at is not null").select(*_PLACE, "at", "w.a", "w.b", _roll(F.col("w.a"), F.col("w.b")).alias("h"))
 
 
 def _repeats(members: DataFrame, key: list[str]) -> DataFrame:
@@ -78,23 +83,25 @@ def _repeats(members: DataFrame, key: list[str]) -> DataFrame:
 
 def _gone(marked: DataFrame, digest) -> DataFrame:
     """The lines to remove: place, ``lines`` (from 0, in order)."""
-    hashed = settle(_cut(marked.select(*_PLACE, "text")).select(*_PLACE, F.transform("line", digest).alias("hash")), "lines-hashes")
+    hashed = settle(_cut(marked.select(*_PLACE, "text")).select(*_PLACE, F.transform("line", lambda x: digest(_trim(x))).alias("hash")), "lines-hashes")
     windows = _windows(hashed)
     again = settle(windows.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h"), "lines-repeated")
     may_repeat = key_filter(again)
     members = settle(windows.where(may_repeat(F.col("h"))), "lines-members")
 
-    # the bytes of every line of a pair that may repeat: the same for a hash if the least and the greatest are
-    cut = _cut(marked.select("text")).select("line", F.transform("line", digest).alias("hash"))
-    each = cut.select(F.explode(F.zip_with("line", F.transform("hash", lambda x, i: F.struct(F.get("hash", i - 1).alias("before"), x.alias("a"), F.get("hash", i + 1).alias("behind"))), lambda l, h: F.struct(l.alias("line"), h.alias("h")))).alias("x"))
-    each = each.select("x.line", "x.h.*").where(may_repeat(_roll(F.col("before"), F.col("a"))) | may_repeat(_roll(F.col("a"), F.col("behind"))))
-    clashes = settle(each.groupBy("a").agg(F.min("line").alias("least"), F.max("line").alias("most")).where("least <> most").select("a"), "lines-clashes")
+    # the bytes of every line of a pair that may repeat: lines are the same byte by byte, or two stand under their hash
+    cut = _cut(marked.select("text")).select("line", F.transform("line", lambda x: digest(_trim(x))).alias("a"))
+    none, most = F.array(F.lit(None).cast("bigint")), F.greatest(F.size("a") - 1, F.lit(0))
+    shifted = {"before": F.concat(none, F.slice("a", F.lit(1), most)), "behind": F.concat(F.slice("a", F.lit(2), most), none)}
+    each = cut.select(F.inline_outer(F.arrays_zip("line", "a", *(c.alias(n) for n, c in shifted.items())))).where("a is not null")
+    each = each.where(may_repeat(_roll(F.col("before"), F.col("a"))) | may_repeat(_roll(F.col("a"), F.col("behind")))).select("a", _trim(F.col("line")).alias("line"))
+    clashes = settle(each.distinct().groupBy("a").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("a"), "lines-clashes")
 
     if clashes.isEmpty():
         found = _repeats(members, ["a", "b"])
     else:  # pairs with a line whose hash stands for several are told apart by their bytes
         clean = members.join(clashes, "a", "left_anti").join(clashes.withColumnRenamed("a", "b"), "b", "left_anti")
-        texts = _cut(marked.select(*_PLACE, "text")).select(*_PLACE, F.col("line").alias("hash"))
+        texts = _cut(marked.select(*_PLACE, "text")).select(*_PLACE, F.transform("line", _trim).alias("hash"))
         bodies = _windows(texts).withColumns({"ha": digest(F.col("a")), "hb": digest(F.col("b"))})
         bodies = bodies.join(clashes.withColumnRenamed("a", "ha"), "ha", "left_semi").unionByName(bodies.join(clashes.withColumnRenamed("a", "hb"), "hb", "left_semi")).select(*_PLACE, "at", "a", "b").distinct()
         found = _repeats(settle(clean, "lines-clean"), ["a", "b"]).unionByName(_repeats(settle(bodies, "lines-bodies"), ["a", "b"]))
@@ -122,7 +129,7 @@ def remove_repeated(docs: DataFrame, digest=line_hash) -> DataFrame:
     # only texts that lose lines meet their list of lines
     whole = _cut(marked.where(~loses(doc))).select("row", "text", F.size("line").cast("bigint").alias("n_lines"), *(F.lit(0).cast("bigint").alias(c) for c in added[1:]))
     met = _cut(marked.where(loses(doc)).join(gone, list(_PLACE), "left"))
-    filled = F.filter(F.sequence(F.lit(0), F.size("raw") - 1), lambda i: F.btrim(F.get("raw", i), F.lit(_BLANK)) != "")
+    filled = F.filter(F.sequence(F.lit(0), F.size("raw") - 1), lambda i: _trim(F.get("raw", i)) != "")
     met = met.withColumn("filled", filled)
     stay = F.array_except(F.sequence(F.lit(0), F.size("raw") - 1), F.transform("lines", lambda k: F.get("filled", k)))
     clean = _unescape(F.array_join(F.transform(stay, lambda i: F.get("raw", i)), ""))
