@@ -80,14 +80,6 @@ def ewma_covariance(factors: DataFrame, decay: float = 0.94) -> DataFrame:
     return p.groupBy("a", "b").agg((F.sum(F.col("w") * F.col("xa") * F.col("xb")) / F.sum("w")).alias("cov"))
 
 
-def dimson_beta(ret: DataFrame, mkt: DataFrame) -> DataFrame:
-    """Sum of the single slopes on the market of the week before, the same and the week behind."""
-    w = Window.orderBy("wk")
-    shifted = mkt.select("wk", F.col("m").alias("m0"), F.lag("m").over(w).alias("m1"), F.lead("m").over(w).alias("m2"))  # one row a week
-    t = ret.where("r is not null").join(shifted, "wk").where("m1 is not null and m2 is not null")
-    return t.groupBy("ticker").agg((F.regr_slope("r", "m0") + F.regr_slope("r", "m1") + F.regr_slope("r", "m2")).alias("dimson"), F.regr_slope("r", "m0").alias("beta"), (2 / 3 * F.regr_slope("r", "m0") + 1 / 3).alias("adjusted"))
-
-
 def har_features(ret: DataFrame) -> DataFrame:
     """Realised variance of the week against its means over one, five and twenty-two weeks before: slopes one by one."""
     rv = ret.where("lr is not null").select("ticker", "wk", (F.col("lr") * F.col("lr")).alias("v"))

@@ -37,7 +37,6 @@ QUERIES = {
     "probabilistic_sharpe": lambda s, d: rounded(inf.probabilistic_sharpe(_returns(s, d)[0])),
     "evt_gpd_tail": lambda s, d: rounded(inf.peaks_over_threshold(_returns(s, d)[0])),
     "factor_covariance": lambda s, d: rounded(inf.ewma_covariance(drivers(s, d))),
-    "dimson_beta": lambda s, d: rounded(inf.dimson_beta(*_returns(s, d))),
     "har_features": lambda s, d: rounded(inf.har_features(_returns(s, d)[0])),
     "no_arbitrage": lambda s, d: rounded(inf.no_arbitrage(_calls(s, d))),
     "session_bars": lambda s, d: rounded(inf.session_bars(table(s, d, "events"))),
@@ -64,8 +63,6 @@ w AS (SELECT *, u + CASE WHEN abs(xi) > 1e-9 THEN beta / xi * (pow(n::DOUBLE / n
 SELECT ticker, round(u, 6) AS u, round(xi, 6) AS xi, round(beta, 6) AS beta, round(var99, 6) AS var99, round(CASE WHEN xi < 1 THEN (var99 + beta - xi * u) / (1 - xi) END, 6) AS es99 FROM w"""),
     "factor_covariance": sql(_DEP.split("pc AS")[0].rstrip().rstrip(",") + """, x AS (SELECT driver, wk, f - avg(f) OVER (PARTITION BY driver) AS x, row_number() OVER (PARTITION BY driver ORDER BY wk DESC) - 1 AS age FROM drv WHERE f IS NOT NULL)
 SELECT a.driver AS a, b.driver AS b, round(sum(pow(0.94, a.age) * a.x * b.x) / sum(pow(0.94, a.age)), 6) AS cov FROM x a JOIN x b ON a.wk = b.wk AND a.driver <= b.driver GROUP BY ALL"""),
-    "dimson_beta": sql(""", s AS (SELECT wk, m AS m0, lag(m) OVER (ORDER BY wk) AS m1, lead(m) OVER (ORDER BY wk) AS m2 FROM mkt)
-SELECT ticker, round(regr_slope(r, m0) + regr_slope(r, m1) + regr_slope(r, m2), 6) AS dimson, round(regr_slope(r, m0), 6) AS beta, round(2.0 / 3 * regr_slope(r, m0) + 1.0 / 3, 6) AS adjusted FROM ret JOIN s USING (wk) WHERE r IS NOT NULL AND m1 IS NOT NULL AND m2 IS NOT NULL GROUP BY ticker"""),
     "har_features": sql(", h AS (SELECT ticker, lr * lr AS v, row_number() OVER (PARTITION BY ticker ORDER BY wk) AS k, " + ", ".join(f"avg(lr * lr) OVER (PARTITION BY ticker ORDER BY wk ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS {c}" for c, n in (("d", 1), ("w", 5), ("m", 22)))
         + " FROM ret WHERE lr IS NOT NULL) SELECT ticker, round(regr_slope(v, d), 6) AS slope_d, round(regr_slope(v, w), 6) AS slope_w, round(regr_slope(v, m), 6) AS slope_m, round(regr_r2(v, m), 6) AS r2_m, count(v) AS n FROM h WHERE k > 22 GROUP BY ticker"),
     "no_arbitrage": _CHAIN + f""", c AS (SELECT k, max(s * {phi_sql('d1')} - k * fade * {phi_sql('d2')}) AS price FROM de WHERE kind = 'C' GROUP BY k), t AS (SELECT k, price, lag(k) OVER w AS pk, lag(price) OVER w AS pp, lead(k) OVER w AS nk, lead(price) OVER w AS np FROM c WINDOW w AS (ORDER BY k))
