@@ -90,6 +90,12 @@ def kolmogorov(ret: DataFrame) -> DataFrame:
     return t.groupBy("ticker").agg(F.max("d").alias("ks"), F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"))
 
 
+def black_scholes_price(s: Column, k: Column, t: Column, v: Column, call: Column, r: float) -> Column:
+    d1 = (F.ln(s / k) + (r + v * v / 2) * t) / (v * F.sqrt(t))
+    d2, fade = d1 - v * F.sqrt(t), F.exp(-r * t)
+    return F.when(call, s * phi(d1) - k * fade * phi(d2)).otherwise(k * fade * phi(-d2) - s * phi(-d1))
+
+
 def black_scholes(chain: DataFrame, r: float = 0.04) -> DataFrame:
     """Price and greeks of calls and puts; ``chain``: id, s, k, t, sigma, kind (C or P)."""
     s, k, t, v = (F.col(c) for c in ("s", "k", "t", "sigma"))

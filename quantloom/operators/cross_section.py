@@ -135,8 +135,9 @@ def fama_macbeth(panel: DataFrame) -> DataFrame:
 def two_way_fixed_effects(panel: DataFrame) -> DataFrame:
     """Slope within assets and dates, by demeaning twice."""
     a, d = Window.partitionBy("ticker"), Window.partitionBy("wk")
-    within = lambda c: F.col(c) - F.avg(c).over(a) - F.avg(c).over(d) + F.avg(c).over(everything())
-    t = panel.select(within("sig").alias("x"), within("fwd").alias("y"))
+    grand = panel.agg(F.avg("sig").alias("_sig"), F.avg("fwd").alias("_fwd"))
+    within = lambda c: F.col(c) - F.avg(c).over(a) - F.avg(c).over(d) + F.col(f"_{c}")
+    t = panel.join(F.broadcast(grand)).select(within("sig").alias("x"), within("fwd").alias("y"))  # one row
     return t.agg((F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x"))).alias("slope"), F.count("x").alias("n"))
 
 

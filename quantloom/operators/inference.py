@@ -103,10 +103,19 @@ def session_bars(events: DataFrame, gap: str = "6 hours") -> DataFrame:
 
 
 def minutes_momentum(events: DataFrame, minutes: int = 720) -> DataFrame:
-    """Mean value of a type's last minutes against all before them, at each event: a range window over time."""
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("event_type").orderBy("us")
-    t = events.withColumn("us", at)
-    near = F.avg("value").over(w.rangeBetween(-minutes * 60_000_000, 0))
-    far = F.avg("value").over(w.rangeBetween(Window.unboundedPreceding, -minutes * 60_000_000 - 1))
-    return t.select("event_id", near.alias("near"), far.alias("far"), ratio(near, far).alias("momentum"))
+    """Mean value of a type's last minutes against all before them, at each event.
+
+    Types are few, so their rows are dealt by spans of time as long as the window: the rows of a span meet those of the span
+    before, and everything older comes from running totals by span, of which a type has one row each.
+    """
+    wide = minutes * 60_000_000
+    t = events.select("event_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).withColumn("span", F.floor(F.col("us") / wide))
+    old = Window.partitionBy("event_type").orderBy("span").rangeBetween(Window.unboundedPreceding, -2)
+    totals = t.groupBy("event_type", "span").agg(F.sum("value").alias("v"), F.count("value").alias("k")).select("event_type", "span", F.sum("v").over(old).alias("v"), F.sum("k").over(old).alias("k"))
+    dealt = t.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("span", F.col("span") + F.when(F.col("own"), 0).otherwise(1))
+    w = Window.partitionBy("event_type", "span").orderBy("us")
+    before = w.rangeBetween(Window.unboundedPreceding, -wide - 1)
+    dealt = dealt.withColumns({"near": F.avg("value").over(w.rangeBetween(-wide, 0)), "sum": F.sum("value").over(before), "n": F.count("value").over(before)}).where("own")
+    none = F.lit(0.0)
+    far = ratio(F.coalesce("v", none) + F.coalesce("sum", none), F.coalesce("k", F.lit(0)) + F.col("n"))
+    return dealt.join(totals, ["event_type", "span"], "left").select("event_id", "near", far.alias("far"), ratio(F.col("near"), far).alias("momentum"))

@@ -11,15 +11,18 @@ from ..functions.stats import clamp, ratio
 def nearest_within(left: DataFrame, right: DataFrame, key: str, at: str, other: str, tie: str, days: int, own: str | None = None) -> DataFrame:
     """Left rows with the right row of the same key nearest in time, within a tolerance; the earlier, then smaller tie, of
     equals. Both sides meet in buckets as wide as the tolerance, so a key with much history isn't joined whole. ``own`` is the
-    left column that the right row's tie must differ from, where a table is joined with itself."""
+    left column that the right row's tie must differ from, where a table is joined with itself. Equal left rows meet the right
+    side as one and stay as many."""
+    once = left.groupBy(*left.columns).agg(F.count(F.lit(1)).alias("_times"))
     bucket = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / (days + 1))
-    l_ = left.withColumn("_at", F.explode(F.transform(F.array(*(F.lit(i) for i in (-1, 0, 1))), lambda i: bucket(at) + i)))
+    l_ = once.withColumn("_at", F.explode(F.transform(F.array(*(F.lit(i) for i in (-1, 0, 1))), lambda i: bucket(at) + i)))
     r_ = right.withColumn("_at", bucket(other))
     pairs = l_.join(r_, [key, "_at"]).withColumn("days", F.abs(F.datediff(other, at))).where(F.col("days") <= days)
     if own is not None:
         pairs = pairs.where(F.col(own) != F.col(tie))
     first = Window.partitionBy(*left.columns).orderBy("days", other, tie)
-    return pairs.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_at")
+    best = pairs.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return best.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int")))).drop("_n", "_at", "_times")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, known: str, value: str) -> DataFrame:
