@@ -101,3 +101,32 @@ def test_empty_panels(spark, sf):
     ret = weekly_returns(bars)
     for df in (time_series.ema(bars), time_series.drawdowns(bars), time_series.moments(ret), cross_section.top_correlations(ret), kernels.garch(ret)):
         assert df.count() == 0
+
+
+def test_equal_left_rows_stay_as_many(spark):
+    from quantloom.operators.relational import nearest_within
+
+    left = spark.sql("SELECT * FROM VALUES (1, DATE'2020-01-01'), (1, DATE'2020-01-01'), (2, DATE'2020-01-01') AS t(k, at)")
+    right = spark.sql("SELECT * FROM VALUES (1, DATE'2020-01-03', 7), (1, DATE'2020-01-03', 7), (1, DATE'2020-01-09', 8) AS t(k, near_at, near)")
+    got = nearest_within(left, right, "k", "at", "near_at", "near", 5).select("k", "near", "days").collect()
+    assert sorted(map(tuple, got)) == [(1, 7, 2), (1, 7, 2)]
+
+
+def test_singular_fit_has_no_coefficients(spark):
+    from quantloom.operators.regression import fit
+
+    rows = spark.range(20).selectExpr("'a' AS g", "CAST(id AS DOUBLE) AS x", "2.0 * id AS z", "1.0 + id AS y")
+    assert fit(rows, ["g"], "y", ["x", "z"]).head().b_x is None
+    one = fit(rows, ["g"], "y", ["x"]).head()
+    assert abs(one.b_x - 1) < 1e-9 and abs(one.const - 1) < 1e-9 and fit(rows.limit(0), ["g"], "y", ["x"]).count() == 0
+
+
+def test_tails_against_known_values(spark):
+    from pyspark.sql import functions as F
+
+    from quantloom.operators.significance import binomial_at_least, t_two_sided
+
+    t = spark.createDataFrame([(2.228139, 10), (12.7062, 1), (4.302653, 2), (2.570582, 5), (0.0, 7)], "t double, df int")
+    assert [round(r.p, 4) for r in t.select(t_two_sided(F.col("t"), F.col("df")).alias("p")).collect()] == [0.05, 0.05, 0.05, 0.05, 1.0]
+    b = spark.createDataFrame([(0, 10), (6, 10), (10, 10), (5000, 10000)], "k int, n int")
+    assert [round(r.p, 5) for r in b.select(binomial_at_least(F.col("k"), F.col("n")).alias("p")).collect()] == [1.0, 0.37695, 0.00098, 0.50399]
