@@ -115,3 +115,42 @@ def change_points(ret: DataFrame, critical: float = 1.358, least: int = 10) -> D
         return pd.DataFrame([{"ticker": g["ticker"].iloc[0], "wk": wk[min(k, len(x) - 1)], "place": k} for k in sorted(found)], columns=["ticker", "wk", "place"])
 
     return _per_asset(ret, fit, "ticker string, wk date, place long")
+
+
+#: Response surface of the 5 % point of the unit-root statistic with a constant (MacKinnon).
+UNIT_ROOT_5 = (-2.86154, -2.8903, -4.234)
+
+
+def unit_root(bars: DataFrame, least: int = 25) -> DataFrame:
+    """Augmented Dickey-Fuller statistic of each asset's log close with a constant, the number of lagged changes (smallest AIC;
+    all candidates are fitted on the same weeks), its 5 % point and whether a unit root is rejected. Series under ``least`` weeks
+    or without variation: nulls. Closes that are null or not positive don't count."""
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        x = g.sort_values("wk")["x"].to_numpy()
+        row = {"ticker": g["ticker"].iloc[0], "n": len(x), "lags": None, "stat": None, "cut": None, "rejects": None}
+        change = np.diff(x)
+        most = min(int(12 * (len(x) / 100) ** 0.25), (len(change) - 2) // 2)
+        rows = len(change) - most - 1
+        if len(x) < least or rows < 10:
+            return pd.DataFrame([row])
+        y = change[most + 1 :]
+        full = np.column_stack([np.ones(rows), x[most + 1 : -1], *(change[most + 1 - k : -k] for k in range(1, most + 1))])
+        best = np.inf
+        for lags in range(most + 1):
+            q, r = np.linalg.qr(full[:, : lags + 2])
+            if np.abs(np.diag(r)).min() <= 1e-10 * np.abs(np.diag(r)).max() or rows <= lags + 2:
+                continue
+            slope = np.linalg.solve(r, q.T @ y)
+            sse = float(((y - full[:, : lags + 2] @ slope) ** 2).sum())
+            aic = rows * np.log(sse / rows + 1e-300) + 2 * (lags + 2)
+            if aic < best:
+                best, error = aic, np.sqrt(sse / (rows - lags - 2) * (np.linalg.inv(r)[1] ** 2).sum())
+                row |= {"lags": lags, "stat": float(slope[1] / error) if error > 0 else 0.0}
+        if row["stat"] is not None:
+            row["cut"] = sum(c / rows**i for i, c in enumerate(UNIT_ROOT_5))
+            row["rejects"] = row["stat"] < row["cut"]
+        return pd.DataFrame([row])
+
+    logs = bars.where("c > 0").selectExpr("ticker", "wk", "ln(c) as x")
+    return logs.groupBy("ticker").applyInPandas(fit, "ticker string, n long, lags long, stat double, cut double, rejects boolean")

@@ -1,5 +1,5 @@
-"""Queries by iterating estimators and by streams. SQL can't express the estimators and the gate; tests hold them against
-plain loops. The bars of the stream have SQL."""
+"""Queries by iterating estimators and by streams. SQL can't express the estimators and the gate; tests hold
+them against planted data, the gate and the unit root also against plain loops. The bars of the stream have SQL."""
 
 from __future__ import annotations
 
@@ -41,6 +41,7 @@ QUERIES = {
     "kalman_local_level": _on_returns(k.local_level),
     "block_bootstrap_ci": _on_returns(k.block_bootstrap),
     "variance_change_points": _on_returns(k.change_points),
+    "unit_root_adf": lambda s, d: rounded(k.unit_root(weekly_bars(s, d))),
     "stream_bars": _stream_bars,
     "stream_persistence_gate": _stream_gate,
 }

@@ -130,3 +130,29 @@ def test_tails_against_known_values(spark):
     assert [round(r.p, 4) for r in t.select(t_two_sided(F.col("t"), F.col("df")).alias("p")).collect()] == [0.05, 0.05, 0.05, 0.05, 1.0]
     b = spark.createDataFrame([(0, 10), (6, 10), (10, 10), (5000, 10000)], "k int, n int")
     assert [round(r.p, 5) for r in b.select(binomial_at_least(F.col("k"), F.col("n")).alias("p")).collect()] == [1.0, 0.37695, 0.00098, 0.50399]
+
+
+def test_unit_root(spark):
+    """A walk keeps its unit root, a series drawn to its mean loses it; the statistic agrees with partial regressions."""
+    random = np.random.default_rng(4)
+    walk, drawn = np.cumsum(random.normal(0, 0.02, 300)), [0.0]
+    for e in random.normal(0, 0.02, 299):
+        drawn.append(0.4 * drawn[-1] + e)
+    series = {"walk": walk, "drawn": np.array(drawn), "flat": np.zeros(60), "short": np.zeros(5)}
+    frame = pd.concat(pd.DataFrame({"ticker": t, "wk": pd.date_range("2001-01-01", periods=len(x), freq="7D").date, "c": np.exp(x)}) for t, x in series.items())
+    found = one(kernels.unit_root(spark.createDataFrame(frame)))
+    assert not found["walk"].rejects and found["drawn"].rejects
+    assert found["flat"].stat is None and found["short"].stat is None and found["short"].n == 5
+    for name in ("walk", "drawn"):
+        x, lags = series[name], found[name].lags
+        d, first = np.diff(x), int(12 * 3**0.25) + 1
+        others = np.array([[1.0, *(d[t - k] for k in range(1, lags + 1))] for t in range(first, len(d))])
+        rest = lambda v: v - others @ np.linalg.lstsq(others, v, rcond=None)[0]  # noqa: B023, E731
+        u, v = rest(x[first:-1]), rest(d[first:])
+        b = (u @ v) / (u @ u)
+        error = math.sqrt(((v - b * u) ** 2).sum() / (len(v) - lags - 2) / (u @ u))
+        assert found[name].stat == pytest.approx(b / error, rel=1e-6)
+
+
+def test_unit_root_of_no_rows(spark):
+    assert kernels.unit_root(spark.createDataFrame([], "ticker string, wk date, c double")).count() == 0
