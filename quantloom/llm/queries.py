@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, hard_negatives, hidden_markov, line_dedup, pieces, private_data, simhash, suffix_dedup, token_shards, toxicity, warc
+from . import decontaminate, exact_dedup, hard_negatives, hidden_markov, line_dedup, merkle, pieces, private_data, simhash, suffix_dedup, token_shards, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "n_lines", "n_removed_chunks", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls are part of a leaf; rows that share a doc_id are leaves of their own; an empty table gives no rows."""
+    docs = _table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, merkle.without_line_feeds(docs))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows without label, vector or finite components take no part; rows that share a vec_id count once; an empty table gives no rows."""
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings"))
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle": op11_merkle,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
