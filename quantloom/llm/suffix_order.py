@@ -124,12 +124,11 @@ def suffix_order(data: np.ndarray, begin: np.ndarray, length: np.ndarray, group:
     run = 1
     while run < (closes - opens).max():
         at = np.arange(n)
-        middle = at // (2 * run) * (2 * run) + run
-        inner = np.minimum(middle, n - 1)
-        meets = (middle < n) & (number[inner] == number) & (number[inner - 1] == number)  # both runs have rows of this group
+        middle = opens + (at - opens) // (2 * run) * (2 * run) + run  # runs are counted from where their group opens
+        meets = middle < closes
         at, middle = at[meets], middle[meets]
         left = at < middle
-        low = np.where(left, middle, np.maximum(middle - run, opens[at]))
+        low = np.where(left, middle, middle - run)
         high = np.where(left, np.minimum(middle + run, closes[at]), middle)
         to = np.empty(len(at), np.int64)
         for side, ties in ((left, False), (~left, True)):

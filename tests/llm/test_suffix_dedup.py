@@ -56,6 +56,17 @@ def test_suffix_order(body, wanted):
         assert same[i] == (agree if group[order[i]] == group[order[i - 1]] else 0)
 
 
+def test_groups_across_runs(monkeypatch):
+    """Groups of any size at any place are sorted by their hashes, not by the way out after a collision."""
+    monkeypatch.setattr(suffix_order, "_by_bytes", None)
+    pick = np.random.default_rng(2)
+    data = pick.integers(97, 99, 3000, dtype=np.uint8)
+    group = np.sort(np.concatenate([pick.integers(0, 400, 1500), np.full(300, 17)]))
+    begin = pick.integers(0, 2900, len(group))
+    order, _ = suffix_order.suffix_order(data, begin, np.full(len(group), 60), group)
+    assert order.tolist() == sorted(range(len(group)), key=lambda i: (group[i], data[begin[i] : begin[i] + 60].tobytes()))
+
+
 def test_collisions_are_found(monkeypatch):
     """With hashes that always collide the order still is that of the bytes."""
     monkeypatch.setattr(suffix_order, "_VALUE", np.zeros(256, np.uint64))
