@@ -128,18 +128,50 @@ def touch_odds(bars: DataFrame, weeks: int = 63, ahead: int = 21) -> DataFrame:
 
 
 #: Words that speak for and against, and words that turn them round.
-GOOD = ("the", "that", "with")
-BAD = ("stupid", "trash", "error", "worthless")
-TURN = ("not", "is", "was")
-
-
-def sentiment(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Words for and against; one that turns them round, among the three before, changes the side."""
-    t = texts.select(key, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z][a-z'-]+"), F.lit(0)).alias("w"))
-    flat = lambda xs: F.array(*(F.lit(x) for x in xs))
-    marks = F.transform("w", lambda x, i: F.when(F.array_contains(flat(GOOD), x), 1).when(F.array_contains(flat(BAD), x), -1).otherwise(0) * F.when(F.arrays_overlap(F.slice("w", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), flat(TURN)), -1).otherwise(1))
-    t = t.select(key, F.size("w").cast("long").alias("n"), marks.alias("m"))
-    t = t.select(key, "n", F.size(F.filter("m", lambda x: x > 0)).cast("long").alias("good"), F.size(F.filter("m", lambda x: x < 0)).cast("long").alias("bad"))
+GOOD = """
+    beat beats beating exceeded exceed exceeds outperform outperformed upgrade upgraded raise raised raises strong strength growth grow grows gains
+    gain profit profitable record surge surged rally rallied soar soared jump jumped rose rise rises boost boosted bullish optimistic accelerate
+    accelerated expansion expand robust momentum recovery rebound rebounded breakthrough approval approved win won wins awarded partnership buyback
+    repurchase milestone leading leader innovative efficient improve improved improving opportunity favorable positive success successful secured
+    achieve achieved premium demand upside confident confidence resilient durable tailwind tailwinds outpaced beat-and-raise expands surpass
+    surpassed accretive
+""".split()
+BAD = """
+    miss missed misses missing downgrade downgraded cut cuts lowered lower weak weakness decline declined declines drop dropped fall fell falls
+    plunge plunged slump slumped loss losses lawsuit sued investigation probe fraud recall recalled bankruptcy bankrupt default layoff layoffs
+    restructuring warning warned warns concern concerns risk risks risky bearish pessimistic slowdown slowing headwind headwinds shortfall
+    disappointing disappoint disappointed underperform underperformed fines penalty delay delayed halt halted suspended downturn recession selloff
+    sell-off crash struggle struggled struggling deteriorate deteriorating impairment writedown write-down dilution dilutive breach hack outage
+    disruption scandal resign resigned ousted slash slashed plummet plummeted tumble tumbled subpoena litigation
+""".split()
+TURN = "not no never without fails failed fail lack lacks lacking hardly barely n't cannot".split()
+#: Words of a lexicon at most: it is part of the query's plan.
+LEXICON = 10_000
+
+
+def lexicon_of(table: DataFrame) -> tuple[list[str], list[str], list[str]]:
+    """The words of a table ``word, side`` (1 for, -1 against, 0 turns round) for ``sentiment``; over ``LEXICON`` rows it raises."""
+    found = table.select(F.lower("word").alias("word"), "side").dropna().distinct().limit(LEXICON + 1).collect()
+    if len(found) > LEXICON:
+        raise ValueError(f"a lexicon has {LEXICON} words at most")
+    return tuple(sorted(r.word for r in found if r.side == side) for side in (1, -1, 0))
+
+
+def sentiment(texts: DataFrame, key: str, text: str, lexicon: tuple[list[str], list[str], list[str]] = (GOOD, BAD, TURN)) -> DataFrame:
+    """Words for and against; one that turns them round, among the three before, changes the side. A word in both lists speaks for.
+    One pass over a text's words that keeps the place of the last one that turns round. Null texts have no words."""
+    good, bad, turn = lexicon
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z][a-z'-]+"), F.lit(0))
+    zero = F.lit(0).cast("long")
+
+    def count(s: Column, w: Column) -> Column:
+        turned = s["at"] - s["turn"] <= 3
+        for_, against = w.isin(good), ~w.isin(good) & w.isin(bad)
+        up, down = (for_ & ~turned) | (against & turned), (for_ & turned) | (against & ~turned)
+        return F.struct((s["at"] + 1).alias("at"), F.when(w.isin(turn), s["at"]).otherwise(s["turn"]).alias("turn"), (s["good"] + up.cast("long")).alias("good"), (s["bad"] + down.cast("long")).alias("bad"))
+
+    start = F.struct(zero.alias("at"), F.lit(-4).cast("long").alias("turn"), zero.alias("good"), zero.alias("bad"))
+    t = texts.select(key, F.aggregate(words, start, count).alias("s")).select(key, F.col("s.at").alias("n"), "s.good", "s.bad")
     return t.withColumn("polarity", F.coalesce(ratio(F.col("good") - F.col("bad"), F.col("good") + F.col("bad")), F.lit(0.0)))
 
 

@@ -51,5 +51,6 @@ def unpivoted(df: DataFrame, ids: list[str], values: list[str], name: str, value
 
 def field_coverage(df: DataFrame) -> DataFrame:
     """For each column, how many rows have it, and how many different values."""
-    counts = df.agg(*(F.struct(F.count(c).alias("present"), F.countDistinct(c).alias("different")).alias(c) for c in df.columns))
-    return counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"{c}.present").alias("present"), F.col(f"{c}.different").alias("different")) for c in df.columns))).alias("x")).select("x.*")
+    cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in df.columns))).alias("x"))
+    values = cells.groupBy("x.field", "x.value").agg(F.count("x.value").alias("n"))  # combined before it is shuffled, one row a value and task
+    return values.groupBy("field").agg(F.sum("n").alias("present"), F.count("value").alias("different"))

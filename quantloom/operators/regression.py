@@ -57,18 +57,19 @@ def fit_hac(df: DataFrame, y: str, xs: Sequence[str], lags: int = 4) -> DataFram
     names = ["const", *xs]
     t = t.withColumns({f"u_{c}_{k}": F.lag(f"u_{c}", k).over(by_week()) for c in names for k in range(1, lags + 1)})
     value = {c: F.first("const" if c == "const" else f"b_{c}") for c in names}
-    se = {c: F.sqrt(F.greatest(long_run(f"u_{c}", lags), F.lit(0.0))) / F.count(y) for c in names}
+    free = F.count(y) - len(names)
+    se = {c: F.sqrt(F.greatest(long_run(f"u_{c}", lags), F.lit(0.0)) * ratio(F.count(y), free)) / F.count(y) for c in names}  # small samples have fewer free rows
     return t.groupBy("ticker").agg(F.count(y).alias("n"), F.first("r2").alias("r2"), *(value[c].alias(c) for c in names), *(ratio(value[c], se[c]).alias(f"t_{c}") for c in names))
 
 
 def dimson(ret: DataFrame, mkt: DataFrame) -> DataFrame:
-    """Sum of the joint slopes on the market of the week before, the same and the week behind; the single slope; and that
-    shrunk by a third to one."""
+    """Sum of the joint slopes on the market of the week before, the same and the week behind (the single slope where these can't be
+    told apart); the single slope; and that shrunk by a third to one."""
     w = Window.orderBy("wk")
     shifted = mkt.select("wk", F.col("m").alias("m0"), F.lag("m").over(w).alias("m1"), F.lead("m").over(w).alias("m2"))  # one row a week
     t = ret.join(shifted, "wk").dropna(subset=["r", "m0", "m1", "m2"])
     one = t.groupBy("ticker").agg(F.regr_slope("r", "m0").alias("beta"))
-    return fit(t, ["ticker"], "r", ["m1", "m0", "m2"]).join(one, "ticker").select("ticker", (F.col("b_m1") + F.col("b_m0") + F.col("b_m2")).alias("dimson"), "beta", (2 / 3 * F.col("beta") + 1 / 3).alias("adjusted"))
+    return fit(t, ["ticker"], "r", ["m1", "m0", "m2"]).join(one, "ticker").select("ticker", F.coalesce(F.col("b_m1") + F.col("b_m0") + F.col("b_m2"), "beta").alias("dimson"), "beta", (2 / 3 * F.col("beta") + 1 / 3).alias("adjusted"))
 
 
 def har(ret: DataFrame, least: int = 30) -> DataFrame:

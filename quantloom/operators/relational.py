@@ -69,6 +69,17 @@ def turnover(now: DataFrame, before: DataFrame, key: str, weight: str) -> DataFr
     return both.agg(F.sum(F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)))).alias("turnover"), F.count(key).alias("n"))
 
 
+def turnover_path(weights: DataFrame, period: str, key: str, weight: str) -> DataFrame:
+    """For each period but the first, the sum of absolute changes of weight since the period before and the number of keys in either. Each
+    weight counts for its own period and, negated, for the next, so that both meet in one aggregate."""
+    periods = weights.select(period).where(F.col(period).isNotNull()).distinct()
+    order = Window.orderBy(period)  # one row a period
+    periods = periods.select(period, F.lead(period).over(order).alias("_next"), (F.row_number().over(order) > 1).alias("_own"))
+    each = F.explode(F.array(F.struct(F.when(F.col("_own"), F.col(period)).alias("p"), F.col(weight).alias("w")), F.struct(F.col("_next").alias("p"), (-F.col(weight)).alias("w")))).alias("e")
+    moved = weights.join(periods, period).select(F.col(key).alias("_key"), each).where("e.p is not null").groupBy(F.col("e.p").alias(period), "_key").agg(F.sum("e.w").alias("d"))
+    return moved.groupBy(period).agg(F.sum(F.abs("d")).alias("turnover"), F.count(F.lit(1)).alias("n"))
+
+
 def label_runs(labels: DataFrame, key: str, at: str, label: str) -> DataFrame:
     """The run of equal labels that each key is in last: label, first date, length, and how many runs there were."""
     w = Window.partitionBy(key).orderBy(at)

@@ -163,13 +163,24 @@ def relative_volume(bars: DataFrame, weeks: int = 20) -> DataFrame:
     return bars.select("ticker", "wk", ratio(F.col("v"), before).alias("rvol"))
 
 
-def stale_runs(bars: DataFrame) -> DataFrame:
-    """Series health: weeks, the longest gap in days, jumps beyond 3.5 robust z, and the verdict."""
-    t = bars.withColumn("lr", F.ln(F.col("c") / F.lag("c").over(by_week()))).withColumn("gap", F.datediff("wk", F.lag("wk").over(by_week())))
-    middle = t.groupBy("ticker").agg(F.percentile("lr", F.lit(0.5)).alias("med"))
-    t = t.join(middle, "ticker").withColumn("off", F.abs(F.col("lr") - F.col("med")))
-    mad = t.groupBy("ticker").agg(F.percentile("off", F.lit(0.5)).alias("mad"))
-    t = t.join(mad, "ticker")
-    out = t.groupBy("ticker").agg(F.count("c").alias("n"), F.max("gap").alias("max_gap"), F.count_if(0.6745 * F.col("off") / F.greatest("mad", F.lit(1e-12)) > 3.5).alias("jumps"))
-    verdict = F.when(F.col("n") < 40, "reject").when((F.col("max_gap") > 7) | (F.col("jumps") > F.greatest(F.lit(3.0), 0.05 * F.col("n"))), "degraded").otherwise("clean")
-    return out.withColumn("verdict", verdict)
+def series_health(bars: DataFrame, least: int = 40, most_stale: int = 4, most_gap: int = 7, jump: float = 3.5) -> DataFrame:
+    """Health of each series: weeks, closes that are missing or not finite, closes that aren't positive, the longest run of equal closes,
+    returns beyond ``jump`` robust z, the longest gap in days, and the verdict: reject, degraded or clean.
+
+    Runs and returns are taken between usable closes; a run of one is no repetition. A null date has no place in the order and comes first."""
+    c = F.col("c").cast("double")
+    finite = c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    t = bars.select("ticker", "wk", F.when(finite, c).alias("c"), F.when(finite & (c > 0), c).alias("ok"))
+    counts = t.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c").isNull()).alias("missing"), F.count_if(F.col("c") <= 0).alias("not_positive"))
+    gaps = t.withColumn("gap", F.datediff("wk", F.lag("wk").over(by_week()))).groupBy("ticker").agg(F.max("gap").alias("max_gap"))
+    used = t.where("ok is not null")
+    used = used.withColumn("lr", F.ln(F.col("ok") / F.lag("ok").over(by_week()))).withColumn("new", F.coalesce((F.col("ok") != F.lag("ok").over(by_week())).cast("int"), F.lit(1)))
+    runs = used.withColumn("run", F.sum("new").over(by_week())).groupBy("ticker", "run").agg(F.count(F.lit(1)).alias("k")).groupBy("ticker").agg(F.max("k").alias("stale_run"))
+    middle = used.groupBy("ticker").agg(F.percentile("lr", F.lit(0.5)).alias("med"))
+    off = used.join(middle, "ticker").withColumn("off", F.abs(F.col("lr") - F.col("med")))
+    off = off.join(off.groupBy("ticker").agg(F.percentile("off", F.lit(0.5)).alias("mad")), "ticker")
+    jumps = off.groupBy("ticker").agg(F.count_if(0.6745 * F.col("off") / F.greatest("mad", F.lit(1e-12)) > jump).alias("jumps"), F.count("lr").alias("returns"))
+    h = counts.join(gaps, "ticker").join(runs, "ticker", "left").join(jumps, "ticker", "left").fillna(0, ["stale_run", "jumps", "returns"])
+    reject = (F.col("n") < least) | (F.col("not_positive") > 0) | (F.col("missing") > F.greatest(F.lit(2.0), 0.02 * F.col("n")))
+    worse = (F.col("missing") > 0) | (F.col("stale_run") >= most_stale) | (F.col("max_gap") > most_gap) | (F.col("jumps") > F.greatest(F.lit(3.0), 0.05 * F.col("returns")))
+    return h.withColumn("verdict", F.when(reject, "reject").when(worse, "degraded").otherwise("clean")).drop("returns")

@@ -54,7 +54,8 @@ _Z2 = 1.959964**2
 _CHAIN = """WITH ch AS (SELECT p_partkey AS id, 1500.0::DOUBLE AS s, floor(p_retailprice / 50) * 50.0 + 50.0 AS k, 0.1::DOUBLE + (p_partkey % 8) / 8.0::DOUBLE AS t, 0.15::DOUBLE + (p_partkey % 5) / 20.0::DOUBLE AS sigma, CASE WHEN p_partkey % 2 = 0 THEN 'C' ELSE 'P' END AS kind, p_size::DOUBLE AS oi FROM part),
 dd AS (SELECT *, (ln(s / k) + (0.04::DOUBLE + sigma * sigma / 2) * t) / (sigma * sqrt(t)) AS d1 FROM ch), de AS (SELECT *, d1 - sigma * sqrt(t) AS d2, exp(-0.04::DOUBLE * t) AS fade, exp(-d1 * d1 / 2) / sqrt(2 * pi()) AS dens FROM dd)"""
 _HALVES = "t AS (SELECT ticker, r, row_number() OVER (PARTITION BY ticker ORDER BY wk) * 2 > count(*) OVER (PARTITION BY ticker) AS late FROM ret WHERE r IS NOT NULL)"
-_in = lambda x, xs: f"({x} IN ({', '.join(repr(w) for w in xs)}))"
+_words = lambda xs: ", ".join("'" + w.replace("'", "''") + "'" for w in xs)
+_in = lambda x, xs: f"({x} IN ({_words(xs)}))"
 ORACLE_SQL = {
     "coverage_grouping_sets": sql(_F + f""", t AS (SELECT *, CASE WHEN y >= lo AND y <= hi THEN 1 ELSE 0 END AS c, CASE WHEN y >= 0 THEN 'up' ELSE 'down' END AS side, CASE WHEN sigma > 0.25 THEN 'wide' ELSE 'narrow' END AS spread FROM f),
 g AS (SELECT sec, side, spread, count(*) AS n, sum(c)::DOUBLE / count(*) AS p, avg(hi - lo) AS width FROM t GROUP BY GROUPING SETS ((), (sec), (side), (spread)))
@@ -82,7 +83,7 @@ SELECT k, round(gex, 4) AS gex, round(oi, 4) AS oi, round(sum(gex) OVER (ORDER B
 p AS (SELECT *, least(greatest(2 * (1 - {phi_sql(f'(abs(ln(hi / c)) / (sd * {math.sqrt(21)}))')}), 0), 1) AS p_hi, least(greatest(2 * (1 - {phi_sql(f'(abs(ln(lo / c)) / (sd * {math.sqrt(21)}))')}), 0), 1) AS p_lo FROM t)
 SELECT ticker, round(p_hi, 6) AS p_hi, round(p_lo, 6) AS p_lo, round(p_hi * 100 * (hi / c - 1) - p_lo * 100 * (1 - lo / c), 6) AS ev FROM p"""),
     "text_sentiment": f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z''-]+') AS w FROM documents), u AS (SELECT doc_id, len(w) AS n, w, unnest(generate_series(1, len(w))) AS i FROM t),
-m AS (SELECT doc_id, CASE WHEN {_in('w[i]', cal.GOOD)} THEN 1 WHEN {_in('w[i]', cal.BAD)} THEN -1 ELSE 0 END * CASE WHEN list_has_any(w[greatest(i - 3, 1):i - 1], [{', '.join(repr(x) for x in cal.TURN)}]) THEN -1 ELSE 1 END AS m FROM u),
+m AS (SELECT doc_id, CASE WHEN {_in('w[i]', cal.GOOD)} THEN 1 WHEN {_in('w[i]', cal.BAD)} THEN -1 ELSE 0 END * CASE WHEN list_has_any(w[greatest(i - 3, 1):i - 1], [{_words(cal.TURN)}]) THEN -1 ELSE 1 END AS m FROM u),
 s AS (SELECT doc_id, count(*) FILTER (WHERE m > 0) AS good, count(*) FILTER (WHERE m < 0) AS bad FROM m GROUP BY doc_id)
 SELECT t.doc_id, len(w)::BIGINT AS n, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, round(coalesce((good - bad)::DOUBLE / nullif(good + bad, 0), 0), 6) AS polarity FROM t LEFT JOIN s ON t.doc_id = s.doc_id""",
     "event_intensity": "SELECT event_type, count(*) AS n, round(sum(exp(-((SELECT max(ts)::DATE FROM events) - ts::DATE) / 10.0)), 6) AS intensity, max(ts)::DATE AS last FROM events GROUP BY event_type",

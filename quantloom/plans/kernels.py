@@ -3,12 +3,11 @@ them against planted data, the gate and the unit root also against plain loops.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import kernels as k
+from ..sources.files import shared
 from ..sources.panels import weekly_bars, weekly_returns
 from ..streaming import intraday
 from .time_series import rounded
@@ -19,9 +18,8 @@ def _on_returns(f):
 
 
 def _ready(s: SparkSession) -> None:
-    """A checkpoint folder where the cluster names none, as in tests."""
-    if not s.sparkContext.getCheckpointDir() and not s.conf.get("spark.checkpoint.dir", None):
-        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quantloom-"))
+    """Sets a checkpoint folder where none is set in local mode, as in tests."""
+    shared(s, "streams")
 
 
 def _stream_bars(s: SparkSession, d: str):

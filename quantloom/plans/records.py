@@ -37,9 +37,7 @@ def _props(s: SparkSession, d: str) -> DataFrame:
 
 
 def _plan(s: SparkSession, d: str) -> DataFrame:
-    bars = weekly_bars(s, d)
-    cut = bars.where(F.char_length("ticker") % 2 == 0).unionByName(bars.where("wk <= '2001-01-01'"))
-    return rec.fetch_plan(cut, F.lit("2001-11-07").cast("date")).select("ticker", "last", "n", F.col("gap").cast("long").alias("gap"), "plan")
+    return rec.fetch_plan(weekly_bars(s, d), F.lit("2001-11-07").cast("date")).select("ticker", "last", "n", F.col("gap").cast("long").alias("gap"), "plan")
 
 
 def _merge(s: SparkSession, d: str) -> DataFrame:
@@ -63,8 +61,8 @@ QUERIES = {
     "merge_bars": _merge,
     "option_symbols": _symbols,
     "canonical_names": lambda s, d: table(s, d, "supplier").select("s_suppkey", rec.normal_name("s_name").alias("name"), rec.canonical_id("s_name").alias("id")),
-    "unpivot_items": lambda s, d: rounded(rec.unpivoted(table(s, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_quantity", "l_discount", "l_tax"), ["l_orderkey"], ["l_quantity", "l_discount", "l_tax"], "metric", "value")),
-    "field_coverage": lambda s, d: rec.field_coverage(table(s, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")),
+    "unpivot_items": lambda s, d: rounded(rec.unpivoted(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"), ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"], "metric", "value")),
+    "field_coverage": lambda s, d: rec.field_coverage(table(s, d, "customer")),
 }
 
 ORACLE_SQL = {
@@ -72,7 +70,7 @@ ORACLE_SQL = {
     "delimited_with_preamble": "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE round(s_acctbal, 6) END AS s_acctbal FROM supplier",
     "partitioned_store": sql("SELECT ticker, sec, count(*) AS n, round(arg_max(c, wk), 6) AS last_close FROM bars WHERE sec = 'Brand#2' GROUP BY ALL"),
     "json_properties": "SELECT event_type, count(k) AS n, sum(k)::BIGINT AS total, max(k) AS most FROM (SELECT event_type, TRY_CAST(props ->> 'k' AS BIGINT) AS k FROM events) GROUP BY event_type",
-    "fetch_plan": sql(""", u AS (SELECT ticker, wk FROM bars WHERE length(ticker) % 2 = 0 UNION ALL SELECT ticker, wk FROM bars WHERE wk <= DATE '2001-01-01'), t AS (SELECT ticker, max(wk) AS last, count(*) AS n FROM u GROUP BY ticker),
+    "fetch_plan": sql(""", t AS (SELECT ticker, max(wk) AS last, count(*) AS n FROM bars GROUP BY ticker),
 g AS (SELECT *, (SELECT count(*) FROM generate_series(last + 1, DATE '2001-11-07', INTERVAL 1 DAY) AS s(x) WHERE isodow(x) <= 5) AS gap FROM t)
 SELECT ticker, last, n, gap, CASE WHEN n < 30 OR DATE '2001-11-07' - last > 45 THEN 'full' WHEN gap > 0 THEN 'delta' ELSE 'none' END AS plan FROM g"""),
     "merge_bars": sql("""SELECT ticker, CASE WHEN wk < DATE '1999-01-01' THEN 'cached' ELSE 'fresh' END AS source, count(*) AS n, min(wk) AS first, max(wk) AS last FROM bars GROUP BY ALL"""),
@@ -80,6 +78,6 @@ SELECT ticker, last, n, gap, CASE WHEN n < 30 OR DATE '2001-11-07' - last > 45 T
 SELECT p_partkey, 'BRND' || strftime(expiry, '%y%m%d') || kind || lpad((strike * 1000)::BIGINT::VARCHAR, 8, '0') AS symbol, 'BRND' AS root, expiry, kind, round(strike, 6) AS strike FROM s""",
     "canonical_names": """WITH n AS (SELECT s_suppkey, array_to_string(list_filter(string_split(trim(regexp_replace(upper(coalesce(s_name, '')), '[^A-Z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 1 AND w NOT IN ('INC', 'CORP', 'CO', 'LTD', 'PLC', 'THE')), ' ') AS name FROM supplier)
 SELECT s_suppkey, name, substr(sha1(name), 1, 12) AS id FROM n""",
-    "unpivot_items": "SELECT l_orderkey, metric, round(value, 6) AS value FROM (UNPIVOT (SELECT l_orderkey, l_quantity, l_discount, l_tax FROM lineitem WHERE l_linenumber = 1) ON l_quantity, l_discount, l_tax INTO NAME metric VALUE value)",
-    "field_coverage": " UNION ALL ".join(f"SELECT '{c}' AS field, count({c}) AS present, count(DISTINCT {c}) AS different FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")),
+    "unpivot_items": "SELECT l_orderkey, l_linenumber, metric, round(value, 6) AS value FROM (UNPIVOT (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem) ON l_quantity, l_discount, l_tax INTO NAME metric VALUE value)",
+    "field_coverage": " UNION ALL ".join(f"SELECT '{c}' AS field, count({c}) AS present, count(DISTINCT {c}) AS different FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")),
 }

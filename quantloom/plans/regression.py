@@ -70,13 +70,13 @@ _hac = lambda c, n=4: f"sqrt(greatest(sum({c} * {c})" + "".join(f" + {2 * (1 - k
 _r = lambda *cs: ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in cs)
 ORACLE_SQL = {
     "dimson_beta": sql(", s AS (SELECT wk, m AS m0, lag(m) OVER (ORDER BY wk) AS m1, lead(m) OVER (ORDER BY wk) AS m2 FROM mkt), j AS (SELECT ticker, r, m0, m1, m2 FROM ret JOIN s USING (wk) WHERE r IS NOT NULL AND m1 IS NOT NULL AND m2 IS NOT NULL), " + solve("j", "ticker", "r", ["m1", "m0", "m2"])
-        + ", o AS (SELECT ticker, regr_slope(r, m0) AS beta FROM j GROUP BY ticker) SELECT ticker, round(b_m0 + b_m1 + b_m2, 6) AS dimson, round(beta, 6) AS beta, round(2.0 / 3 * beta + 1.0 / 3, 6) AS adjusted FROM coef JOIN o USING (ticker)"),
+        + ", o AS (SELECT ticker, regr_slope(r, m0) AS beta FROM j GROUP BY ticker) SELECT ticker, round(coalesce(b_m0 + b_m1 + b_m2, beta), 6) AS dimson, round(beta, 6) AS beta, round(2.0 / 3 * beta + 1.0 / 3, 6) AS adjusted FROM coef JOIN o USING (ticker)"),
     "har_regression": sql(""", v AS (SELECT ticker, wk, lr * lr * 1e4 AS d FROM ret WHERE lr * lr > 0), h AS (SELECT ticker, wk, d, avg(d) OVER (o ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS w, avg(d) OVER (o ROWS BETWEEN 21 PRECEDING AND CURRENT ROW) AS m, lead(d) OVER o AS y, row_number() OVER o AS k, count(*) OVER (PARTITION BY ticker) AS total FROM v WINDOW o AS (PARTITION BY ticker ORDER BY wk)),
 j AS (SELECT * FROM h WHERE total >= 30 AND k > 22), """ + solve("j", "ticker", "y", ["d", "w", "m"]) + f", l AS (SELECT ticker, d, w, m FROM j WHERE y IS NULL) SELECT ticker, n, {_r('const', 'b_d', 'b_w', 'b_m', 'r2')}, round(greatest(const + b_d * d + b_w * w + b_m * m, 0), 6) + 0.0 AS forecast FROM coef JOIN l USING (ticker)"),
     "residual_alpha_hac": sql(_FACTORS + ", " + solve("f", "ticker", "r", ["m", "g"]) + f""", p AS (SELECT ticker, regr_slope(m, g) AS mg, regr_slope(g, m) AS gm, avg(m) AS am, avg(g) AS ag, count(*) AS k FROM f GROUP BY ticker),
 i AS (SELECT ticker, wk, r - const - b_m * m - b_g * g AS e, m - am - mg * (g - ag) AS wm, g - ag - gm * (m - am) AS wg, am, ag, k, n, r2, const, b_m, b_g FROM f JOIN coef USING (ticker) JOIN p USING (ticker)),
 u AS (SELECT *, e * wm / (sum(wm * wm) OVER t) * k AS um, e * wg / (sum(wg * wg) OVER t) * k AS ug FROM i WINDOW t AS (PARTITION BY ticker)), c AS (SELECT *, e - am * um - ag * ug AS uc FROM u), l AS (SELECT *, {_lag('um', 'ticker')}, {_lag('ug', 'ticker')}, {_lag('uc', 'ticker')} FROM c)
-SELECT ticker, n, round(any_value(r2), 6) AS r2, round(const, 6) + 0.0 AS const, round(b_m, 6) + 0.0 AS m, round(b_g, 6) + 0.0 AS g, round(const / ({_hac('uc')} / n), 6) + 0.0 AS t_const, round(b_m / ({_hac('um')} / n), 6) + 0.0 AS t_m, round(b_g / ({_hac('ug')} / n), 6) + 0.0 AS t_g FROM l GROUP BY ticker, n, const, b_m, b_g"""),
+SELECT ticker, n, round(any_value(r2), 6) AS r2, round(const, 6) + 0.0 AS const, round(b_m, 6) + 0.0 AS m, round(b_g, 6) + 0.0 AS g, round(const / ({_hac('uc')} / n * sqrt(n / (n - 3.0::DOUBLE))), 6) + 0.0 AS t_const, round(b_m / ({_hac('um')} / n * sqrt(n / (n - 3.0::DOUBLE))), 6) + 0.0 AS t_m, round(b_g / ({_hac('ug')} / n * sqrt(n / (n - 3.0::DOUBLE))), 6) + 0.0 AS t_g FROM l GROUP BY ticker, n, const, b_m, b_g"""),
     "ridge_regression": sql(_FACTORS + """, s AS (SELECT ticker, count(*) AS n, var_pop(m) + 0.0001 AS mm, var_pop(g) + 0.0001 AS gg, covar_pop(m, g) AS mg, covar_pop(m, r) AS mr, covar_pop(g, r) AS gr, avg(r) AS ar, avg(m) AS am, avg(g) AS ag FROM f GROUP BY ticker),
 b AS (SELECT *, (mr * gg - gr * mg) / (mm * gg - mg * mg) AS b_m, (gr * mm - mr * mg) / (mm * gg - mg * mg) AS b_g FROM s) SELECT ticker, n, round(ar - b_m * am - b_g * ag, 6) + 0.0 AS const, round(b_m, 6) + 0.0 AS b_m, round(b_g, 6) + 0.0 AS b_g FROM b"""),
     "fama_macbeth_newey_west": sql(", j AS (SELECT * FROM (SELECT wk, c / lag(c, 13) OVER o - 1 AS sig, lead(c, 4) OVER o / c - 1 AS fwd, c / lag(c) OVER o - 1 AS rev FROM bars WINDOW o AS (PARTITION BY ticker ORDER BY wk)) WHERE sig IS NOT NULL AND fwd IS NOT NULL), " + solve("j", "wk", "fwd", ["sig", "rev"])

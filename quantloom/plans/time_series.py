@@ -52,7 +52,7 @@ QUERIES = {
     "hurst_slope": _on_bars(ts.hurst),
     "hv_term_structure": _on_returns(ts.volatility_term),
     "relative_volume": _on_bars(ts.relative_volume),
-    "series_health": _on_bars(ts.stale_runs),
+    "series_health": _on_bars(ts.series_health),
 }
 
 _AGE = "row_number() OVER (PARTITION BY ticker ORDER BY wk DESC)"
@@ -103,7 +103,8 @@ SELECT ticker, round(regr_slope(ln(sd), ln(k)), 6) AS hurst FROM d WHERE sd > 0
     "hv_term_structure": sql(""", s AS (SELECT ticker, lr, i - 1 AS k, """ + ", ".join(f"sum(lr) OVER (PARTITION BY ticker ORDER BY wk ROWS {h - 1} PRECEDING) AS s{h}" for h in (1, 5, 10, 21)) + """ FROM ret WHERE lr IS NOT NULL)
 """ + " UNION ALL ".join(f"SELECT ticker, {h} AS h, round(stddev_samp(s{h}) FILTER (WHERE k >= {h}), 6) AS hv, round(stddev_samp(lr) * sqrt({h}), 6) AS root_rule FROM s GROUP BY ticker" for h in (1, 5, 10, 21))),
     "relative_volume": sql("SELECT ticker, wk, round(v / nullif(quantile_cont(v, 0.5) OVER (PARTITION BY ticker ORDER BY wk ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 0), 6) AS rvol FROM bars"),
-    "series_health": sql(""", g AS (SELECT ticker, c, lr, wk - lag(wk) OVER (PARTITION BY ticker ORDER BY wk) AS gap FROM ret), m AS (SELECT ticker, median(lr) AS med FROM g GROUP BY ticker), o AS (SELECT g.*, abs(lr - med) AS off FROM g JOIN m USING (ticker)),
-d AS (SELECT ticker, median(off) AS mad FROM o GROUP BY ticker), s AS (SELECT ticker, count(c) AS n, max(gap)::INT AS max_gap, count(*) FILTER (WHERE 0.6745 * off / greatest(mad, 1e-12) > 3.5) AS jumps FROM o JOIN d USING (ticker) GROUP BY ticker)
-SELECT *, CASE WHEN n < 40 THEN 'reject' WHEN max_gap > 7 OR jumps > greatest(3.0, 0.05 * n) THEN 'degraded' ELSE 'clean' END AS verdict FROM s"""),
+    "series_health": sql(""", g AS (SELECT ticker, wk, c, lr, wk - lag(wk) OVER w AS gap, CASE WHEN c = lag(c) OVER w THEN 0 ELSE 1 END AS new FROM ret WINDOW w AS (PARTITION BY ticker ORDER BY wk)), m AS (SELECT ticker, median(lr) AS med FROM g GROUP BY ticker), o AS (SELECT g.*, abs(lr - med) AS off FROM g JOIN m USING (ticker)),
+d AS (SELECT ticker, median(off) AS mad FROM o GROUP BY ticker), u AS (SELECT ticker, run, count(*) AS k FROM (SELECT ticker, sum(new) OVER (PARTITION BY ticker ORDER BY wk) AS run FROM g) GROUP BY ALL), v AS (SELECT ticker, max(k) AS stale_run FROM u GROUP BY ticker),
+s AS (SELECT ticker, count(*) AS n, count(*) FILTER (WHERE c IS NULL) AS missing, count(*) FILTER (WHERE c <= 0) AS not_positive, max(gap)::INT AS max_gap, any_value(stale_run) AS stale_run, count(*) FILTER (WHERE 0.6745 * off / greatest(mad, 1e-12) > 3.5) AS jumps, count(lr) AS k FROM o JOIN d USING (ticker) JOIN v USING (ticker) GROUP BY ticker)
+SELECT * EXCLUDE (k), CASE WHEN n < 40 OR not_positive > 0 OR missing > greatest(2.0, 0.02 * n) THEN 'reject' WHEN missing > 0 OR stale_run >= 4 OR max_gap > 7 OR jumps > greatest(3.0, 0.05 * k) THEN 'degraded' ELSE 'clean' END AS verdict FROM s"""),
 }
