@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import calibration, cross_section, inference, kernels, panel, point_in_time, records, regression, relational, significance, surfaces, time_series
+from .plans import calibration, cross_section, inference, kernels, monitoring, panel, point_in_time, records, regression, relational, significance, surfaces, time_series
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [time_series, cross_section, relational, calibration, inference, regression, significance, records, kernels, point_in_time, panel, surfaces]
+MODULES = [time_series, cross_section, relational, calibration, inference, regression, significance, records, kernels, point_in_time, panel, surfaces, monitoring]
 
 
 def queries() -> dict[str, Query]:

@@ -28,7 +28,7 @@ def test_sentiment(spark):
     lexicon = calibration.lexicon_of(spark.createDataFrame([("Word", 1), ("fraud", -1), ("hardly", 0), (None, 1)], "word string, side int"))
     assert lexicon == (["word"], ["fraud"], ["hardly"])
     got = {r.id: (r.good, r.bad) for r in calibration.sentiment(spark.createDataFrame(rows[2:3], "id int, body string"), "id", "body", lexicon).collect()}
-    assert got == {3: (2, 1)}
+    assert got == {3: (1, 2)}
 
 
 def health(spark, closes, step=1):
