@@ -100,7 +100,7 @@ def shrunk_covariance(panel: DataFrame, key: str, at: str, value: str) -> DataFr
     t = total.crossJoin(norm)  # one row each
     apart = (F.col("f2") - F.col("p") * F.col("m") * F.col("m")) / F.col("p")
     error = (F.col("n4") - F.col("_t") * F.col("f2")) / (F.col("_t") * F.col("_t") * F.col("p"))
-    t = t.select("m", F.coalesce(F.greatest(F.least(ratio(F.least(error, apart), F.when(apart > 1e-14 * F.col("f2"), apart)), F.lit(1.0)), F.lit(0.0)), F.lit(0.0)).alias("delta"))
+    t = t.select("m", F.greatest(F.least(F.coalesce(ratio(error, F.when(apart > 1e-14 * F.col("f2"), apart)), F.lit(0.0)), F.lit(1.0)), F.lit(0.0)).alias("delta"))
     return s.crossJoin(F.broadcast(t)).select("a", "b", "delta", F.col("s").alias("sample"), (F.when(F.col("a") == F.col("b"), F.col("delta") * F.col("m")).otherwise(0.0) + (1 - F.col("delta")) * F.col("s")).alias("shrunk"))
 
 
