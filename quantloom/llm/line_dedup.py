@@ -7,8 +7,8 @@ ends where the run of repeated ones ends, so a passage has the same chunk wherev
 and chunks have two lines at least. (Boundaries at local minima of the rolling hash, without regard to what repeats, lose
 what lies before the first and behind the last one in a passage, and most passages of three or four lines whole.)
 
-Repeats are removed after their bytes were compared; the first occurrence (least doc_id, then place) of each pair of
-lines stays. Everything that is shuffled is hashes and places, but for the lines to be compared, of which each goes once from a
+Repeats are removed after their bytes were compared. Every pair of neighbouring lines that is repeated still stands somewhere: in its
+first place (least doc_id, then place), or, where a line of that place goes with another pair, in its next one. Everything that is shuffled is hashes and places, but for the lines to be compared, of which each goes once from a
 task, and the texts that lose lines. A bitmap of the repeated hashes keeps others out of the shuffles.
 """
 
@@ -73,12 +73,28 @@ def _windows(hashed: DataFrame) -> DataFrame:
 
 
 def _repeats(members: DataFrame, key: list[str]) -> DataFrame:
-    """The places of pairs that stand elsewhere before: ``members`` has the pair's ``key`` and place, and may hold pairs that don't repeat."""
+    """The places of pairs that stand elsewhere before, each with the pair's ``key`` and its ``first`` place: ``members`` has the key
+    and place of pairs, also of some that don't repeat."""
     place = F.struct(*_PLACE, "at")
     groups = members.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("times")).where("first <> last")
     members = members.withColumn("key", F.struct(*key)).select(*_PLACE, "at", "key")
     groups = settle(groups.select(F.struct(*key).alias("key"), "first", "times"), "lines-groups")
-    return meet_groups(members, groups, "key", "times").where(place != F.col("first")).select(*_PLACE, "at")
+    return meet_groups(members, groups, "key", "times").where(place != F.col("first")).select(*_PLACE, "at", "key", "first", "times")
+
+
+def _lines(again: DataFrame) -> DataFrame:
+    """The lines to remove: both of each repeated pair, unless that would leave some pair nowhere.
+
+    A pair stands on in its first place, if no line of that place goes. Where a pair beside it is repeated itself, one does: then the
+    pair's next place keeps both of its lines, whatever other pairs they belong to."""
+    place = lambda *c: [F.col(x) for x in (*_PLACE, *c)]
+    firsts = again.select("key", "first", "times").distinct()
+    beside = firsts.select("key", "times", F.col("first.id").alias("id"), F.col("first.of").alias("of"), F.explode(F.array(F.col("first.at") - 1, F.col("first.at") + 1)).alias("at"))
+    broken = settle(beside.join(again.select(*place("at")).distinct(), [*_PLACE, "at"], "left_semi").select("key", "times").distinct(), "lines-broken")
+    both = lambda c: F.explode(F.array(F.col(c), F.col(c) + 1)).alias("line")
+    next_ = meet_groups(again.select("key", *place("at")), broken, "key", "times").groupBy("key").agg(F.min(F.struct(*_PLACE, "at")).alias("next"))
+    stay = next_.select("next.id", "next.of", both("next.at")).distinct()
+    return again.select(*place(), both("at")).distinct().join(stay, [*_PLACE, "line"], "left_anti")
 
 
 def _gone(marked: DataFrame, digest) -> DataFrame:
@@ -104,9 +120,9 @@ def _gone(marked: DataFrame, digest) -> DataFrame:
         texts = _cut(marked.select(*_PLACE, "text")).select(*_PLACE, F.transform("line", _trim).alias("hash"))
         bodies = _windows(texts).withColumns({"ha": digest(F.col("a")), "hb": digest(F.col("b"))})
         bodies = bodies.join(clashes.withColumnRenamed("a", "ha"), "ha", "left_semi").unionByName(bodies.join(clashes.withColumnRenamed("a", "hb"), "hb", "left_semi")).select(*_PLACE, "at", "a", "b").distinct()
-        found = _repeats(settle(clean, "lines-clean"), ["a", "b"]).unionByName(_repeats(settle(bodies, "lines-bodies"), ["a", "b"]))
-    lines = found.select(*_PLACE, F.explode(F.array("at", F.col("at") + 1)).alias("line")).distinct()
-    return settle(lines.groupBy(*_PLACE).agg(F.sort_array(F.collect_list("line")).alias("lines")), "lines-gone")
+        text = lambda c: F.col(c).cast("string").alias(c)  # noqa: E731  keys of both kinds in one table: hashes and bodies
+        found = _repeats(settle(clean.select(*_PLACE, "at", text("a"), text("b")), "lines-clean"), ["a", "b"]).unionByName(_repeats(settle(bodies, "lines-bodies"), ["a", "b"]))
+    return settle(_lines(settle(found, "lines-again")).groupBy(*_PLACE).agg(F.sort_array(F.collect_list("line")).alias("lines")), "lines-gone")
 
 
 def remove_repeated(docs: DataFrame, digest=line_hash) -> DataFrame:

@@ -140,8 +140,10 @@ v AS (SELECT doc_id, i, unnest(x) AS raw, generate_subscripts(x, 1) AS j
 k AS (SELECT doc_id, i, j, raw, trim(raw, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS key FROM v),
 l AS (SELECT *, key <> '' AS filled, count(*) FILTER (WHERE key <> '') OVER (PARTITION BY doc_id ORDER BY i, j) AS pos FROM k),
 w AS (SELECT doc_id, pos, key, lead(key) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM l WHERE filled),
-p AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY key, next ORDER BY doc_id, pos) > 1 AS again FROM w WHERE next IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS pos FROM p WHERE again),
+p AS (SELECT doc_id, pos, key, next, row_number() OVER (PARTITION BY key, next ORDER BY doc_id, pos) AS rn FROM w WHERE next IS NOT NULL),
+broken AS (SELECT DISTINCT f.key, f.next FROM p f JOIN p o ON o.doc_id = f.doc_id AND o.pos IN (f.pos - 1, f.pos + 1) AND o.rn > 1 WHERE f.rn = 1),
+stay AS (SELECT doc_id, unnest([pos, pos + 1]) AS pos FROM p JOIN broken USING (key, next) WHERE rn = 2),
+g AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS pos FROM p WHERE rn > 1 EXCEPT SELECT doc_id, pos FROM stay),
 m AS (SELECT l.*, filled AND g.pos IS NOT NULL AS gone FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos),
 f AS (SELECT doc_id, pos, gone, lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM m WHERE filled),
 n AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone AND NOT before) AS n_removed_chunks, count(*) FILTER (WHERE gone) AS n_removed_lines FROM f GROUP BY doc_id),

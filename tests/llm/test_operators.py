@@ -640,14 +640,17 @@ def brute_lines(rows):
     for i, t in rows:
         raw = [y for x in re.split(r"(?<=\n)|(?<=[.!?] )", t or "") for y in (re.split(r"(?<=, )", x) if len(x) > line_dedup.LONG else [x])]
         cut[i] = raw, [k for k, x in enumerate(raw) if x.strip(blank)]
-    first = {}
+    where = defaultdict(list)
     for i in sorted(cut):
         raw, filled = cut[i]
-        for a, b in zip(filled, filled[1:]):
-            first.setdefault((raw[a].strip(blank), raw[b].strip(blank)), (i, a))
+        for n, (a, b) in enumerate(zip(filled, filled[1:])):
+            where[raw[a].strip(blank), raw[b].strip(blank)].append((i, n))
+    again = {p for places in where.values() for p in places[1:]}
+    broken = [places for places in where.values() if len(places) > 1 and {(places[0][0], places[0][1] + d) for d in (-1, 1)} & again]
+    stay = {(i, n + d) for (i, n) in (places[1] for places in broken) for d in (0, 1)}
     out = {}
     for i, (raw, filled) in cut.items():
-        gone = {x for a, b in zip(filled, filled[1:]) if first[raw[a].strip(blank), raw[b].strip(blank)] != (i, a) for x in (a, b)}
+        gone = {filled[n + d] for n in range(len(filled) - 1) if (i, n) in again for d in (0, 1) if (i, n + d) not in stay}
         out[i] = "".join(x for k, x in enumerate(raw) if k not in gone), len(gone), len(filled)
     return out
 
@@ -661,6 +664,26 @@ def test_line_dedup_against_brute_force(docs, texts, weak):
     assert {i: (r.text or "", r.n_removed_lines, r.n_lines) for i, r in found.items()} == brute_lines(texts.items())
 
 
+def pairs_of(text):
+    """Neighbouring lines of a text."""
+    blank = " \t\n\r\x0b\x0c"
+    raw = [y for x in re.split(r"(?<=\n)|(?<=[.!?] )", text or "") for y in (re.split(r"(?<=, )", x) if len(x) > line_dedup.LONG else [x])]
+    lines = [x.strip(blank) for x in raw if x.strip(blank)]
+    return list(zip(lines, lines[1:]))
+
+
+def test_line_dedup_leaves_every_passage_somewhere(spark, docs, texts):
+    rows = [(1, "Alpha one.\nBravo two."), (2, "Alpha one.\nBravo two.\nCharlie three."), (3, "Bravo two.\nCharlie three.")]
+    found = by_id(line_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert [found[i].text for i in (1, 2, 3)] == [rows[0][1], "Charlie three.", rows[2][1]]
+    rows = [(1, "b\nc\n"), (2, "x\nb\nc\nd\ny\n"), (3, "c\nd\n"), (4, "c\nd\n"), (5, "a\na\na\na\na\n"), (6, "a\na\n")]
+    found = by_id(line_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert [found[i].text for i in (2, 3, 4)] == ["x\nd\ny\n", "c\nd\n", ""]
+    left = {p for r in line_dedup.remove_repeated(docs).collect() for p in pairs_of(r.text)}
+    stood = Counter(p for t in texts.values() for p in pairs_of(t))
+    assert {p for p, n in stood.items() if n > 1} <= left
+
+
 def test_line_dedup(spark, awkward):
     passage = " ".join(f"Sentence {i} of the passage that stands in two places." for i in range(30))
     rows = [(1, f"Own start. {passage} Own end."), (2, f"Another\x01 beginning\x02A here.\n\n{passage}\n \nAnother end."), (3, "Nothing shared. At all."), (4, None)]
