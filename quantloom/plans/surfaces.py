@@ -19,13 +19,21 @@ from .time_series import rounded
 STEPS = 40
 
 
+def _strikes(s: SparkSession, d: str) -> DataFrame:
+    """The chain with strikes from 1020 to 2000 by the size of the part."""
+    return chain(s, d).withColumn("k", 1000.0 + 20.0 * F.col("oi"))
+
+
+_STRIKES = _CHAIN.replace("floor(p_retailprice / 50) * 50.0 + 50.0 AS k", "1000.0::DOUBLE + 20.0::DOUBLE * p_size AS k")
+
+
 def _american(s: SparkSession, d: str) -> DataFrame:
-    c = chain(s, d).withColumns({"r": F.lit(0.04), "q": F.when(F.col("id") % 3 == 0, 0.06).otherwise(0.0)})
+    c = _strikes(s, d).withColumns({"r": F.lit(0.04), "q": F.when(F.col("id") % 3 == 0, 0.06).otherwise(0.0)})
     return rounded(sf.binomial(c, STEPS).select("id", "kind", "k", "price"))
 
 
 def _density(s: SparkSession, d: str) -> DataFrame:
-    c = chain(s, d)
+    c = _strikes(s, d)
     calls = black_scholes(c).join(c.select("id", "t", "sigma"), "id").where("kind = 'C'").withColumn("r", F.lit(0.04))
     return rounded(sf.implied_density(calls, ["t", "sigma"]))
 
@@ -33,7 +41,7 @@ def _density(s: SparkSession, d: str) -> DataFrame:
 def _slices(s: SparkSession, d: str) -> DataFrame:
     """Slices of the chain by time to expiry: the parts' spreads against the log strike over the forward."""
     x = F.round(F.ln(F.col("k") / (F.col("s") * F.exp(0.04 * F.col("t")))), 4)
-    q = chain(s, d).select("t", x.alias("x"), (F.pow(F.col("sigma") * (1 + 0.4 * x * x - 0.2 * x), 2) * F.col("t")).alias("w"))
+    q = _strikes(s, d).select("t", x.alias("x"), (F.pow(F.col("sigma") * (1 + 0.4 * x * x - 0.2 * x), 2) * F.col("t")).alias("w"))
     return rounded(sf.calibrate_slices(q, ["t"]), 4)
 
 
@@ -54,14 +62,14 @@ QUERIES = {"american_binomial": _american, "implied_density": _density, "volatil
 _l = {(i, j): repr(math.log(MOVE[i][j])) + "::DOUBLE" for i in (0, 1) for j in (0, 1)}
 _gain = lambda ups, n: f"(side * (s * pow(u, 2.0 * ({ups}) - ({n})) - k))"
 ORACLE_SQL = {
-    "american_binomial": _CHAIN + f""", c AS (SELECT *, 0.04::DOUBLE AS r, CASE WHEN id % 3 = 0 THEN 0.06::DOUBLE ELSE 0.0::DOUBLE END AS q FROM ch), o AS (SELECT DISTINCT s, k, t, sigma, kind, r, q FROM c),
+    "american_binomial": _STRIKES + f""", c AS (SELECT *, 0.04::DOUBLE AS r, CASE WHEN id % 3 = 0 THEN 0.06::DOUBLE ELSE 0.0::DOUBLE END AS q FROM ch), o AS (SELECT DISTINCT s, k, t, sigma, kind, r, q FROM c),
 g AS (SELECT *, exp(sigma * sqrt(t / {STEPS})) AS u, exp(-r * t / {STEPS}) AS fade, CASE kind WHEN 'C' THEN 1 ELSE -1 END AS side FROM o), h AS (SELECT *, (exp((r - q) * t / {STEPS}) - 1 / u) / (u - 1 / u) AS p FROM g),
 v AS (WITH RECURSIVE v AS (SELECT *, {STEPS} AS n, list_transform(range(0, {STEPS + 1}), lambda j: greatest({_gain('j', STEPS)}, 0)) AS x FROM h
   UNION ALL SELECT * REPLACE (n - 1 AS n, list_transform(range(0, n), lambda j: greatest(fade * (p * x[j + 2] + (1 - p) * x[j + 1]), {_gain('j', 'n - 1')})) AS x) FROM v WHERE n > 0) SELECT * FROM v WHERE n = 0),
 e AS (SELECT *, (ln(s / k) + (r - q + sigma * sigma / 2) * t) / (sigma * sqrt(t)) AS d1 FROM v), f AS (SELECT *, d1 - sigma * sqrt(t) AS d2 FROM e),
 y AS (SELECT s, k, t, sigma, kind, r, q, CASE WHEN p > 0 AND p < 1 THEN x[1] WHEN kind = 'C' THEN s * exp(-q * t) * {phi_sql('d1')} - k * exp(-r * t) * {phi_sql('d2')} ELSE k * exp(-r * t) * {phi_sql('(-d2)')} - s * exp(-q * t) * {phi_sql('(-d1)')} END AS price FROM f)
 SELECT id, c.kind, c.k, round(price, 6) + 0.0 AS price FROM c JOIN y ON c.s = y.s AND c.k = y.k AND c.t = y.t AND c.sigma = y.sigma AND c.kind = y.kind AND c.r = y.r AND c.q = y.q""",
-    "implied_density": _CHAIN + f""", c AS (SELECT t, sigma, k, avg(s * {phi_sql('d1')} - k * fade * {phi_sql('d2')}) AS c FROM de WHERE kind = 'C' GROUP BY ALL),
+    "implied_density": _STRIKES + f""", c AS (SELECT t, sigma, k, avg(s * {phi_sql('d1')} - k * fade * {phi_sql('d2')}) AS c FROM de WHERE kind = 'C' GROUP BY ALL),
 n AS (SELECT *, k - lag(k) OVER w AS h1, lead(k) OVER w - k AS h2, lag(c) OVER w AS c1, lead(c) OVER w AS c2 FROM c WINDOW w AS (PARTITION BY t, sigma ORDER BY k)),
 r AS (SELECT *, exp(0.04::DOUBLE * t) * 2 * (c1 / (h1 * (h1 + h2)) - c / (h1 * h2) + c2 / (h2 * (h1 + h2))) AS raw FROM n WHERE h1 IS NOT NULL AND h2 IS NOT NULL),
 p AS (SELECT *, (lead(k) OVER w - k) * (greatest(raw, 0) + lead(greatest(raw, 0)) OVER w) / 2 AS piece FROM r WINDOW w AS (PARTITION BY t, sigma ORDER BY k)),
