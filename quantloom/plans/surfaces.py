@@ -16,7 +16,7 @@ from ..sources.panels import sql, weekly_bars, weekly_returns
 from .calibration import _CHAIN, chain
 from .time_series import rounded
 
-STEPS = 40
+STEPS = 24
 
 
 def _strikes(s: SparkSession, d: str) -> DataFrame:
