@@ -11,6 +11,8 @@ from ..functions.stats import phi, phi_sql
 from ..operators import monitoring as mon
 from ..sources import files, filings
 from ..sources.panels import by_week, sql, table, weekly_bars, weekly_returns
+from ..streaming.intraday import ROCKS, drain
+from ..streaming.ledger import ledger_stream
 from .time_series import rounded
 
 
@@ -28,6 +30,24 @@ def _ledger(s: SparkSession, d: str) -> DataFrame:
     return rounded(mon.ledger(f.drop("lr"), seen, ["ticker", "wk"], F.lit("2001-06-01").cast("date")).select("ticker", "wk", "status", "y", "residual", "z", "side", "covered", "interval_score"))
 
 
+def _told(s: SparkSession, d: str) -> DataFrame:
+    """The forecasts as they are issued and the outcomes as they come, thirty days on; some never do."""
+    f = _forecasts(s, d)
+    stamp = lambda c: F.col(c).cast("timestamp")
+    none = [F.lit(None).cast("double").alias(c) for c in ("mu", "sigma", "lower", "upper")]
+    name = (F.col("ticker").alias("key"), stamp("wk").alias("origin"), stamp("matures").alias("matures"))
+    issued = f.select(stamp("wk").alias("ts"), *name, "mu", "sigma", "lower", "upper", F.lit(None).cast("double").alias("y"))
+    return issued.unionByName(f.where(F.dayofmonth("wk") % 5 != 0).select(F.date_add("wk", 30).cast("timestamp").alias("ts"), *name, *none, F.col("lr").alias("y")))
+
+
+def _ledger_stream(s: SparkSession, d: str) -> DataFrame:
+    path = files.shared(s, "forecasts")
+    told = _told(s, d)
+    told.write.parquet(path)
+    out = drain(ledger_stream(s.readStream.schema(told.schema).parquet(path), "60 days"), ["key", "origin", "matures"], "append", ROCKS)
+    return rounded(out.withColumns({c: F.to_date(c) for c in ("origin", "matures")}))
+
+
 def _alarm(s: SparkSession, d: str) -> DataFrame:
     pits = _forecasts(s, d).select("ticker", "wk", phi((F.col("lr") - F.col("mu")) / F.col("sigma")).alias("pit"))
     return rounded(mon.calibration_alarm(pits, "ticker", "wk", "pit", "pit"), 4)
@@ -89,6 +109,7 @@ def _holdings(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "forecast_ledger": _ledger,
+    "forecast_ledger_stream": _ledger_stream,
     "calibration_alarm": _alarm,
     "shrunk_covariance": lambda s, d: rounded(mon.shrunk_covariance(_returns(s, d), "ticker", "wk", "lr"), 9),
     "cluster_order": lambda s, d: rounded(mon.cluster_order(_returns(s, d), "ticker", "wk", "lr").withColumn("place", F.col("place").cast("long"))),
@@ -122,6 +143,12 @@ ORACLE_SQL = {
     "forecast_ledger": sql(_FC + """, l AS (SELECT *, CASE WHEN wk + 28 <= DATE '2001-06-01' AND day(wk) % 5 <> 0 THEN lr END AS y FROM f)
 SELECT ticker, wk, CASE WHEN y IS NULL THEN 'open' ELSE 'matured' END AS status, round(y, 6) AS y, round(y - mu, 6) AS residual, round((y - mu) / sigma, 6) AS z, CASE WHEN y < lo THEN 'lower_miss' WHEN y > hi THEN 'upper_miss' WHEN y IS NOT NULL THEN 'inside' END AS side,
 y >= lo AND y <= hi AS covered, round(CASE WHEN y IS NOT NULL THEN hi - lo + 20.0::DOUBLE * (greatest(lo - y, 0) + greatest(y - hi, 0)) END, 6) AS interval_score FROM l"""),
+    "forecast_ledger_stream": sql(_FC + f""", r AS (SELECT *, wk + 28 AS matures FROM f WHERE day(wk) % 5 <> 0 AND wk + 28 <= (SELECT max(wk + CASE WHEN day(wk) % 5 <> 0 THEN 30 ELSE 0 END) FROM f) - 60),
+pl AS (SELECT *, {phi_sql('((lr - mu) / sigma)')} AS u, row_number() OVER (PARTITION BY ticker ORDER BY matures) AS place FROM r)""" + _bets() + """,
+e AS (SELECT ticker, place, (a.h + b.h) / 2 AS now, (greatest(max(a.h) OVER w, 1) + greatest(max(b.h) OVER w, 1)) / 2 AS most FROM e_location a JOIN e_dispersion b USING (ticker, place) WINDOW w AS (PARTITION BY ticker ORDER BY place))
+SELECT ticker AS key, wk AS origin, matures, round(lr, 6) AS y, round(lr - mu, 6) AS residual, round((lr - mu) / sigma, 6) AS z, CASE WHEN lr < lo THEN 'lower_miss' WHEN lr > hi THEN 'upper_miss' ELSE 'inside' END AS side, lr >= lo AND lr <= hi AS covered,
+round(hi - lo + 20.0::DOUBLE * (greatest(lo - lr, 0) + greatest(lr - hi, 0)), 6) AS interval_score, place, round(log10(now), 6) + 0.0 AS evidence, round(log10(most), 6) + 0.0 AS evidence_max,
+CASE WHEN place >= 20 THEN CASE WHEN most >= 100 THEN 'kill' WHEN most >= 20 THEN 'warn' ELSE 'ok' END END AS level FROM pl JOIN e USING (ticker, place)"""),
     "calibration_alarm": sql(_FC + f", pl AS (SELECT ticker, {phi_sql('((lr - mu) / sigma)')} AS u, row_number() OVER (PARTITION BY ticker ORDER BY wk) AS place FROM f)" + _bets() + """
 SELECT l.ticker, l.n, round((l.last + d.last) / 2, 4) AS e_value, round((l.most + d.most) / 2, 4) AS e_max, round(least(2 / (l.most + d.most), 1), 4) AS p_anytime, CASE WHEN (l.most + d.most) / 2 >= 100 THEN 'kill' WHEN (l.most + d.most) / 2 >= 20 THEN 'warn' ELSE 'ok' END AS level,
 round(l.most, 4) AS max_location, round(d.most, 4) AS max_dispersion FROM g_location l JOIN g_dispersion d USING (ticker) WHERE l.n >= 20"""),

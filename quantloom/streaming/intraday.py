@@ -40,15 +40,28 @@ def persistence(events: DataFrame, level: float = 50.0, on: int = 3, off: int =
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, opened long, is_open boolean", "opened long, is_open boolean, run long", "update", "NoTimeout")
 
 
-def drain(stream: DataFrame, key: list[str], mode: str = "update") -> DataFrame:
-    """Run a stream over what its source holds, and give the last row of each key."""
+#: Keyed state on disk.
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def drain(stream: DataFrame, key: list[str], mode: str = "update", conf: dict[str, str] | None = None) -> DataFrame:
+    """Run a stream over what its source holds, and give the last row of each key. Settings of ``conf`` hold for this stream alone."""
     spark = stream.sparkSession
+    conf = conf or {}
     base = f"{(spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def emit(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{base}/out/part={epoch}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(emit).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    spark.createDataFrame([], stream.schema).withColumn("epoch", F.lit(-1)).write.parquet(f"{base}/out/part=-1")  # a stream without rows runs no batch
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(emit).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
     columns = [c for c in stream.columns if c not in key]
     found = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/out")
