@@ -37,7 +37,7 @@ def _stream_state(keys_path: str, keys: DataFrame, files: int = FILES) -> DataFr
     """Run the key rows through the stateful aggregation; one row per digest: best document, its locator, count."""
     spark = keys.sparkSession
     out = shared_folder(spark, "dedup-state")
-    better = F.struct("n_chars", (-F.col("doc_id")).alias("neg_id"), (-F.col("row")).alias("neg_row"), "doc_id", "row", "file")
+    better = F.struct("n_chars", F.bitwise_not("doc_id").alias("neg_id"), (-F.col("row")).alias("neg_row"), "doc_id", "row", "file")
     state = (
         spark.readStream.schema(keys.schema).option("maxFilesPerTrigger", files).parquet(keys_path)
         .groupBy("digest").agg(F.max(better).alias("best"), F.count(F.lit(1)).alias("group_size"))
@@ -112,7 +112,7 @@ def _by_bytes(docs: DataFrame, digest, clashes: DataFrame, keys: DataFrame) -> D
         F.col("doc_id").cast("bigint").alias("doc_id"), normalised(text).alias("body"), F.char_length(text).cast("bigint").alias("n_chars"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row")
     )
     rows = settle(rows.withColumn("digest", digest(F.col("body"))).join(clashes, "digest", "left_semi"), "dedup-bodies")
-    better = F.struct("n_chars", (-F.col("doc_id")).alias("neg_id"), (-F.col("row")).alias("neg_row"), "doc_id", "row")
+    better = F.struct("n_chars", F.bitwise_not("doc_id").alias("neg_id"), (-F.col("row")).alias("neg_row"), "doc_id", "row")
     best = rows.groupBy("body").agg(F.max(better).alias("best"), F.count(F.lit(1)).alias("group_size"))
     return rows.join(best, "body").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.sha2(F.col("body").cast("binary"), 256).alias("text_sha256"), "file"

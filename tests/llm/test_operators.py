@@ -633,6 +633,18 @@ def test_exact_groups_awkward(awkward):
     assert exact_dedup.drop_exact_copies(awkward).columns == awkward.columns
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_groups_over_all_of_bigint(spark, weak):
+    """Ties go to the least doc_id, the smallest bigint too; a missing one loses."""
+    from pyspark.sql import functions as F
+
+    least, most = -(1 << 63), (1 << 63) - 1
+    df = spark.createDataFrame([(most, "a b"), (least, "b a"), (0, "ab "), (least, "a b"), (None, " ab"), (-1, "ba "), (None, "zz")], "doc_id bigint, text string")
+    extra = {"digest": lambda c: F.lit(b"one")} if weak else {}
+    found = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df, **extra).collect()), key=str)
+    assert found == sorted([(most, least, 4, False), (0, least, 4, False), (least, least, 4, True), (None, least, 4, False), (least, least, 2, True), (-1, least, 2, False), (None, None, 1, True)], key=str)
+
+
 def brute_lines(rows):
     """Text without the lines of pairs that stand before, and how many lines went."""
     blank = " \t\n\r\x0b\x0c"
