@@ -58,3 +58,50 @@ def order_statistic(x: str, share: float) -> Column:
 
 def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
+
+
+#: Coefficients of the rational approximation of the normal quantile (Acklam), highest power first.
+QUANTILE_MIDDLE = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+QUANTILE_MIDDLE_UNDER = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+QUANTILE_TAIL = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+QUANTILE_TAIL_UNDER = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+QUANTILE_TAIL_FROM = 0.02425
+
+
+def horner(x: Column, coefficients: tuple[float, ...]) -> Column:
+    """The polynomial at ``x``; the first coefficient belongs to the highest power."""
+    value = F.lit(coefficients[0])
+    for a in coefficients[1:]:
+        value = value * x + a
+    return value
+
+
+def normal_quantile(p: Column) -> Column:
+    """The standard normal quantile; minus and plus infinity at and beyond 0 and 1, null for null."""
+    low = F.least(p, 1 - p)
+    u = F.sqrt(-2 * F.ln(F.greatest(low, F.lit(1e-300))))
+    tail = horner(u, QUANTILE_TAIL) / horner(u, QUANTILE_TAIL_UNDER)
+    d = p - 0.5
+    middle = d * horner(d * d, QUANTILE_MIDDLE) / horner(d * d, QUANTILE_MIDDLE_UNDER)
+    inner = F.when(low < QUANTILE_TAIL_FROM, F.when(p < 0.5, tail).otherwise(-tail)).otherwise(middle)
+    return F.when(p <= 0, float("-inf")).when(p >= 1, float("inf")).otherwise(inner)
+
+
+#: From here on the normal tail is a continued fraction of so many levels, whose error is relative (under 1e-7).
+TAIL_FROM, TAIL_LEVELS = 2.5, 16
+
+
+def weighted_tail(y: Column, log_weight: Column) -> Column:
+    """``exp(log_weight) * phi(-y)``, right and without overflow where the weight is huge and the tail tiny."""
+    under = y
+    for k in range(TAIL_LEVELS, 0, -1):
+        under = y + k / under
+    far = F.exp(log_weight - y * y / 2) / (math.sqrt(2 * math.pi) * under)
+    return F.when(y > TAIL_FROM, far).otherwise(F.exp(log_weight) * phi(-y))
+
+
+def weighted_tail_sql(y: str, log_weight: str) -> str:
+    under = f"({y})"
+    for k in range(TAIL_LEVELS, 0, -1):
+        under = f"(({y}) + {k} / {under})"
+    return f"(CASE WHEN ({y}) > {TAIL_FROM} THEN exp({log_weight} - ({y}) * ({y}) / 2) / (sqrt(2 * pi()) * {under}) ELSE exp({log_weight}) * {phi_sql(f'(-({y}))')} END)"

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import calibration, cross_section, inference, kernels, monitoring, panel, point_in_time, records, regression, relational, significance, surfaces, time_series, walk_forward
+from .plans import calibration, cross_section, inference, kernels, monitoring, panel, paths, point_in_time, records, regression, relational, significance, surfaces, time_series, walk_forward
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [time_series, cross_section, relational, calibration, inference, regression, significance, records, kernels, point_in_time, panel, surfaces, monitoring, walk_forward]
+MODULES = [time_series, cross_section, relational, calibration, inference, regression, significance, records, kernels, point_in_time, panel, surfaces, monitoring, walk_forward, paths]
 
 
 def queries() -> dict[str, Query]:
