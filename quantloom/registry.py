@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import calibration, contracts, cross_section, inference, kernels, monitoring, panel, paths, point_in_time, records, regression, relational, significance, surfaces, tilts, time_series, walk_forward
+from .plans import calibration, contracts, cross_section, inference, kernels, monitoring, panel, paths, point_in_time, records, regression, relational, series, significance, surfaces, tilts, time_series, walk_forward
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [time_series, cross_section, relational, calibration, inference, regression, significance, records, kernels, point_in_time, panel, surfaces, monitoring, walk_forward, paths, tilts, contracts]
+MODULES = [time_series, cross_section, relational, calibration, inference, regression, significance, records, kernels, point_in_time, panel, surfaces, monitoring, walk_forward, paths, tilts, contracts, series]
 
 
 def queries() -> dict[str, Query]:
