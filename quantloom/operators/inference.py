@@ -106,16 +106,24 @@ def minutes_momentum(events: DataFrame, minutes: int = 720) -> DataFrame:
     """Mean value of a type's last minutes against all before them, at each event.
 
     Types are few, so their rows are dealt by spans of time as long as the window: the rows of a span meet those of the span
-    before, and everything older comes from running totals by span, of which a type has one row each.
+    before, and everything older comes from running totals by span, of which a type has one row each. A row of the span before
+    is placed at the time when it is as old as the window is long: up to there it is near, then far. So each sum runs from one end
+    of its group, and none is made anew for each row, however dense the events are.
     """
     wide = minutes * 60_000_000
     t = events.select("event_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).withColumn("span", F.floor(F.col("us") / wide))
     old = Window.partitionBy("event_type").orderBy("span").rangeBetween(Window.unboundedPreceding, -2)
-    totals = t.groupBy("event_type", "span").agg(F.sum("value").alias("v"), F.count("value").alias("k")).select("event_type", "span", F.sum("v").over(old).alias("v"), F.sum("k").over(old).alias("k"))
-    dealt = t.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("span", F.col("span") + F.when(F.col("own"), 0).otherwise(1))
-    w = Window.partitionBy("event_type", "span").orderBy("us")
-    before = w.rangeBetween(Window.unboundedPreceding, -wide - 1)
-    dealt = dealt.withColumns({"near": F.avg("value").over(w.rangeBetween(-wide, 0)), "sum": F.sum("value").over(before), "n": F.count("value").over(before)}).where("own")
-    none = F.lit(0.0)
-    far = ratio(F.coalesce("v", none) + F.coalesce("sum", none), F.coalesce("k", F.lit(0)) + F.col("n"))
-    return dealt.join(totals, ["event_type", "span"], "left").select("event_id", "near", far.alias("far"), ratio(F.col("near"), far).alias("momentum"))
+    totals = t.groupBy("event_type", "span").agg(F.sum("value").alias("v"), F.count("value").alias("k"))
+    totals = totals.select(F.col("event_type").alias("of"), F.col("span").alias("in"), F.sum("v").over(old).alias("v"), F.sum("k").over(old).alias("k"))
+    dealt = t.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False))))
+    dealt = dealt.withColumns({"span": F.col("span") + F.when(F.col("own"), 0).otherwise(1), "at": F.col("us") + F.when(F.col("own"), 0).otherwise(wide)})
+    w = Window.partitionBy("event_type", "span")
+    up, down = w.orderBy("at").rangeBetween(Window.unboundedPreceding, 0), w.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
+    gone = w.orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    own, before = F.when(F.col("own"), F.col("value")), F.when(~F.col("own"), F.col("value"))
+    sums = {"new": (own, up), "still": (before, down), "past": (before, gone)}
+    dealt = dealt.withColumns({n: F.coalesce(F.sum(c).over(over), F.lit(0.0)) for n, (c, over) in sums.items()} | {f"n_{n}": F.count(c).over(over) for n, (c, over) in sums.items()}).where("own")
+    near = ratio(F.col("new") + F.col("still"), F.col("n_new") + F.col("n_still"))
+    far = ratio(F.coalesce("v", F.lit(0.0)) + F.col("past"), F.coalesce("k", F.lit(0)) + F.col("n_past"))
+    met = dealt.join(totals, F.col("event_type").eqNullSafe(F.col("of")) & (F.col("span") == F.col("in")), "left")
+    return met.select("event_id", near.alias("near"), far.alias("far"), ratio(near, far).alias("momentum"))

@@ -8,7 +8,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import calibration, records, relational, significance, time_series
+from quantloom.operators import calibration, inference, records, relational, significance, time_series
 
 DAY = dt.date(2021, 1, 4)
 
@@ -68,3 +68,21 @@ def test_turnover_path(spark):
 def test_field_coverage(spark):
     df = spark.createDataFrame([(1, None), (1, "x"), (2, "x")], "a int, field string")
     assert {r.field: (r.present, r.different) for r in records.field_coverage(df).collect()} == {"a": (3, 2), "field": (2, 1)}
+
+
+def test_minutes_momentum_of_dense_events(spark):
+    """Events close together, on one another and at the window's very edge, also of no type, against a loop; no sum is made anew for each row."""
+    minute = 60_000_000
+    start, steps = dt.datetime(2024, 1, 1), [0, 0, 1, 5 * minute, 5 * minute, 10 * minute, 10 * minute + 1, 15 * minute, 20 * minute, 20 * minute + 1, 47 * minute, 57 * minute, 57 * minute + 1]
+    rows = [(100 * k + i, kind, start + dt.timedelta(microseconds=us), None if (i + k) % 6 == 5 else float(i * i + k)) for k, kind in enumerate(("a", "b", None)) for i, us in enumerate(steps)]
+    events = spark.createDataFrame(rows, "event_id int, event_type string, ts timestamp_ntz, value double")
+    found = inference.minutes_momentum(events, 10)
+    mean = lambda xs: sum(xs) / len(xs) if xs else None
+    want = {}
+    for key, kind, ts, _ in rows:
+        mine = [(ts - t, v) for _, other, t, v in rows if other == kind and v is not None and t <= ts]
+        near, far = (mean([v for age, v in mine if (age <= dt.timedelta(minutes=10)) == now]) for now in (True, False))
+        want[key] = (near, far, near / far if near is not None and far else None)
+    assert {r.event_id: (r.near, r.far, r.momentum) for r in found.collect()} == {k: pytest.approx(v) for k, v in want.items()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedpreceding$" in plan and str(10 * minute) + "," not in plan.replace(" ", "")
