@@ -30,7 +30,7 @@ def _implied(s: SparkSession, d: str) -> DataFrame:
     """Volatilities back from the chain's own prices, where the price tells them (vega of 0.05 a point at least); two of seven quotes
     are put beyond the bounds that arbitrage sets, above and below."""
     c = chain(s, d)
-    quotes = c.withColumn("price", sig.black_scholes_price(F.col("s"), F.col("k"), F.col("t"), F.col("sigma"), F.col("kind") == "C", 0.04))
+    quotes = c.withColumn("price", cal.black_scholes_price(F.col("s"), F.col("k"), F.col("t"), F.col("sigma"), F.col("kind") == "C", 0.04))
     side, fade = F.when(F.col("kind") == "C", 1.0).otherwise(-1.0), F.col("k") * F.exp(-0.04 * F.col("t"))
     most, least = F.when(F.col("kind") == "C", F.col("s")).otherwise(fade), F.greatest(side * (F.col("s") - fade), F.lit(0.0))
     quotes = quotes.withColumn("price", F.when(F.col("id") % 7 == 3, most + 0.5).when(F.col("id") % 7 == 5, least - 0.5).otherwise(F.col("price")))

@@ -59,6 +59,20 @@ def test_implied_volatility_bounds(spark):
     assert [r.iv for r in significance.implied_volatility(priced).collect()] == pytest.approx([0.3, 0.3], abs=1e-5)
 
 
+def test_implied_volatility_of_many_quotes(spark):
+    """Every volatility comes back from its price, in arrays and not by expressions that price a quote anew for each name."""
+    q = spark.range(5000).select("id", F.lit(100.0).alias("s"), (80.0 + F.col("id") % 41).alias("k"), (0.25 + F.col("id") % 7 / 4.0).alias("t"), (0.2 + F.col("id") % 11 / 20.0).alias("sigma"), F.when(F.col("id") % 3 == 0, "C").when(F.col("id") % 3 == 1, "P").alias("kind"))
+    call = F.coalesce(F.col("kind") == "C", F.lit(False))  # no kind: a put
+    odd = F.when(F.col("id") % 500 == 7, float("nan")).when(F.col("id") % 500 == 8, F.lit(None)).when(F.col("id") % 500 == 9, 1e9)
+    priced = q.withColumn("odd", F.col("id") % 500 >= 7).withColumn("odd", F.col("odd") & (F.col("id") % 500 <= 9))
+    priced = priced.withColumn("price", F.when(F.col("odd"), odd).otherwise(calibration.black_scholes_price(F.col("s"), F.col("k"), F.col("t"), F.col("sigma"), call, 0.04)))
+    found = significance.implied_volatility(priced)
+    assert "aggregate(" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.collect()
+    assert len(got) == 5000 and [r.id for r in got if r.iv is None] == [r.id for r in got if r.odd]
+    assert max(abs(r.iv - r.sigma) for r in got if not r.odd) < 1e-5
+
+
 def test_turnover_path(spark):
     rows = [(1, "a", 0.5), (1, "b", 0.5), (2, "a", 1.0), (3, "a", 0.25), (3, "c", 0.75), (None, "a", 9.0)]
     got = {r.q: (r.turnover, r.n) for r in relational.turnover_path(spark.createDataFrame(rows, "q int, k string, w double"), "q", "k", "w").collect()}
