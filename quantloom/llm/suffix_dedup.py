@@ -36,8 +36,9 @@ from .suffix_order import Prefixes, suffix_order
 LEAST = 100
 #: Bytes of a text that are cut into segments at a time, and of segments that are sorted at a time (a group is never parted).
 _BLOCK, _SORTED = 1 << 20, 2 << 20
-#: Segments of a k-gram from which on it is dealt in pieces of this size, or of a ten-thousandth of all if that is more.
-PIECE = 256
+#: Segments of a k-gram from which on it is dealt in pieces of this size, or of a ten-thousandth of all if that is more. A piece gives
+#: up each of its windows, so only what is more than ``_SORTED`` bytes hold (a segment has 135 or so) is dealt.
+PIECE = 8192
 _NULL_ID = -(1 << 63)
 _SEGMENT = "k bigint, digest bigint, doc_id bigint, h bigint, start bigint, width int, anchor int, again boolean"
 

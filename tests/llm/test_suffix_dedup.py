@@ -128,3 +128,24 @@ def test_query(spark, sf):
     for i, spans in expect.items():
         kept = b"".join(docs[i][a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(docs[i])], strict=True))
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(docs[i]), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest())
+
+
+def test_a_frequent_gram_gives_rows_in_proportion(spark, monkeypatch):
+    """Hundreds of different segments about one passage of 60 bytes are sorted in one go: rows for what is removed, none for each window."""
+    made = {}
+
+    def counted(df, purpose):
+        out = settle(df, purpose)
+        made[purpose] = out.count()
+        return out
+
+    settle = suffix_dedup.settle
+    monkeypatch.setattr(suffix_dedup, "settle", counted)
+    draw = random.Random(5)
+    letters = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common = letters(60)
+    docs = [(i, letters(90) + common + letters(90)) for i in range(600)]
+    docs += [(600 + i, docs[i][1][40:200]) for i in range(20)]  # strings of 160 bytes that stand elsewhere before
+    spans = suffix_dedup.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id for r in spans.collect()} == set(range(600, 620))
+    assert made["suffix-sorted"] <= 200
