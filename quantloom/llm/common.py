@@ -39,11 +39,16 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
 _HOT_SHARE, _FEW = 10_000, 1000
 
 
+def hot_bound(members: DataFrame) -> int:
+    """A group of over so many of these rows is hot."""
+    return max(_FEW, members.count() // _HOT_SHARE)
+
+
 def meet_groups(members: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """Each member with its group's row (``groups``: one row for each key, ``size`` members in it; members of no group go).
     The groups that hold over a ten-thousandth of all members go to every task, so that no task meets a hot key alone; by
     their share they are ten thousand rows at most, whatever the data. ``members`` is read twice."""
-    bound = max(_FEW, members.count() // _HOT_SHARE)
+    bound = hot_bound(members)
     hot, others = groups.where(F.col(size) > bound), groups.where(F.col(size) <= bound)
     return members.join(F.broadcast(hot), key).unionByName(members.join(F.broadcast(hot.select(key)), key, "left_anti").join(others, key))
 

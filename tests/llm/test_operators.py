@@ -676,6 +676,21 @@ def test_line_dedup_against_brute_force(docs, texts, weak):
     assert {i: (r.text or "", r.n_removed_lines, r.n_lines) for i, r in found.items()} == brute_lines(texts.items())
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_line_dedup_ranks_pairs_that_stand_often_in_parts(spark, monkeypatch, weak):
+    from pyspark.sql import functions as F
+
+    rows = {i: "\n".join(["common one", "common two", f"own {i % 7}", f"more {i % 11}\t", "", f"own {i}"][i % 3 :]) for i in range(90, 0, -1)}
+    df = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    monkeypatch.setattr(line_dedup, "hot_bound", lambda members: 3)
+    extra = {"digest": lambda c: F.pmod(F.xxhash64(c), F.lit(13))} if weak else {}
+    seen, settle = {}, line_dedup.settle
+    monkeypatch.setattr(line_dedup, "settle", lambda t, name: (seen.__setitem__(name, settle(t, name)), seen[name])[1])
+    found = by_id(line_dedup.remove_repeated(df, **extra))
+    assert {i: (r.text, r.n_removed_lines, r.n_lines) for i, r in found.items()} == brute_lines(rows.items())
+    assert weak or 0 < seen["lines-heads"].count() < seen["lines-ranked"].where("often").count()  # only heads of parts meet in one task
+
+
 def pairs_of(text):
     """Neighbouring lines of a text."""
     blank = " \t\n\r\x0b\x0c"
