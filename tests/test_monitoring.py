@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.operators import monitoring as mon
+from quantloom.plans import monitoring as monitoring_plans
 from quantloom.sources import files, filings
 
 DAY = dt.date(2020, 1, 1)
@@ -111,6 +112,13 @@ def test_insider_transactions(spark):
     assert got[2] == (2, "Ann", "Officer", "2026-01-02", "S", "D", 10.0, 0.0, None, False) and len(got) == 3
 
 
+def test_ownership_documents_are_dealt_by_key(spark, sf):
+    """Documents were broadcast, and parsed in as many tasks as the file of orders has parts."""
+    plan = monitoring_plans._ownership(spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert "nonDerivativeTransaction" not in plan[plan.index("ObjectHashAggregate") :]  # text is written behind the shuffle
+
+
 def test_annual_series(spark):
     point = lambda fy, val, form="10-K", fp="FY", filed="2020-01-01", end="2019-12-31": {"fy": fy, "val": val, "form": form, "fp": fp, "filed": filed, "end": end}
     doc = lambda name, *p, unit="USD": json.dumps({"facts": {"us-gaap": {name: {"units": {unit: list(p)}}}}})
