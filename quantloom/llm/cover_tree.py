@@ -5,7 +5,8 @@ the inner product with it. Each node covers its points with a ball; its children
 ``SHRINK`` times that radius, level by level, and their real radii are kept. A query's inner product with any
 point of a ball lies within bounds that follow from the one with the centre: by the triangle inequality in the augmented
 space, or by the query's norm times the radius, whichever is tighter. ``best`` descends best first, skips nodes whose bounds lie
-outside the wanted window, and takes the products of leaves exactly.
+outside the wanted window, and takes the products of leaves exactly. ``Search`` takes many queries through trees at once: a node goes
+on with the queries that its bounds don't rule out, and where its children are many or small, its points are taken in one product of matrices.
 """
 
 from __future__ import annotations
@@ -17,13 +18,36 @@ import numpy as np
 
 #: A child's radius as a share of its parent's, and the most points of a leaf.
 SHRINK, LEAF = 0.75, 24
-#: Up to this sum of products, doubles hold every integer.
-_EXACT = 2.0**53
+#: A node of n points gets n / ``_PER_CHILD`` children at most, and stays a leaf where its points need more.
+_PER_CHILD = 8
+#: Up to these sums of products, floats and doubles hold every integer.
+_SINGLE, _EXACT = 2.0**24, 2.0**53
+#: Many queries at once: scores of a tile, and of one in integers of any size; scores of a node that aren't worth its children's bounds; points
+#: that a node must hold for each child, as bounds cost more than scores.
+_TILE, _LONG_TILE, _FEW, _PER_BOUND = 1 << 19, 1 << 12, 1 << 16, 32
+#: Up to so many labels, points of a label are scored apart.
+_APART = 16
+
+
+def reach(points: np.ndarray) -> float:
+    """The largest absolute component."""
+    return max(-float(points.min(initial=0)), float(points.max(initial=0)))
+
+
+def narrow(points: np.ndarray) -> np.ndarray:
+    """The same integers in as few bytes as hold them and their negatives."""
+    most = reach(points)
+    return points.astype(next((t for t in (np.int16, np.int32) if most <= np.iinfo(t).max), np.int64))
+
+
+def lengths(points: np.ndarray) -> np.ndarray:
+    flat = points.astype(np.float64)
+    return np.sqrt(np.einsum("ij,ij->i", flat, flat))
 
 
 def products(points: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Integer inner products; in doubles where these are exact, else in integers of any size."""
-    if len(points) and float(np.abs(points).max(initial=0)) * float(np.abs(query).max(initial=0)) * max(1, points.shape[1]) >= _EXACT:
+    if len(points) and reach(points) * reach(query) * max(1, points.shape[1]) >= _EXACT:
         return np.array([sum(int(a) * int(b) for a, b in zip(p, query, strict=True)) for p in points], object)
     return points.astype(np.float64) @ query.astype(np.float64)
 
@@ -59,21 +83,24 @@ class CoverTree:
             members = order[begin[todo] : end[todo]].copy()
             if len(members) > LEAF and radius[todo] > 0:
                 most, heads = radius[todo] * SHRINK, [centre[todo]]
-                gap = space[members] - space[centre[todo]]
-                near, head = np.sqrt(np.einsum("ij,ij->i", gap, gap)), np.zeros(len(members), int)
-                while (far := int(near.argmax())) >= 0 and near[far] > most and len(heads) <= len(members) // 2:
-                    gap = space[members] - space[members[far]]
-                    away = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+                here, head = space[members], np.zeros(len(members), int)
+                # norms are equal, so products tell distances but for rounding, which is enough to deal points to children
+                near = np.sqrt(np.maximum(0.0, 2 * (self.square - here @ space[centre[todo]])))
+                near[members == centre[todo]] = 0
+                while (far := int(near.argmax())) >= 0 and near[far] > most and len(heads) <= len(members) // _PER_CHILD:
+                    away = np.sqrt(np.maximum(0.0, 2 * (self.square - here @ here[far])))
+                    away[far] = 0
                     closer = away < near
                     near[closer], head[closer] = away[closer], len(heads)
                     heads.append(int(members[far]))
-                if 1 < len(heads) <= len(members) // 2:  # else the points lie too far from one another for balls to help
+                if 1 < len(heads) <= len(members) // _PER_CHILD:  # else the points lie too far from one another for balls to help
                     child[todo], children[todo], at = len(centre), len(heads), begin[todo]
                     for number, middle in enumerate(heads):
                         mine = members[head == number]
                         node(mine, at, middle)
                         at += len(mine)
             todo += 1
+        points = narrow(points)
         self.centres = points[np.array(centre, int)] if centre else points[:0]
         self.radius, self.begin, self.end, self.child, self.children = (np.array(x) for x in (radius, begin, end, child, children))
         self.points, self.ids, self.labels = points[order], ids[order], labels[order]
@@ -150,3 +177,149 @@ class Query:
                 elif entry > found[0]:
                     heapq.heapreplace(found, entry)
         return [(score, -number) for score, number in sorted(found, reverse=True)]
+
+
+class Search:
+    """Many queries over trees met one after another, each query with the same number of windows ``least`` to ``most`` (a row a
+    query). For each window the first ``k`` points of the query's label (``same``) or of others are kept, products falling,
+    then ids rising, but never the point with the query's own id. No two points have the same id."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, labels: np.ndarray, least: np.ndarray, most: np.ndarray, k: int, same: bool):
+        self.vectors, self.ids, self.labels, self.k, self.same = vectors, ids, labels, k, same
+        self.least, self.most = _exact(least), _exact(most)
+        self.norm = lengths(vectors)
+        self._single, self._double = vectors.astype(np.float32), vectors.astype(np.float64)
+        self.score = np.full((*least.shape, k), -math.inf)
+        self.number = np.full((*least.shape, k), np.iinfo(np.int64).max)
+        self._pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self._waiting, self._room = 0, max(_FEW, self.score.size)
+        self._tighten()
+
+    def _tighten(self) -> None:
+        """What a point must reach now in each window, and in any of a query's windows."""
+        self.floor = np.maximum(self.least, self.score[:, :, -1])
+        self._low = self.floor.min(axis=1, initial=math.inf).astype(np.float64)
+        self._high = self.most.max(axis=1, initial=-math.inf).astype(np.float64)
+
+    def meet(self, tree: CoverTree) -> None:
+        if not len(tree.points) or not len(self.ids):
+            return
+        norms, points = lengths(tree.points), {}
+        todo = [(0, np.flatnonzero(self._need(tree, slice(0, 1), np.arange(len(self.ids)))[:, 0]))]
+        while todo:
+            at, who = todo.pop()
+            begin, end, children = int(tree.begin[at]), int(tree.end[at]), int(tree.children[at])
+            scores = len(who) * (end - begin)
+            if children and children * _PER_BOUND <= end - begin and scores > _FEW:
+                nodes = slice(int(tree.child[at]), int(tree.child[at]) + children)
+                need = self._need(tree, nodes, who)
+                todo += [(nodes.start + c, who[need[:, c]]) for c in range(children)]
+            elif scores:
+                self._scan(tree, norms, points, begin, end, who)
+
+    def _need(self, tree: CoverTree, nodes: slice, who: np.ndarray) -> np.ndarray:
+        """For each query and node, whether its ball may hold a point of a window."""
+        low, high = bounds(self._double[who] @ tree.centres[nodes].astype(np.float64).T, tree.radius[nodes], tree.square, self.norm[who][:, None])
+        return (high >= self._low[who][:, None]) & (low <= self._high[who][:, None])
+
+    def _scan(self, tree: CoverTree, norms: np.ndarray, points: dict, begin: int, end: int, who: np.ndarray) -> None:
+        places, asked = tree.labels[begin:end], self.labels[who]
+        both = np.intersect1d(places, asked) if self.same else []
+        if self.same and len(both) <= _APART:
+            tiles = [(who[asked == label], begin + np.flatnonzero(places == label)) for label in both]
+        else:
+            tiles = [(who, slice(begin, end))]
+        for queries, columns in tiles:
+            longest = self.norm[queries] * norms[columns].max() * (1 + 1e-9)
+            for kind, above, below in ((np.float32, -1.0, _SINGLE), (np.float64, _SINGLE, _EXACT)):
+                if len(part := queries[(longest >= above) & (longest < below)]):
+                    self._take(tree, self._as(points, tree, kind), columns, part)
+            if len(part := queries[longest >= _EXACT]):
+                columns = np.arange(len(norms))[columns]
+                far = norms[columns] * self.norm[part].max() * (1 + 1e-9) >= _EXACT
+                if not far.all():
+                    self._take(tree, self._as(points, tree, np.float64), columns[~far], part)
+                if far.any():
+                    self._take(tree, None, columns[far], part)
+
+    @staticmethod
+    def _as(points: dict, tree: CoverTree, kind: type) -> np.ndarray:
+        if kind not in points:
+            points[kind] = tree.points.astype(kind)
+        return points[kind]
+
+    def _take(self, tree: CoverTree, points: np.ndarray | None, columns: slice | np.ndarray, who: np.ndarray) -> None:
+        """Score points for queries and keep what reaches a window; without ``points``, in integers of any size."""
+        ids, labels = tree.ids[columns], tree.labels[columns]
+        long = points is None
+        there = tree.points[columns].astype(object).T if long else points[columns].T
+        step = max(1, (_LONG_TILE if long else _TILE) // len(ids))
+        for at in range(0, len(who), step):
+            part = who[at : at + step]
+            if long:
+                scores = self.vectors[part].astype(object) @ there
+                hits = np.ones(scores.shape, bool)
+            else:
+                vectors, most = (self._single, _SINGLE) if points.dtype == np.float32 else (self._double, _EXACT)
+                scores = vectors[part] @ there
+                hits = scores >= np.clip(self._low[part], -most, most).astype(points.dtype)[:, None]
+            found = np.flatnonzero(hits)
+            if not long and len(found) * 16 > hits.size:
+                hits &= scores <= np.clip(self._high[part], -most, most).astype(points.dtype)[:, None]
+                found = np.flatnonzero(hits)
+            if not len(found):
+                continue
+            row, column = np.divmod(found, len(ids))
+            query, number = part[row], ids[column]
+            fits = ((labels[column] == self.labels[query]) == self.same) & (number != self.ids[query])
+            score = scores.reshape(-1)[found[fits]]
+            self._offer(query[fits], number[fits], score if long else score.astype(np.float64))
+
+    def _offer(self, query: np.ndarray, number: np.ndarray, score: np.ndarray) -> None:
+        if score.dtype == object and self.score.dtype != object:
+            self.score = self.score.astype(object)
+        for window in range(self.least.shape[1]):
+            last = self.score[query, window, -1]
+            fits = (score >= self.floor[query, window]) & (score <= self.most[query, window]) & ((score > last) | (number < self.number[query, window, -1]))
+            fits = np.flatnonzero(fits)
+            if len(fits):
+                self._pending.append((query[fits] * self.least.shape[1] + window, score[fits], number[fits]))
+                self._waiting += len(fits)
+        if self._waiting > self._room:
+            self._merge()
+
+    def _merge(self) -> None:
+        if not self._pending:
+            return
+        k, best, numbers = self.k, self.score.reshape(-1, self.k), self.number.reshape(-1, self.k)
+        slot, score, number = (np.concatenate(x) for x in zip(*self._pending, strict=True))
+        self._pending, self._waiting = [], 0
+        touched = np.unique(slot)
+        slot, score, number = np.concatenate([slot, np.repeat(touched, k)]), np.concatenate([score, best[touched].ravel()]), np.concatenate([number, numbers[touched].ravel()])
+        falling = np.unique(-score, return_inverse=True)[1] if score.dtype == object else -score
+        order = np.lexsort((number, falling, slot))
+        slot = slot[order]
+        first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+        place = np.arange(len(slot)) - np.repeat(first, np.diff(np.concatenate([first, [len(slot)]])))
+        top = order[place < k]  # k of each slot, as it had k before
+        best[touched], numbers[touched] = score[top].reshape(-1, k), number[top].reshape(-1, k)
+        self._tighten()
+
+    def floors(self) -> np.ndarray:
+        """What the points met so far show that the ``k``-th of each window reaches at least."""
+        self._merge()
+        return self.floor
+
+    def answers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The query's and the window's place, the score and the id of each point kept."""
+        self._merge()
+        query, window, place = np.nonzero(self.score != -math.inf)
+        return query, window, self.score[query, window, place], self.number[query, window, place]
+
+
+def _exact(bounds_: np.ndarray) -> np.ndarray:
+    """Doubles if they hold these bounds, else integers of any size."""
+    if bounds_.dtype != object:
+        return bounds_.astype(np.float64) if bounds_.dtype.kind == "f" or reach(bounds_) < _EXACT else bounds_.astype(object)
+    held = all(x in (math.inf, -math.inf) or abs(x) < _EXACT for x in bounds_.ravel())
+    return bounds_.astype(np.float64) if held else bounds_

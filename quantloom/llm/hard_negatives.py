@@ -1,9 +1,10 @@
 """Hard negatives: for anchors and their positives, the rows of other labels that score highest within a window below the positive.
 
 Every row is dealt to the region of the nearest of a bounded sample's rows, regions over ``SHARD`` rows are split, and each
-shard becomes a cover tree. Anchors are first scored against the sample: its rows bound from below what a search must find, and the
-regions' balls bound from above what it can find there, so that anchors meet only the shards that may hold an answer. Shards and
-blocks of anchors are joined; a search is best first in each tree, and the shards' answers are merged.
+shard becomes a cover tree. Anchors are packed into blocks, and first meet the sample, whose rows bound from below what a search must
+find. Each block meets each group of shards in a task, which keeps the best of the shards met so far and takes all anchors through a
+tree at once: its balls bound from above what a search can find there, and what they can't rule out is scored by a product of matrices.
+The groups' answers are merged.
 
 A row takes part if vec_id, label and the vector with all its components are given and finite. Of rows that share a vec_id the
 one of least label, then least vector, counts. Vectors of different lengths are filled up with zeros. Components are
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows, settle
-from .cover_tree import CoverTree, products
+from .common import settle
+from .cover_tree import CoverTree, Search, narrow
 
-#: Rows of a tree, anchors that meet a tree at a time, and the most rows of the sample (there is one for each full shard).
-SHARD, BLOCK, SAMPLE = 2048, 1024, 1024
+#: Rows of a tree, anchors of a block, the most rows of the sample, and the most groups of shards that a block meets.
+SHARD, BLOCK, SAMPLE, GROUPS = 2048, 16384, 1024, 32
 LABELS = 10
 _FAR = 1 << 63
 
@@ -53,58 +54,46 @@ def _matrix(vectors: list[list[int]], size: int) -> np.ndarray:
     return out
 
 
+def _arrow_matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
+    """Vectors without nulls as rows, shorter ones filled up with zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat, long = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+    if (long == size).all():
+        return flat.astype(np.int64).reshape(len(long), size)
+    out = np.zeros((len(long), size), np.int64)
+    out[np.arange(size) < long[:, None]] = flat
+    return out
+
+
 class Regions:
-    """The sample, and the ball and shards of the region around each of its rows."""
-
-    def __init__(self, sample: list, size: int):
-        self.size = size
-        self.ids = np.array([r.vec_id for r in sample], np.int64)
-        self.labels = np.array([r.label for r in sample], np.int64)
-        self.points = _matrix([r.v for r in sample], size)
-        self.radius, self.norm, self.first, self.pieces = (np.zeros(len(sample)) for _ in range(4))
-
-    def route(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Nearest region, distance and squared norm of each vector."""
-        v, p = vectors.astype(np.float64), self.points.astype(np.float64)
-        apart = (p * p).sum(axis=1) - 2 * (v @ p.T)
-        region = apart.argmin(axis=1)
-        norm = (v * v).sum(axis=1)
-        gap = v - p[region]
-        return region, np.sqrt((gap * gap).sum(axis=1)), norm
-
-    def worth(self, query: np.ndarray, label: int, same: bool, anchor: int, k: int, windows: list[tuple[int, int]]) -> tuple[list[int], list[float]]:
-        """The shards that may hold one of the first ``k`` in a window, and for each window what the sample's rows reach."""
-        scores = products(self.points, query).astype(np.float64)
-        norm = math.sqrt(float((query.astype(np.float64) ** 2).sum()))
-        # balls here are around plain vectors: only the query's norm times the radius bounds their products
-        slack = 1e-9 * (norm * norm + self.norm) + 1
-        low, high = scores - norm * self.radius - slack, scores + norm * self.radius + slack
-        fits = ((self.labels == label) == same) & (self.ids != anchor)
-        need, floors = np.zeros(len(scores), bool), []
-        for least, most in windows:
-            inside = np.sort(scores[fits & (scores >= least) & (scores <= most)])
-            floors.append(float(inside[-k]) if len(inside) >= k else -math.inf)
-            need |= (high >= max(least, floors[-1])) & (low <= most)
-        need &= self.pieces > 0
-        return [int(s) for r in np.flatnonzero(need) for s in range(int(self.first[r]), int(self.first[r] + self.pieces[r]))], floors
+    """The sample, of which the first ``regions`` rows are each the middle of a region."""
+
+    def __init__(self, sample: list, size: int, regions: int):
+        self.size, points = size, _matrix([r.v for r in sample], size)
+        self.points = points[:regions].astype(np.float64)
+        self.sample = CoverTree(points, np.array([r.vec_id for r in sample], np.int64), np.array([r.label for r in sample], np.int64))
+
+    def route(self, vectors: np.ndarray) -> np.ndarray:
+        """The nearest region of each vector."""
+        p = self.points
+        return ((p * p).sum(axis=1) - 2 * (vectors.astype(np.float64) @ p.T)).argmin(axis=1)
 
 
 def build_index(vectors: DataFrame, shard: int = SHARD, sample: int = SAMPLE) -> tuple[Regions, DataFrame, int]:
     """The regions, the trees (``shard, tree``) and how many there are."""
     n, size = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    regions = Regions(vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(sample, n // shard))).collect(), size)
-    dealt = vectors.mapInArrow(lambda b: _routed(b, regions), "vec_id bigint, label bigint, v array<bigint>, region int, away double, norm double")
-    shards = 0
-    for r in dealt.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("away"), F.max("norm").alias("norm")).orderBy("region").collect():  # a row a region
-        regions.radius[r.region], regions.norm[r.region], regions.first[r.region] = r.away * (1 + 1e-9), r.norm, shards
-        regions.pieces[r.region] = -(-r.n // shard)
-        shards += int(regions.pieces[r.region])
-    ranges = F.array(*[F.struct(F.lit(int(f)).alias("first"), F.lit(max(1, int(p))).alias("pieces")) for f, p in zip(regions.first, regions.pieces, strict=True)])
+    regions = Regions(vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect(), size, max(1, min(sample, n // shard)))
+    dealt = vectors.mapInArrow(lambda b: _routed(b, regions), "vec_id bigint, label bigint, v array<bigint>, region int")
+    places, shards = [(0, 1)] * len(regions.points), 0
+    for r in dealt.groupBy("region").count().orderBy("region").collect():  # a row a region
+        places[r.region] = (shards, -(-r["count"] // shard))
+        shards += places[r.region][1]
+    ranges = F.array(*[F.struct(F.lit(first).alias("first"), F.lit(pieces).alias("pieces")) for first, pieces in places])
     place = F.get(ranges, F.col("region")) if shards else F.lit(None).cast("struct<first:int,pieces:int>")
     dealt = dealt.select("vec_id", "label", "v", (place["first"] + F.pmod(F.xxhash64("vec_id"), place["pieces"])).cast("int").alias("shard"))
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
-        tree = CoverTree(_matrix(table["v"].to_pylist(), size), table["vec_id"].to_numpy(), table["label"].to_numpy())
+        tree = CoverTree(_arrow_matrix(table["v"], size), table["vec_id"].to_numpy(), table["label"].to_numpy())
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
     return regions, settle(dealt.groupBy("shard").applyInArrow(build, "shard int, tree binary"), "negatives-trees"), shards
@@ -114,11 +103,10 @@ def _routed(batches: Iterator[pa.RecordBatch], regions: Regions) -> Iterator[pa.
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
-            region, away, norm = regions.route(_matrix(part.column("v").to_pylist(), regions.size))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(region.astype(np.int32)), pa.array(away), pa.array(norm)], names=["vec_id", "label", "v", "region", "away", "norm"])
+            region = regions.route(_arrow_matrix(part.column("v"), regions.size))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(region.astype(np.int32))], names=["vec_id", "label", "v", "region"])
 
 
-_ASKED = "shard int, anchor struct<vec_id:bigint,label:bigint,v:array<bigint>,wanted:array<struct<id:bigint,score:bigint,floor:double>>>"
 _ANSWER = "anchor_id bigint, positive_id bigint, positive_score bigint, id bigint, score bigint"
 
 
@@ -127,41 +115,69 @@ def window_of(positive: int) -> tuple[int, int]:
     return -(-30 * positive // 100), 90 * positive // 100
 
 
-def _ask(batches: Iterator[pa.RecordBatch], regions: Regions, k: int, positives: bool) -> Iterator[pa.RecordBatch]:
-    """A row for each anchor and shard that may hold an answer."""
-    for part in rows(batches):
-        shards, asked = [], []
-        for vec_id, label, v, wanted in part:
-            windows = [window_of(w["score"]) for w in wanted] if not positives else [(-math.inf, math.inf)]
-            worth, floors = regions.worth(_matrix([v], regions.size)[0], label, positives, vec_id, k, windows)
-            told = [{"id": w["id"], "score": w["score"], "floor": f} for w, f in zip(wanted, floors, strict=True)] if not positives else [{"id": None, "score": None, "floor": floors[0]}]
-            shards += worth
-            asked += [{"vec_id": vec_id, "label": label, "v": v, "wanted": told}] * len(worth)
-        wanted_type = pa.list_(pa.struct([("id", pa.int64()), ("score", pa.int64()), ("floor", pa.float64())]))
-        yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(asked, pa.struct([("vec_id", pa.int64()), ("label", pa.int64()), ("v", pa.list_(pa.int64())), ("wanted", wanted_type)]))], names=["shard", "anchor"])
-
-
-def _search(batches: Iterator[pa.RecordBatch], size: int, k: int, positives: bool) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in _ANSWER.split(", ")]
+class Anchors:
+    """A block of anchors: their windows (one without bounds where positives are looked for) and what the sample says of them."""
+
+    def __init__(self, table: pa.Table, regions: Regions, k: int, positives: bool):
+        self.k, self.positives = k, positives
+        self.ids, self.labels = table["vec_id"].to_numpy(), table["label"].to_numpy()
+        self.vectors = narrow(_arrow_matrix(table["v"], regions.size))
+        wanted = [[]] * len(self.ids) if positives else table["wanted"].to_pylist()
+        width = 1 if positives else max(map(len, wanted))
+        self.wanted, self.scores = (np.zeros((len(self.ids), width), np.int64) for _ in range(2))
+        # windows that an anchor doesn't have are empty
+        self.least, self.most = (np.full((len(self.ids), width), -x if positives else x, object) for x in (math.inf, -math.inf))
+        for at, found in enumerate(wanted):
+            for place, w in enumerate(found):
+                self.wanted[at, place], self.scores[at, place] = w["id"], w["score"]
+                self.least[at, place], self.most[at, place] = window_of(w["score"])
+        first = self.search()
+        first.meet(regions.sample)
+        self.least, self.most = first.floors(), first.most
+
+    def search(self) -> Search:
+        return Search(self.vectors, self.ids, self.labels, self.least, self.most, self.k, self.positives)
+
+    def answers(self, search: Search) -> Iterator[pa.RecordBatch]:
+        query, window, score, number = search.answers()
+        score = np.array([_long(x) for x in score], np.int64) if score.dtype == object else score.astype(np.int64)
+        none = np.full(len(query), self.positives)
+        columns = [pa.array(self.ids[query]), pa.array(self.wanted[query, window], mask=none), pa.array(self.scores[query, window], mask=none), pa.array(number), pa.array(score)]
+        whole = pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _ANSWER.split(", ")])
+        for at in range(0, whole.num_rows, 1 << 16):
+            yield whole.slice(at, 1 << 16)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells one after another: a block of anchors, then the trees that it meets. Without anchors the trees are passed over."""
+    cell = anchors = search = None
     for batch in batches:
         for row in range(batch.num_rows):
-            tree: CoverTree = pickle.loads(batch.column("tree")[row].as_py())
-            out = []
-            for a in batch.column("anchors")[row].as_py():
-                query = tree.query(_matrix([a["v"]], size)[0])
-                for w in a["wanted"]:
-                    window = None if positives else window_of(w["score"])
-                    best = query.best(k, a["label"], positives, a["vec_id"], window, w["floor"])
-                    out += [(a["vec_id"], w["id"], w["score"], number, _long(score)) for score, number in best]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], names=names)
+            here = batch.column("group")[row].as_py(), batch.column("block")[row].as_py()
+            if here != cell:
+                if search is not None:
+                    yield from anchors.answers(search)
+                cell, anchors, search = here, None, None
+            if batch.column("place")[row].as_py() < 0:
+                anchors = pickle.loads(batch.column("data")[row].as_py())
+                search = anchors.search()
+            elif search is not None:
+                search.meet(pickle.loads(batch.column("data")[row].as_py()))
+    if search is not None:
+        yield from anchors.answers(search)
 
 
 def _answers(asking: DataFrame, trees: DataFrame, regions: Regions, shards: int, blocks: int, k: int, positives: bool) -> DataFrame:
-    asked = asking.mapInArrow(lambda b: _ask(b, regions, k, positives), _ASKED)
-    tasks = max(1, min(shards, 4096))
-    asked = asked.groupBy("shard", F.pmod(F.xxhash64("anchor.vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list("anchor").alias("anchors"))
-    meet = trees.repartition(tasks, "shard").join(asked.repartition(tasks, "shard"), "shard").select("tree", "anchors")
-    return meet.mapInArrow(lambda b: _search(b, regions.size, k, positives), _ANSWER)
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([pickle.dumps(Anchors(table, regions, k, positives))], pa.binary())})
+
+    groups = max(1, min(shards, GROUPS))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    packed = asking.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(pack, "block int, data binary")
+    packed = packed.select("block", each(groups).alias("group"), F.lit(-1).alias("place"), "data")
+    met = trees.select(each(blocks).alias("block"), F.pmod("shard", F.lit(groups)).alias("group"), F.col("shard").alias("place"), F.col("tree").alias("data"))
+    cells = packed.unionByName(met).repartition(min(4096, 2 * groups * blocks), "group", "block").sortWithinPartitions("group", "block", "place")
+    return cells.mapInArrow(_meet, _ANSWER)
 
 
 def mine(embeddings: DataFrame, every: int = 100, positives: int = 5, negatives: int = 10, shard: int = SHARD, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:

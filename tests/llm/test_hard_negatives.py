@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from quantloom.llm import hard_negatives, queries
-from quantloom.llm.cover_tree import CoverTree
+from quantloom.llm.cover_tree import CoverTree, Search
 
 COLUMNS = ["anchor_id", "negative_id", "negative_score", "positive_id", "positive_score", "rank"]
 
@@ -97,3 +97,70 @@ def test_query_against_sql(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     ours = got(queries.op12_hard_negatives(spark, sf))
     assert ours == sorted(theirs) == brute([(r.vec_id, r.embedding, r.label) for r in df.collect()])
+
+
+@pytest.mark.parametrize("scale", [1, 2**22, 2**38])  # floats, doubles and longer integers hold the products
+@pytest.mark.parametrize("same", [True, False])
+def test_many_queries(scale, same):
+    pick = np.random.default_rng(scale % 97)
+    middle = pick.normal(0, 40, (12, 8))
+    points = np.floor(middle[pick.integers(0, 12, 900)] + pick.normal(0, 2, (900, 8))).astype(np.int64)
+    points[::3] *= scale
+    points[5::9] = points[5]  # ties
+    ids, labels = pick.permutation(900), pick.integers(0, 3, 900)
+    asked = np.r_[pick.permutation(900)[:150], 5]
+    least = np.full((len(asked), 2), -math.inf, object)
+    most = np.full((len(asked), 2), math.inf, object)
+    for at in range(0, len(asked), 2):
+        top = int(points[asked[at]].astype(object) @ points[asked[at]].astype(object))
+        least[at], most[at] = [-(-30 * top // 100), 5], [90 * top // 100, 5]
+    search = Search(points[asked], ids[asked], labels[asked], least, most, 7, same)
+    for part in np.array_split(pick.permutation(900), 4):
+        search.meet(CoverTree(points[part], ids[part], labels[part]))
+    found: dict[tuple[int, int], list] = {}
+    for query, window, score, number in zip(*search.answers(), strict=True):
+        found.setdefault((query, window), []).append((int(score), int(number)))
+    long = [[int(x) for x in p] for p in points]
+    for at, q in enumerate(asked):
+        score = [sum(a * b for a, b in zip(p, long[q], strict=True)) for p in long]
+        for window in range(2):
+            fits = [i for i in range(900) if (labels[i] == labels[q]) == same and i != q and least[at, window] <= score[i] <= most[at, window]]
+            expect = sorted(((score[i], int(ids[i])) for i in fits), key=lambda e: (-e[0], e[1]))[:7]
+            assert found.get((at, window), []) == expect
+
+
+def test_bounds_save_products(monkeypatch):
+    pick = np.random.default_rng(11)
+    points = np.floor(pick.normal(0, 200, (20, 16))[np.repeat(np.arange(20), 100)] + pick.normal(0, 4, (2000, 16))).astype(np.int64)
+    ids, labels, scored = np.arange(2000), np.arange(2000) % 3, []
+    take = Search._take
+    monkeypatch.setattr(Search, "_take", lambda self, tree, of, columns, who: scored.append(len(tree.ids[columns]) * len(who)) or take(self, tree, of, columns, who))
+    asked = np.arange(0, 2000, 4)
+    top = np.array([[float(points[i] @ points[i])] for i in asked])
+    search = Search(points[asked], ids[asked], labels[asked], top * 0.8, top * 2, 5, False)
+    search.meet(CoverTree(points, ids, labels))
+    assert 0 < sum(scored) < 0.3 * 2000 * len(asked) and len(scored) < 100
+    assert len(search.answers()[0]) == 5 * len(asked)
+
+
+def test_answers_dont_grow_with_shards(spark, monkeypatch):
+    """An anchor's answers handed on are bounded by the groups, whatever the number of shards; each shard gave its own before."""
+    monkeypatch.setattr(hard_negatives, "GROUPS", 4, raising=False)
+    pick = np.random.default_rng(3)
+    table = [(int(i), [float(x) for x in pick.normal(0, 1, 6)], int(i % 2)) for i in range(1200)]
+    vectors = hard_negatives.quantised(spark.createDataFrame(table, "vec_id bigint, embedding array<float>, label int")).cache()
+    regions, trees, shards = hard_negatives.build_index(vectors, 40, 8)
+    assert shards >= 30
+    nothing = hard_negatives.F.expr("cast(array() as array<struct<id:bigint,score:bigint>>)").alias("wanted")
+    asking = vectors.where("vec_id % 50 = 0").select("vec_id", "label", "v", nothing)
+    answers = hard_negatives._answers(asking, trees, regions, shards, 2, 5, True).groupBy("anchor_id").count().collect()
+    assert len(answers) == 24 and all(5 <= r["count"] <= 4 * 5 for r in answers)
+
+
+def test_long_components(spark):
+    pick = np.random.default_rng(8)
+    table = [(int(i), [float(x) for x in pick.normal(0, 1, 5) * (1e6 if i % 3 == 0 else 1)], int(i % 4)) for i in range(200)]
+    df = spark.createDataFrame(table, "vec_id bigint, embedding array<double>, label int")
+    expect = brute(table, 10)
+    assert len(expect) > 100
+    assert got(hard_negatives.mine(df, 10, shard=32, sample=9, block=6)) == expect
