@@ -25,8 +25,9 @@ _SINGLE, _EXACT = 2.0**24, 2.0**53
 #: Many queries at once: scores of a tile, and of one in integers of any size; scores of a node that aren't worth its children's bounds; points
 #: that a node must hold for each child, as bounds cost more than scores.
 _TILE, _LONG_TILE, _FEW, _PER_BOUND = 1 << 19, 1 << 12, 1 << 16, 32
-#: Up to so many labels, points of a label are scored apart.
-_APART = 16
+#: Points of a label are scored apart if there are so many scores for each label, and windows are held apart if one of so many scores lies within
+#: any of a query's windows or between them.
+_PER_LABEL, _MANY = 4096, 16
 
 
 def reach(points: np.ndarray) -> float:
@@ -225,7 +226,7 @@ class Search:
     def _scan(self, tree: CoverTree, norms: np.ndarray, points: dict, begin: int, end: int, who: np.ndarray) -> None:
         places, asked = tree.labels[begin:end], self.labels[who]
         both = np.intersect1d(places, asked) if self.same else []
-        if self.same and len(both) <= _APART:
+        if self.same and len(both) * _PER_LABEL <= len(who) * (end - begin):
             tiles = [(who[asked == label], begin + np.flatnonzero(places == label)) for label in both]
         else:
             tiles = [(who, slice(begin, end))]
@@ -256,37 +257,36 @@ class Search:
         step = max(1, (_LONG_TILE if long else _TILE) // len(ids))
         for at in range(0, len(who), step):
             part = who[at : at + step]
+            every = range(self.least.shape[1])
             if long:
                 scores = self.vectors[part].astype(object) @ there
-                hits = np.ones(scores.shape, bool)
+                found = [(every, np.arange(scores.size))]
             else:
                 vectors, most = (self._single, _SINGLE) if points.dtype == np.float32 else (self._double, _EXACT)
+                limit = lambda x: np.clip(x[part].astype(np.float64), -most, most).astype(points.dtype)[:, None]  # noqa: B023, E731
                 scores = vectors[part] @ there
-                hits = scores >= np.clip(self._low[part], -most, most).astype(points.dtype)[:, None]
-            found = np.flatnonzero(hits)
-            if not long and len(found) * 16 > hits.size:
-                hits &= scores <= np.clip(self._high[part], -most, most).astype(points.dtype)[:, None]
-                found = np.flatnonzero(hits)
-            if not len(found):
-                continue
-            row, column = np.divmod(found, len(ids))
-            query, number = part[row], ids[column]
-            fits = ((labels[column] == self.labels[query]) == self.same) & (number != self.ids[query])
-            score = scores.reshape(-1)[found[fits]]
-            self._offer(query[fits], number[fits], score if long else score.astype(np.float64))
-
-    def _offer(self, query: np.ndarray, number: np.ndarray, score: np.ndarray) -> None:
+                found = [(every, np.flatnonzero(scores >= limit(self._low)))]
+                if len(found[0][1]) * _MANY > scores.size:
+                    found = [([w], np.flatnonzero((scores >= limit(self.floor[:, w])) & (scores <= limit(self.most[:, w])))) for w in every]
+            for windows, places in found:
+                row, column = np.divmod(places, len(ids))
+                query, number = part[row], ids[column]
+                fits = ((labels[column] == self.labels[query]) == self.same) & (number != self.ids[query])
+                score = scores.reshape(-1)[places[fits]]
+                self._offer(windows, query[fits], number[fits], score if long else score.astype(np.float64))
+            if self._waiting > self._room:
+                self._merge()
+
+    def _offer(self, windows: range | list[int], query: np.ndarray, number: np.ndarray, score: np.ndarray) -> None:
         if score.dtype == object and self.score.dtype != object:
             self.score = self.score.astype(object)
-        for window in range(self.least.shape[1]):
+        for window in windows:
             last = self.score[query, window, -1]
             fits = (score >= self.floor[query, window]) & (score <= self.most[query, window]) & ((score > last) | (number < self.number[query, window, -1]))
             fits = np.flatnonzero(fits)
             if len(fits):
                 self._pending.append((query[fits] * self.least.shape[1] + window, score[fits], number[fits]))
                 self._waiting += len(fits)
-        if self._waiting > self._room:
-            self._merge()
 
     def _merge(self) -> None:
         if not self._pending:
